@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from forecourt.llm import packing
+from forecourt.llm import packing, warc_zip
 
-QUERIES = {"op3_best_fit_packing": packing.op3_best_fit_packing}
+QUERIES = {
+    "op2_warc_zip": warc_zip.op2_warc_zip,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+}
 ORACLES: dict[str, str] = {}
