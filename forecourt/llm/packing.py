@@ -17,6 +17,7 @@ as often as they occur; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,9 +29,6 @@ from pyspark.sql import functions as F
 from forecourt.llm.common import map_batches, materialize, table
 
 CAPACITY = 2048
-#: About so many pieces share a bucket of ranks.
-BUCKET_ROWS = 20_000
-
 
 def load_ranks(path: str) -> bytes:
     with open(path, "rb") as f:
@@ -176,7 +174,7 @@ def place_table(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int,
 def _ranked(pieces: DataFrame, id_col: str) -> DataFrame:
     """Adds rank (from 0) among the pieces of the same length."""
     n = pieces.count()
-    buckets = max(1, -(-n // BUCKET_ROWS))
+    buckets = math.isqrt(n) + 1  # so many counts per length at most, and about as many rows of a length in a bucket
     spread = pieces.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32", "salt"), F.lit(buckets)))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = spread.groupBy("length", "bucket").count().select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
