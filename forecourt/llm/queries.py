@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from forecourt.llm import packing, warc_zip
+from forecourt.llm import lang_id, packing, quality, secrets, toxicity, warc_zip
 
 QUERIES = {
     "op2_warc_zip": warc_zip.op2_warc_zip,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_lang_ecoc": lang_id.op5_lang_ecoc,
+    "op7_toxicity_lexicon": toxicity.op7_toxicity_lexicon,
+    "op8_quality_nbsvm": quality.op8_quality_nbsvm,
+    "op10_secret_grammar": secrets.op10_secret_grammar,
 }
 ORACLES: dict[str, str] = {}

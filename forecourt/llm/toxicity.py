@@ -17,6 +17,7 @@ repeat are each scored; several labels of an id count as the largest.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -145,6 +146,17 @@ def _phrases(sample: DataFrame, weights: dict[str, float]) -> list[str]:
     return [r["phrase"] for r in found.where("toxic = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(MAX_TERMS).collect()]
 
 
+def drop_vague(terms: dict[str, tuple[float, float]]) -> dict[str, float]:
+    """Weights without the beginnings whose toxic rows a longer, more telling term has nearly all of."""
+    kept, by = {}, sorted(terms)
+    for i, term in enumerate(by):
+        a, w = terms[term]
+        longer = itertools.takewhile(lambda x: x.startswith(term), by[i + 1 :])  # noqa: B023
+        if not any(terms[x][0] >= 0.8 * a and terms[x][1] > w + 0.1 for x in longer):
+            kept[term] = w
+    return kept
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> tuple[dict[str, float], list[str], float]:
     """Weights, exception phrases and the threshold."""
     sample = labelled_sample(docs, labels, label, keep, MAX_ROWS).select("label", "text")
@@ -155,9 +167,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> tuple[d
     if toxic and clean:
         counts = map_batches(sample, _term_counts, "term string, label int, n bigint").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).cast("double").alias("c"))
         odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
-        found = counts.where(F.col("a") >= 3).select("term", odds.alias("w"), _log_likelihood(F.col("a"), F.col("c"), toxic, clean).alias("g2"))
+        found = counts.where(F.col("a") >= 3).select("term", "a", odds.alias("w"), _log_likelihood(F.col("a"), F.col("c"), toxic, clean).alias("g2"))
         terms = found.where((F.col("g2") >= LEAST_G2) & (F.col("w") > 2)).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
-        weights |= {r["term"]: float(r["w"]) for r in terms}
+        weights |= drop_vague({r["term"]: (float(r["a"]), float(r["w"])) for r in terms})
         exceptions += _phrases(sample, weights)
     model = (weights, exceptions, 1.0)
     rows = [(r["x"], r["label"]) for r in _densities(sample, model).collect()]  # MAX_ROWS at most
