@@ -54,11 +54,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def share_bound(bound: int, n: int) -> int:
+    """The largest 40-bit hash of a share of n rows that holds at least `bound` of them but for chance."""
+    return min(1 << 40, (3 * bound + 100) * (1 << 40) // max(1, n))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, bound: int) -> DataFrame:
     """Written (doc_id, text, label) of at most about `bound` labelled rows, in the order of a hash of the id.
 
     The sampled ids, of which there are `bound` at most, are broadcast, so that texts needn't be shuffled.
     """
-    ids = labels.where(keep & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    rows = labels.where(keep & F.col(label).isNotNull())
+    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) <= share_bound(bound, rows.count()))
+    ids = rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     return materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), "sample")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from forecourt.llm import lang_id, packing, quality, secrets, toxicity, warc_zip
+from forecourt.llm import decontaminate, lang_id, merkle, packing, quality, secrets, toxicity, warc_zip
 
 QUERIES = {
     "op2_warc_zip": warc_zip.op2_warc_zip,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_winnow_decontaminate": decontaminate.op4_winnow_decontaminate,
     "op5_lang_ecoc": lang_id.op5_lang_ecoc,
+    "op6_merkle_fingerprint": merkle.op6_merkle_fingerprint,
     "op7_toxicity_lexicon": toxicity.op7_toxicity_lexicon,
     "op8_quality_nbsvm": quality.op8_quality_nbsvm,
     "op10_secret_grammar": secrets.op10_secret_grammar,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_winnow_decontaminate": decontaminate.ORACLE}
