@@ -14,9 +14,8 @@ Work on Spark:
 2. exact copies (equal words) fall into one class by a partial aggregate, and one of each goes on;
 3. in every bucket all members meet the member that shares most bucket places (a hub); small buckets compare
    all their members. Links become components by repeated minimum labels and pointer jumps, on written tables;
-4. buckets that still span several components get further rounds, in which a doubling share of hashed members
-   meets the members of other components, until every such pair has been met. So no pair of a bucket is lost,
-   and no group emits all its pairs unless they really are unlinked.
+4. buckets that still span several components compare the members outside the largest one with all members of
+   other components, in blocks and chunks. So no link of a bucket is lost, and no group emits its pairs.
 
 Defined cases: texts without a word are never duplicates; texts of one to four words are one shingle; rows that
 repeat (the same id and words) are each returned with the same class; rows of one id with different words count
@@ -40,8 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 ELL, SKETCHES = 4, 20
 #: Buckets of so many members compare all of them at once.
 SMALL = 8
-#: Members of a larger bucket that meet all others in the first further round; doubled in each.
-FIRST_MET = 4
+#: About so many members and queries of a bucket are compared in one group.
+CHUNK, BLOCK = 1000, 128
 SEPARATOR = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
 
 
@@ -106,12 +105,17 @@ def occurrence_labels(xs: np.ndarray) -> np.ndarray:
     return out
 
 
+def _labelled(xs: np.ndarray) -> np.ndarray:
+    """One hash for each shingle and how many times it has occurred before."""
+    return _mix(xs + occurrence_labels(xs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 SEEDS = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def sketch(xs: np.ndarray) -> np.ndarray:
     """SKETCHES bucket keys: hashes of the ELL least labelled shingles in the order of the text."""
-    labelled = _mix(xs + occurrence_labels(xs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    labelled = _labelled(xs)
     keys = np.empty(SKETCHES, np.uint64)
     n = min(ELL, len(xs))
     for i, seed in enumerate(SEEDS):
@@ -244,25 +248,59 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = met.unionByName(small.join(other, "bucket").where("h < rep").select("h", "rep"))
     links = verified(_pairs(met), texts)
     parts = components(reps, links)
-    large = materialize(places.where(F.col("n") > SMALL), "large")
-    share, before = FIRST_MET, 0
-    while True:
-        own = large.join(parts, "rep")
-        split = own.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.max("n").alias("n")).where("lo != hi")
-        most = split.agg(F.max("n")).first()[0]
-        if most is None or before >= most:
-            break
-        own = own.join(split.select("bucket"), "bucket", "left_semi").withColumn("u", F.pmod(F.xxhash64("rep", "bucket"), F.lit(1 << 30)) * F.col("n") / float(1 << 30))
-        chosen = own.where((F.col("u") >= before) & (F.col("u") < share)).select("bucket", F.col("rep").alias("h"), F.col("class").alias("other"))
-        met = own.join(chosen, "bucket").where("class != other").select("h", "rep")
-        links = links.unionByName(verified(_pairs(met), texts))
-        parts = components(reps, links)
-        share, before = 2 * share, share
+    more = across_components(places.where(F.col("n") > SMALL), parts, texts)
+    if not more.isEmpty():
+        parts = components(reps, links.select("a", "b").unionByName(more))
     classes = reps.select("words", "rep").join(parts, "rep")
     found = rows.select("id", "words").join(classes, "words", "left")
     return found.select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("class", "id").alias("class_id"))
 
 
+def across_components(places: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
+    """Written links (a, b) between different components that still share a bucket.
+
+    Of every such bucket, the members outside its largest component are the queries. They go in blocks of about
+    BLOCK against chunks of about CHUNK members, so that no group is as large as its bucket and no pair becomes
+    a row. Within a group, common labelled shingles bound the alignment of a member with all queries of the
+    block at once; only pairs that can reach the threshold are aligned.
+    """
+    own = places.join(parts, "rep")
+    sizes = own.groupBy("bucket", "class").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("size", "class")).alias("main"), (F.sum("size") - F.max("size")).alias("queries"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
+    own = materialize(own.join(main, "bucket"), "split")
+    chunks, blocks = F.ceil(F.col("n") / CHUNK).cast("int"), F.ceil(F.col("queries") / BLOCK).cast("int")
+    texts = texts.join(own.select("rep").distinct(), "rep", "left_semi")
+    part = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    members = own.select("bucket", "rep", "class", part(chunks).alias("chunk"), all_of(blocks).alias("block")).join(texts, "rep")
+    queries = own.where(F.col("class") != F.col("main")).select(F.col("bucket").alias("q_bucket"), F.col("rep").alias("q_rep"), F.col("class").alias("q_class"), part(blocks).alias("q_block"), all_of(chunks).alias("q_chunk"))
+    queries = queries.join(texts.select(F.col("rep").alias("q_rep"), F.col("text").alias("q_text")), "q_rep")
+    kind = texts.schema["rep"].dataType.simpleString()
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        powers, out = Powers(), []
+        if len(left) and len(right):
+            queries = [_sequence(x, powers) for x in right["q_text"]]
+            labelled = [_labelled(x) for x in queries]
+            tokens, owners = np.concatenate(labelled), np.repeat(np.arange(len(queries)), [len(x) for x in labelled])
+            order = np.argsort(tokens, kind="stable")
+            tokens, owners, lengths = tokens[order], owners[order], np.array([len(x) for x in queries])
+            classes, reps = right["q_class"].to_numpy(), right["q_rep"].to_numpy()
+            for rep, cls, text in zip(left["rep"], left["class"], left["text"], strict=True):
+                own = _sequence(text, powers)
+                x = _labelled(own)
+                low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+                n = high - low
+                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                common = np.bincount(owners[at], minlength=len(queries))
+                fits = (common >= SIMILARITY * (lengths + len(own) - common)) & (classes != cls)
+                out += [(reps[k], rep) for k in np.flatnonzero(fits) if aligned_similarity(queries[k], own) >= SIMILARITY]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    groups = ["bucket", "chunk", "block"]
+    return materialize(members.groupBy(*groups).cogroup(queries.groupBy(*(f"q_{x}" for x in groups))).applyInPandas(compare, f"a {kind}, b {kind}"), "more_links")
+
+
 def id_repeats(docs: DataFrame, id_col: str) -> bool:
     return not docs.groupBy(id_col).count().where("count > 1").isEmpty()
 

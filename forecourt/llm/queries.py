@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forecourt.llm import decontaminate, lang_id, merkle, packing, quality, secrets, toxicity, warc_zip
+from forecourt.llm import decontaminate, lang_id, merkle, near_dup, packing, quality, secrets, toxicity, warc_zip
 
 QUERIES = {
     "op2_warc_zip": warc_zip.op2_warc_zip,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_merkle_fingerprint": merkle.op6_merkle_fingerprint,
     "op7_toxicity_lexicon": toxicity.op7_toxicity_lexicon,
     "op8_quality_nbsvm": quality.op8_quality_nbsvm,
+    "op9_order_minhash": near_dup.op9_order_minhash,
     "op10_secret_grammar": secrets.op10_secret_grammar,
 }
 ORACLES: dict[str, str] = {"op4_winnow_decontaminate": decontaminate.ORACLE}
