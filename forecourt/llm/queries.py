@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from forecourt.llm import decontaminate, lang_id, merkle, near_dup, packing, quality, secrets, toxicity, warc_zip
+from forecourt.llm import decontaminate, lang_id, license_scan, merkle, near_dup, packing, quality, secrets, toxicity, warc_zip
 
 QUERIES = {
+    "op1_license_scan": license_scan.op1_license_scan,
     "op2_warc_zip": warc_zip.op2_warc_zip,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_winnow_decontaminate": decontaminate.op4_winnow_decontaminate,
