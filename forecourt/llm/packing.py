@@ -84,17 +84,21 @@ def tokenize_pieces(
     return map_batches(docs.select(id_col, text_col), run, schema)
 
 
-def _exact(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
-    """One to three available lengths that sum to gap, the longest first."""
-    if gap <= 0:
+def _exact(gap: int, free: np.ndarray, terms: int) -> tuple[int, ...] | None:
+    """One to `terms` (three at most) available lengths that sum to gap, the longest first."""
+    if gap <= 0 or not terms:
         return None
     if free[gap] > 0:
         return (gap,)
+    if terms == 1:
+        return None
     have = free > 0
     longer = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
     fits = longer[have[longer] & have[gap - longer] & ((longer * 2 != gap) | (free[longer] > 1))]
     if len(fits):
         return (int(fits[0]), int(gap - fits[0]))
+    if terms == 2:
+        return None
     for a in map(int, np.flatnonzero(have[: gap - 1])[::-1]):
         rest = gap - a
         b = np.arange(min(a, rest - 1), (rest + 1) // 2 - 1, -1)
@@ -107,7 +111,15 @@ def _exact(gap: int, free: np.ndarray) -> tuple[int, ...] | None:
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns (number of sequences, [(length, how many of it)]) that place every piece of the histogram."""
+    """Patterns (number of sequences, [(length, how many of it)]) that place every piece of the histogram.
+
+    Exact triples can use up short pieces that best-fit needs elsewhere, so sums of up to three, two, one and no
+    lengths are tried; the plan of fewest sequences is taken, of equal ones that with the longest sums.
+    """
+    return min((_plan(counts, capacity, terms) for terms in (3, 2, 1, 0)), key=lambda p: sum(many for many, _ in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, terms: int) -> list[tuple[int, list[tuple[int, int]]]]:
     free = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         free[length] = n
@@ -116,7 +128,7 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     for length in range(capacity, 0, -1):
         while free[length] > 0:
             free[length] -= 1
-            combo = () if length == capacity else _exact(capacity - length, free)
+            combo = () if length == capacity else _exact(capacity - length, free, terms)
             free[length] += 1
             if combo is None:
                 rest[length] = int(free[length])
