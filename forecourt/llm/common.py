@@ -40,6 +40,11 @@ def map_batches(df: DataFrame, f: Callable[[Iterator], Iterator], schema: str) -
     return df.mapInArrow(f, schema)
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever characters their names have."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

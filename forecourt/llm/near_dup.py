@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm.common import BATCH_ROWS, map_batches, materialize, table
+from forecourt.llm.common import BATCH_ROWS, map_batches, materialize, own_columns, table
 
 WORDS, SIMILARITY = 5, 0.8
 ELL, SKETCHES = 4, 20
@@ -314,7 +314,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the one with the least id. Rows without an id or words all stay."""
     found = near_classes(docs)
     gone = found.where("id != class_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*own_columns(docs))
     return kept.dropDuplicates(["doc_id", "text"]) if id_repeats(docs, "doc_id") else kept
 
 

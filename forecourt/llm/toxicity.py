@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm.common import BATCH_ROWS, crc_mod, is_held_out, labelled_sample, map_batches, table
+from forecourt.llm.common import BATCH_ROWS, crc_mod, is_held_out, labelled_sample, map_batches, own_columns, table
 
 MAX_ROWS, MAX_TERMS = 8000, 3000
 PREFIXES = range(4, 9)
@@ -201,8 +201,9 @@ def _densities(sample: DataFrame, model: tuple) -> DataFrame:
     return map_batches(sample, run, "label int, x double, hits bigint")
 
 
-def score_column(spark: SparkSession, model: tuple[dict[str, float], list[str], float]):
-    """A vectorized function from text to struct<score, hits>."""
+def scored_column(spark: SparkSession, model: tuple[dict[str, float], list[str], float]) -> Column:
+    """struct<score, hits> of the column text, by a vectorized function over small batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     shared = spark.sparkContext.broadcast(model)
 
     def scored(parts):
@@ -214,13 +215,13 @@ def score_column(spark: SparkSession, model: tuple[dict[str, float], list[str],
             yield pd.DataFrame({"score": x / (x + threshold), "hits": [n for _, n in found]})
 
     scored.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(scored, "struct<score: double, hits: bigint>")
+    return F.pandas_udf(scored, "struct<score: double, hits: bigint>")("text")
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], list[str], float]) -> DataFrame:
-    """All columns of docs, and score and hits."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return docs.withColumn("_toxicity", score_column(docs.sparkSession, model)("text")).withColumn("toxicity_score", F.col("_toxicity.score")).withColumn("toxicity_hits", F.col("_toxicity.hits")).drop("_toxicity")
+    """All columns of docs, and toxicity_score and toxicity_hits."""
+    found = docs.withColumn("_forecourt_toxicity", scored_column(docs.sparkSession, model))
+    return found.withColumns({"toxicity_score": F.col("_forecourt_toxicity.score"), "toxicity_hits": F.col("_forecourt_toxicity.hits")}).drop("_forecourt_toxicity")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[str], float]:
@@ -229,7 +230,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[st
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score is under the threshold, with their own columns."""
-    return score(docs, learn(docs, labels)).where(F.col("toxicity_score") < threshold).select(*docs.columns)
+    found = docs.withColumn("_forecourt_toxicity", scored_column(docs.sparkSession, learn(docs, labels)))
+    return found.where(F.col("_forecourt_toxicity.score") < threshold).select(*own_columns(docs))
 
 
 def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
