@@ -63,12 +63,6 @@ class FunnelState(StatefulProcessor):
         pass
 
 
-def control(payload: str):
-    """ping -> pong, end_session -> stop, other JSON -> its type, broken JSON -> error."""
-    kind = F.get_json_object(F.col(payload), "$.type")
-    return F.when(kind == "ping", "pong").when(kind == "end_session", "stop").when(kind.isNotNull(), kind).otherwise("error")
-
-
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table of a folder as a stream of its files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
