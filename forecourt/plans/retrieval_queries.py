@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-from pathlib import Path
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.functions.vocabulary import FILTER_FIELDS
 from forecourt.operators import catalogue, retrieval
-from forecourt.sources.toml_source import read_catalogue
+from forecourt.sources.toml_source import read_catalogue, write_text
 
 QUERIES, ORACLES = {}, {}
 
@@ -192,14 +192,13 @@ def dedupe_first_occurrence(spark, sf_dir):
 @query()
 def toml_ingest(spark, sf_dir):
     """Writes a few catalogue files to the shared folder and reads them back as documents."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="forecourt-")
-    folder = Path(str(root).removeprefix("file://")) / "catalogue"
-    (folder / "nested").mkdir(parents=True, exist_ok=True)
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='forecourt-')}"
+    folder = f"{root.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
     for r in table(spark, sf_dir, "part").orderBy("p_partkey").limit(20).collect():
         text = f'title = "Car"\ncar_model = "{r["p_brand"]}-{r["p_partkey"]}"\n[PriciseLabels]\nbrand = "{r["p_brand"]}"\nbrand_comments = "A {r["p_type"]} car"\n[AmbiguousLabels]\nsize = "{r["p_size"]}"\n[KeyDetails]\nkey_details = "{r["p_name"]}"\n'
-        (folder / "nested" / f"{r['p_partkey']}.toml").write_text(text)
-    (folder / "CarLabels.toml").write_text('title = "CarLabels"\ncar_model = "x"\n')
-    (folder / "broken.toml").write_text("= nothing")
-    rows = read_catalogue(spark, str(folder))
+        write_text(spark, f"{folder}/nested/{r['p_partkey']}.toml", text)
+    write_text(spark, f"{folder}/CarLabels.toml", 'title = "CarLabels"\ncar_model = "x"\n')
+    write_text(spark, f"{folder}/broken.toml", "= nothing")
+    rows = read_catalogue(spark, folder)
     meta = catalogue.metadata(F.col("car_model"), F.col("entries"))
     return rows.select("car_model", catalogue.document_text(F.col("car_model"), F.col("key_details"), F.col("key_details_comments"), F.col("entries")).alias("text"), F.size(meta).alias("n_fields"), F.lit(len(FILTER_FIELDS)).alias("n_filters"))

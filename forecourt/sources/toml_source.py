@@ -48,3 +48,11 @@ def read_catalogue(spark: SparkSession, folder: str, permissive: bool = False) -
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.toml").load(folder)
     rows = files.where(~F.col("path").endswith(f"/{TEMPLATE}")).select("path", "content").mapInArrow(run, SCHEMA)
     return rows if permissive else rows.where(F.col("corrupt").isNull() & truthy("car_model"))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, wherever Spark's file systems reach."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
