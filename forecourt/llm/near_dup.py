@@ -236,7 +236,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     counted = places.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
     places = materialize(places.join(counted, ["i", "key"]).select("rep", "n", F.xxhash64("i", "key").alias("bucket")), "places")
     degree = places.groupBy("rep").agg(F.sum("n").alias("degree"))
-    texts = docs.select(F.col(id_col).alias("rep"), F.lower(F.col(text_col)).alias("text")).join(degree.select("rep"), "rep", "left_semi")
+    # The same join at every size: whether ids of candidates could be broadcast depends on the size of the input.
+    texts = docs.select(F.col(id_col).alias("rep"), F.lower(F.col(text_col)).alias("text")).join(degree.select("rep").hint("merge"), "rep", "left_semi")
     if id_repeats(docs, id_col):
         texts = texts.groupBy("rep").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
     texts = materialize(texts, "texts")
@@ -314,7 +315,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one document of each class: the one with the least id. Rows without an id or words all stay."""
     found = near_classes(docs)
     gone = found.where("id != class_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*own_columns(docs))
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # the same join at every size.select(*own_columns(docs))
     return kept.dropDuplicates(["doc_id", "text"]) if id_repeats(docs, "doc_id") else kept
 
 
