@@ -25,8 +25,8 @@ SECTION, PARAGRAPH = r"(?<=\n\n)", r"(?<=\n)"
 PHRASE = r"(?<=[^\p{L}\p{N}\s]\s|[sd]\s|\n|[。！？])"
 #: Hexadecimal digits of the digests in a fingerprint; phrases have 24 bits.
 ROOT_DIGITS, NODE_DIGITS, PHRASE_DIGITS = 32, 8, 6
-#: About so many documents are in one range of ids, and so many quantiles of ids are asked for.
-RANGE_ROWS, QUANTILES = 1000, 64
+#: About so many documents are in one range of ids until there are MAX_RANGES; so many quantiles are asked for.
+RANGE_ROWS, MAX_RANGES, QUANTILES = 1000, 1 << 16, 64
 
 
 def phrase_hashes(text: Column) -> Column:
@@ -87,7 +87,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     n, cuts = docs.agg(F.count("*"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000)).first()
     cuts = sorted(set(cuts or [0]))
-    parts = max(1, -(-n // (RANGE_ROWS * QUANTILES)))
+    parts = min(max(1, -(-n // (RANGE_ROWS * QUANTILES))), MAX_RANGES // QUANTILES)
     splits = F.array(*(F.lit(int(x)) for x in cuts))
     index = F.size(F.filter(splits, lambda s: s <= F.col("doc_id")))
     low, high = F.get(splits, F.col("k") - 1), F.get(splits, F.col("k"))
@@ -96,10 +96,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("text_hash", F.xxhash64("text"))
     key = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text_hash"))
     tops = dealt.groupBy("range").agg(F.max(key).alias("top"))
-    by = Window.orderBy(F.desc("range"))  # a row for each range
+    by = Window.orderBy(F.desc("range"))  # a row for each range, of which there are some more than MAX_RANGES at most
     ends = tops.select("range", "top", F.coalesce(F.lag("range").over(by), F.min("range").over(Window.partitionBy())).alias("before"))
     ends = ends.select(F.col("range").alias("of"), "top", "before")
-    copies = dealt.withColumn("own", key).join(ends, (F.col("range") == F.col("of")) & (F.col("own") == F.col("top"))).dropDuplicates(["of"])
+    copies = dealt.withColumn("own", key).join(F.broadcast(ends), (F.col("range") == F.col("of")) & (F.col("own") == F.col("top"))).dropDuplicates(["of"])
     copies = copies.select("doc_id", "text", F.col("before").alias("range"), "text_hash", F.lit(1).alias("copy"))
     both = dealt.select("doc_id", "text", "range", "text_hash", F.lit(0).alias("copy")).unionByName(copies)
     own = Window.partitionBy("range").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("text_hash"))
