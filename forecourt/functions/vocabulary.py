@@ -25,7 +25,7 @@ EDGES = [
 
 # Response scoring.
 STAGE_WORDS = {
-    "welcome": ["你好", "欢迎", "hello", "hi", "welcome", "autovend", "请问", "what"],
+    "welcome": ["你好", "欢迎", "hello", "hi", "welcome", "请问", "what"],
     "profile_analysis": ["名字", "年龄", "家", "name", "age", "family", "请问", "who", "住"],
     "needs_analysis": ["预算", "品牌", "车型", "budget", "brand", "type", "偏好", "prefer", "需求"],
     "car_selection_confirmation": ["推荐", "recommend", "车型", "model", "试驾", "test drive", "对比", "compare"],

@@ -18,10 +18,14 @@ def precision_recall_f1(correct: Column, extracted: Column, expected: Column) ->
     return [p.alias("precision"), r.alias("recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1")]
 
 
-def relevance(response: Column, stage: Column, words: Column) -> Column:
-    """0 to 100: stage words 40, share of the user's words 30, length 15, question 15 or invitation 10."""
+def relevance(response: Column, stage: Column, words: Column, product: str | None = None) -> Column:
+    """0 to 100: stage words 40, share of the user's words 30, length 15, question 15 or invitation 10.
+
+    product is the seller's own name, which counts among the welcoming words.
+    """
     low, bare = F.lower(response), strip(response)
-    known = reduce(lambda e, s: e.when(stage == s, contains_any(low, STAGE_WORDS[s])), STAGES[1:], F.when(stage == STAGES[0], contains_any(low, STAGE_WORDS[STAGES[0]])))
+    greeting = STAGE_WORDS[STAGES[0]] + ([product.lower()] if product else [])
+    known = reduce(lambda e, s: e.when(stage == s, contains_any(low, STAGE_WORDS[s])), STAGES[1:], F.when(stage == STAGES[0], contains_any(low, greeting)))
     n = F.size(words)
     matched = F.size(F.filter(words, lambda w: low.contains(F.lower(w))))
     total = F.when(F.coalesce(known, F.lit(False)), 40.0).otherwise(0.0) + F.when(n > 0, F.least(F.lit(30.0), matched / n * 30.0)).otherwise(0.0)
