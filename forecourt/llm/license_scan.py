@@ -3,9 +3,10 @@
 Lines that hold a word of license notices are candidates; candidates of one document that are near each other
 form a block together with what lies between them. Each block is compressed alone and with each template as a
 raw zstandard dictionary; the templates rank by how many bytes the dictionary saves. The best ones are then
-compared word by word: the longest matching blocks of words give the exact differences, and a template is
-confirmed if enough of its words, or of the block's words, are matched. Of the confirmed the one with the fewest
-differing words wins.
+aligned word by word, wherever in the block: the alignment gives the exact differences, and a template is
+confirmed if enough of its words are matched with at most BETWEEN times as many others between them. Of confirmed
+ones that overlap the one with the fewest differing words wins, unless all its words are among those of another;
+the words before and after are scanned again until nothing is confirmed. Spans are those of the matched words.
 
 Defined cases: null counts as empty; a text without candidates has no license; rows that repeat are each scanned;
 other columns are ignored.
@@ -13,10 +14,14 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import difflib
+import bisect
+import itertools
+import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +66,10 @@ WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 #: Lines without a cue that a block may bridge, templates whose differences are looked at, and the least share of matched words.
 BRIDGE, COMPARED, LEAST_SHARE = 2, 3, 0.8
+#: Words that a notice may have between a template's own, as a multiple of the template's words.
+BETWEEN = 2
+#: Cost of a missing word, and costs of a word between others that are tried in turn: few differences first, then few missing words.
+MISSING, INSERTED = 16, (16, 4, 1)
 LEVEL = 3
 
 
@@ -83,6 +92,30 @@ def blocks_of(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
+def rows_of(template: np.ndarray, words: np.ndarray, inserted: int, keep: bool) -> list[np.ndarray]:
+    """Least costs of aligning the template's first i words so that they end at each place of words; the last row only unless keep."""
+    ramp = inserted * np.arange(len(words) + 1, dtype=np.int32)
+    row = np.zeros(len(words) + 1, np.int32)  # a notice may begin anywhere
+    out = [row]
+    for t in template:
+        own = row + MISSING
+        same = np.flatnonzero(words == t)
+        own[same + 1] = np.minimum(own[same + 1], row[same])
+        row = np.minimum.accumulate(own - ramp) + ramp
+        if keep:
+            out.append(row)
+    return out if keep else [row]
+
+
+class Match(NamedTuple):
+    """A template in a run of words: indices of the matched words, and the differing words (- template only, + text only)."""
+
+    template: int
+    matched: list[int]
+    differ: list[str]
+    missing: int
+
+
 class Scanner:
     """Compressors with each template as raw dictionary, and the templates' words."""
 
@@ -93,52 +126,142 @@ class Scanner:
         self.names = sorted(templates)
         self.primed = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(templates[n].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in self.names]
         self.words = [[w.lower() for w in WORD.findall(templates[n])] for n in self.names]
+        self.tails = [WORD.split(templates[n])[-1] for n in self.names]
+        self.known = {w: i for i, w in enumerate(sorted({w for own in self.words for w in own}))}
+        self.ids = [np.array([self.known[w] for w in own], np.int32) for own in self.words]
+        self.counts = np.array([np.bincount(own, minlength=len(self.known)) for own in self.ids])
+        self.least = np.array([math.ceil(LEAST_SHARE * len(own)) for own in self.words])
+
+    def saving(self, i: int, raw: bytes, alone: int) -> float:
+        """Bytes that template i as dictionary saves, as a share of the plain size."""
+        return (alone - len(self.primed[i].compress(raw))) / alone
 
     def savings(self, block: str) -> list[tuple[float, int]]:
-        """(bytes saved as a share of the plain size, template), best first."""
+        """(saving with its sign changed, template), best first."""
         raw = block.lower().encode()
         alone = len(self.plain.compress(raw))
-        return sorted((-(alone - len(c.compress(raw))) / alone, i) for i, c in enumerate(self.primed))
+        return sorted((-self.saving(i, raw, alone), i) for i in range(len(self.names)))
 
-    def confirm(self, block: str) -> tuple[str, float, int, list[str]] | None:
-        """Winner, its saving, how many words differ and which (- template only, + block only)."""
-        words = [w.lower() for w in WORD.findall(block)]
-        found = []
+    def compared(self, block: str) -> list[int]:
+        """The templates that save most, and ties of the last place."""
         ranked = self.savings(block)
         last = ranked[min(COMPARED, len(ranked)) - 1][0]
-        for saving, i in ranked:  # ties of the last place are compared as well
-            if saving > last or saving >= 0:
-                break
-            match = difflib.SequenceMatcher(None, self.words[i], words, autojunk=False)
-            same = sum(x.size for x in match.get_matching_blocks())
-            missing = len(self.words[i]) - same
-            inside = [x for x in match.get_opcodes() if x[0] != "equal"]
-            if inside and inside[0][1] == inside[0][2] == 0:  # what a block has before or after isn't a difference of wording
-                inside = inside[1:]
-            if inside and inside[-1][1] == inside[-1][2] == len(self.words[i]):
-                inside = inside[:-1]
-            if same >= LEAST_SHARE * len(self.words[i]):
-                differ = [f"-{w}" for x in inside for w in self.words[i][x[1] : x[2]]] + [f"+{w}" for x in inside for w in words[x[3] : x[4]]]
-                found.append((len(differ) / len(self.words[i]), -same, missing, self.names[i], -saving, differ))
-        if not found:
-            return None
-        _, _, _, name, saving, differ = min(found)
-        return name, saving, len(differ), differ
-
-    def scan(self, text: str) -> list[dict]:
+        return [i for saving, i in ranked if saving <= last and saving < 0]
+
+    def aligned(self, i: int, words: list[str], ids: np.ndarray, at: int, least: int, most: int) -> Match | None:
+        """Template i in the words whose numbers are ids and of which the first has index at; words from least to most may stand in place of its ends."""
+        own = self.ids[i]
+        for inserted in INSERTED:
+            rows = rows_of(own, ids, inserted, True)
+            k, j = len(own), len(ids) - int(np.argmin(rows[-1][::-1]))
+            steps = []  # from the end: (template's word, word), None for the one that has no partner
+            while k:
+                if j and own[k - 1] == ids[j - 1] and rows[k][j] == rows[k - 1][j - 1]:
+                    k, j = k - 1, j - 1
+                    steps.append((k, j))
+                elif rows[k][j] == rows[k - 1][j] + MISSING:
+                    k -= 1
+                    steps.append((k, None))
+                else:
+                    j -= 1
+                    steps.append((None, j))
+            steps.reverse()
+            steps = [(k, j if j is None else j + at) for k, j in steps]
+            matched = [j for k, j in steps if k is not None and j is not None]
+            between = sum(k is None for k, _ in steps)
+            if len(matched) >= self.least[i] and between <= BETWEEN * len(own):
+                before = next(n for n, x in enumerate(steps) if None not in x)
+                after = next(n for n, x in enumerate(reversed(steps)) if None not in x)
+                steps = [(None, j) for j in range(max(least, matched[0] - before), matched[0])] + steps + [(None, j) for j in range(matched[-1] + 1, min(most, matched[-1] + 1 + after))]
+                differ: list[str] = []
+                for equal, run in itertools.groupby(steps, lambda x: None not in x):
+                    if not equal:
+                        run = list(run)
+                        differ += [f"-{self.words[i][k]}" for k, _ in run if k is not None] + [f"+{words[j]}" for _, j in run if j is not None]
+                return Match(i, matched, differ, len(own) - len(matched))
+        return None
+
+    def matches(self, words: list[str], ids: np.ndarray, a: int, b: int, chosen: list[int]) -> list[Match]:
+        """Confirmed alignments of the chosen templates with words a to b; of those of one template that overlap, the best."""
+        own = ids[a:b]
+        held = np.bincount(own[own >= 0], minlength=len(self.known))
+        enough = np.minimum(self.counts, held).sum(axis=1) >= self.least
         out = []
-        for a, b in blocks_of(text):
-            won = self.confirm(text[a:b])
-            if won is None and "\n" in text[a:b]:  # a joined block of several notices: each of its lines
-                at = a
-                for line in text[a:b].split("\n"):
-                    if CUE.search(line) and (own := self.confirm(line)):
-                        out.append({"license": own[0], "start": at, "end": at + len(line), "saving": own[1], "n_differences": own[2], "differences": own[3]})
-                    at += len(line) + 1
-            elif won:
-                out.append({"license": won[0], "start": a, "end": b, "saving": won[1], "n_differences": won[2], "differences": won[3]})
+        for i in chosen:
+            if not enough[i]:
+                continue
+            n = len(self.ids[i])
+            cost = rows_of(self.ids[i], own, 1, False)[0]
+            ends = np.flatnonzero((cost[1:] <= MISSING * (n - self.least[i]) + BETWEEN * n) & (cost[1:] <= cost[:-1])) + 1
+            taken = np.zeros(b - a + 1, bool)
+            for end in ends[np.argsort(cost[ends], kind="stable")].tolist():
+                if taken[end]:
+                    continue
+                start = max(0, end - (1 + BETWEEN) * n)
+                if found := self.aligned(i, words, own[start:end], a + start, a, b):
+                    taken[found.matched[0] - a + 1 : found.matched[-1] - a + 2] = True
+                    taken[end] = True
+                    out.append(found)
         return out
 
+    def best_first(self, found: list[Match], text: str, at: list[tuple[int, int]]) -> list[tuple[Match, float]]:
+        """With savings over the matched words' span; a match whose words are all, and not the only ones, of another is left out."""
+        order = []
+        sets = [frozenset(x.matched) for x in found]
+        ends = sorted(range(len(found)), key=lambda k: found[k].matched[0])
+        near: list[int] = []  # those that reach to the match at hand
+        dropped = set()
+        for k in ends:
+            near = [x for x in near if found[x].matched[-1] >= found[k].matched[0]]
+            for x in near:
+                dropped |= {k} if sets[k] < sets[x] else {x} if sets[x] < sets[k] else set()
+            near.append(k)
+        for k, x in enumerate(found):
+            if k not in dropped:
+                raw = text[at[x.matched[0]][0] : at[x.matched[-1]][1]].lower().encode()
+                order.append((len(x.differ) / len(self.words[x.template]), -len(x.matched), x.missing, -self.saving(x.template, raw, len(self.plain.compress(raw))), self.names[x.template], k))
+        return [(found[k], -saving) for *_, saving, _, k in sorted(order)]
+
+    def confirm(self, block: str) -> tuple[str, float, int, list[str]] | None:
+        """Winner, its saving, how many words differ and which (- template only, + block only)."""
+        at, words, ids = self.split(block)
+        ranked = self.best_first(self.matches(words, ids, 0, len(words), self.compared(block)), block, at)
+        return (self.names[ranked[0][0].template], ranked[0][1], len(ranked[0][0].differ), ranked[0][0].differ) if ranked else None
+
+    def split(self, text: str) -> tuple[list[tuple[int, int]], list[str], np.ndarray]:
+        """Spans of the words, the words in lower case, and their numbers (-1 for those of no template)."""
+        at, words = [], []
+        for m in WORD.finditer(text):
+            at.append(m.span())
+            words.append(m[0].lower())
+        return at, words, np.array([self.known.get(w, -1) for w in words], np.int32)
+
+    def scan(self, text: str, blocks: list[tuple[int, int]] | None = None) -> list[dict]:
+        """Every confirmed notice: those that overlap no better one, then what the words left between them hold, until nothing is confirmed."""
+        blocks = blocks_of(text) if blocks is None else blocks
+        if not blocks:
+            return []
+        at, words, ids = self.split(text)
+        starts = [a for a, _ in at]
+        todo = [(bisect.bisect_left(starts, a), bisect.bisect_left(starts, b), self.compared(text[a:b])) for a, b in blocks]
+        out = []
+        while todo:
+            a, b, chosen = todo.pop()
+            used = np.zeros(b - a, bool)
+            for x, saving in self.best_first(self.matches(words, ids, a, b, chosen), text, at):
+                first, last = x.matched[0], x.matched[-1]
+                if used[first - a : last - a + 1].any():
+                    continue
+                used[first - a : last - a + 1] = True
+                end = at[last][1]
+                if text.startswith(self.tails[x.template], end):
+                    end += len(self.tails[x.template])
+                out.append({"license": self.names[x.template], "start": at[first][0], "end": end, "saving": saving, "n_differences": len(x.differ), "differences": x.differ})
+            if used.any():
+                edges = np.flatnonzero(np.diff(np.concatenate([[True], used, [True]]).astype(np.int8)))
+                todo += [(a + int(x), a + int(y), chosen) for x, y in edges.reshape(-1, 2)]
+        return sorted(out, key=lambda x: x["start"])
+
 
 FOUND = "array<struct<license: string, start: bigint, end: bigint, saving: double, n_differences: bigint, differences: array<string>>>"
 
@@ -153,7 +276,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         fields = [("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("saving", pa.float64()), ("n_differences", pa.int64()), ("differences", pa.list_(pa.string()))]
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(blocks_of(x or "")) for x in texts], pa.int64()), pa.array([scanner.scan(x or "") for x in texts], pa.list_(pa.struct(fields)))], names=[id_col, "candidates", "licenses"])
+            blocks = [blocks_of(x or "") for x in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in blocks], pa.int64()), pa.array([scanner.scan(x or "", b) for x, b in zip(texts, blocks, strict=True)], pa.list_(pa.struct(fields)))], names=[id_col, "candidates", "licenses"])
 
     return map_batches(docs.select(id_col, text_col), run, f"{id_col} {kind}, candidates bigint, licenses {FOUND}")
 

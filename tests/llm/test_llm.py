@@ -370,6 +370,18 @@ def test_licenses(spark, odd, empty):
     assert license_scan.scan(odd).where("size(licenses) = 0").count() == 10 and license_scan.scan(empty).count() == 0
 
 
+def notices(text):
+    return [(x["license"], text[x["start"] : x["end"]], x["n_differences"]) for x in license_scan.Scanner(license_scan.TEMPLATES).scan(text)]
+
+
+def test_every_notice_of_a_block_is_found():
+    mit, cc = "Released under the MIT License.", "Licensed under CC BY 4.0."
+    assert notices(f"{mit}\n{cc}") == [("MIT", mit, 0), ("CC-BY-4.0", cc, 0)]
+    assert notices(f"See: {cc} {mit} {cc}") == [("CC-BY-4.0", cc, 0), ("MIT", mit, 0), ("CC-BY-4.0", cc, 0)]
+    sa = "Licensed under CC BY-SA 4.0."
+    assert notices(f"{sa} {mit}") == [("CC-BY-SA-4.0", sa, 0), ("MIT", mit, 0)]
+
+
 # ---- pipeline ----------------------------------------------------------------------------------------------
 
 
