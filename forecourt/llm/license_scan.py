@@ -1,12 +1,12 @@
 """License scan by conditional compression.
 
 Lines that hold a word of license notices are candidates; candidates of one document that are near each other
-form a block together with what lies between them. Each block is compressed alone and with each template as a
-raw zstandard dictionary; the templates rank by how many bytes the dictionary saves. The best ones are then
+form a block together with what lies between them. Every template of which the block holds enough words is
 aligned word by word, wherever in the block: the alignment gives the exact differences, and a template is
 confirmed if enough of its words are matched with at most BETWEEN times as many others between them. Of confirmed
 ones that overlap the one with the fewest differing words wins, unless all its words are among those of another;
-the words before and after are scanned again until nothing is confirmed. Spans are those of the matched words.
+between equals decides by how many bytes the template as raw zstandard dictionary shortens the matched text. The
+words before and after are scanned again until nothing is confirmed. Spans are those of the matched words.
 
 Defined cases: null counts as empty; a text without candidates has no license; rows that repeat are each scanned;
 other columns are ignored.
@@ -64,8 +64,8 @@ TEMPLATES = {
 CUE = re.compile(r"licen[sc]e|copyright|rights reserved|permission is|permission to|redistribution|public domain|warrant(y|ies)|as[ -]is|creative commons|\bcc[ -]?(by|0)|spdx", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
-#: Lines without a cue that a block may bridge, templates whose differences are looked at, and the least share of matched words.
-BRIDGE, COMPARED, LEAST_SHARE = 2, 3, 0.8
+#: Lines without a cue that a block may bridge, and the least share of matched words.
+BRIDGE, LEAST_SHARE = 2, 0.8
 #: Words that a notice may have between a template's own, as a multiple of the template's words.
 BETWEEN = 2
 #: Cost of a missing word, and costs of a word between others that are tried in turn: few differences first, then few missing words.
@@ -136,18 +136,6 @@ class Scanner:
         """Bytes that template i as dictionary saves, as a share of the plain size."""
         return (alone - len(self.primed[i].compress(raw))) / alone
 
-    def savings(self, block: str) -> list[tuple[float, int]]:
-        """(saving with its sign changed, template), best first."""
-        raw = block.lower().encode()
-        alone = len(self.plain.compress(raw))
-        return sorted((-self.saving(i, raw, alone), i) for i in range(len(self.names)))
-
-    def compared(self, block: str) -> list[int]:
-        """The templates that save most, and ties of the last place."""
-        ranked = self.savings(block)
-        last = ranked[min(COMPARED, len(ranked)) - 1][0]
-        return [i for saving, i in ranked if saving <= last and saving < 0]
-
     def aligned(self, i: int, words: list[str], ids: np.ndarray, at: int, least: int, most: int) -> Match | None:
         """Template i in the words whose numbers are ids and of which the first has index at; words from least to most may stand in place of its ends."""
         own = self.ids[i]
@@ -181,15 +169,13 @@ class Scanner:
                 return Match(i, matched, differ, len(own) - len(matched))
         return None
 
-    def matches(self, words: list[str], ids: np.ndarray, a: int, b: int, chosen: list[int]) -> list[Match]:
-        """Confirmed alignments of the chosen templates with words a to b; of those of one template that overlap, the best."""
+    def matches(self, words: list[str], ids: np.ndarray, a: int, b: int) -> list[Match]:
+        """Confirmed alignments of the templates with words a to b; of those of one template that overlap, the best."""
         own = ids[a:b]
         held = np.bincount(own[own >= 0], minlength=len(self.known))
-        enough = np.minimum(self.counts, held).sum(axis=1) >= self.least
+        enough = np.minimum(self.counts, held).sum(axis=1) >= self.least  # without so many of its words no alignment can be confirmed
         out = []
-        for i in chosen:
-            if not enough[i]:
-                continue
+        for i in np.flatnonzero(enough).tolist():
             n = len(self.ids[i])
             cost = rows_of(self.ids[i], own, 1, False)[0]
             ends = np.flatnonzero((cost[1:] <= MISSING * (n - self.least[i]) + BETWEEN * n) & (cost[1:] <= cost[:-1])) + 1
@@ -225,7 +211,7 @@ class Scanner:
     def confirm(self, block: str) -> tuple[str, float, int, list[str]] | None:
         """Winner, its saving, how many words differ and which (- template only, + block only)."""
         at, words, ids = self.split(block)
-        ranked = self.best_first(self.matches(words, ids, 0, len(words), self.compared(block)), block, at)
+        ranked = self.best_first(self.matches(words, ids, 0, len(words)), block, at)
         return (self.names[ranked[0][0].template], ranked[0][1], len(ranked[0][0].differ), ranked[0][0].differ) if ranked else None
 
     def split(self, text: str) -> tuple[list[tuple[int, int]], list[str], np.ndarray]:
@@ -243,12 +229,12 @@ class Scanner:
             return []
         at, words, ids = self.split(text)
         starts = [a for a, _ in at]
-        todo = [(bisect.bisect_left(starts, a), bisect.bisect_left(starts, b), self.compared(text[a:b])) for a, b in blocks]
+        todo = [(bisect.bisect_left(starts, a), bisect.bisect_left(starts, b)) for a, b in blocks]
         out = []
         while todo:
-            a, b, chosen = todo.pop()
+            a, b = todo.pop()
             used = np.zeros(b - a, bool)
-            for x, saving in self.best_first(self.matches(words, ids, a, b, chosen), text, at):
+            for x, saving in self.best_first(self.matches(words, ids, a, b), text, at):
                 first, last = x.matched[0], x.matched[-1]
                 if used[first - a : last - a + 1].any():
                     continue
@@ -259,7 +245,7 @@ class Scanner:
                 out.append({"license": self.names[x.template], "start": at[first][0], "end": end, "saving": saving, "n_differences": len(x.differ), "differences": x.differ})
             if used.any():
                 edges = np.flatnonzero(np.diff(np.concatenate([[True], used, [True]]).astype(np.int8)))
-                todo += [(a + int(x), a + int(y), chosen) for x, y in edges.reshape(-1, 2)]
+                todo += [(a + int(x), a + int(y)) for x, y in edges.reshape(-1, 2)]
         return sorted(out, key=lambda x: x["start"])
 
 

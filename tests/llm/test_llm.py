@@ -382,6 +382,13 @@ def test_every_notice_of_a_block_is_found():
     assert notices(f"{sa} {mit}") == [("CC-BY-SA-4.0", sa, 0), ("MIT", mit, 0)]
 
 
+def test_short_notice_in_a_long_line(spark):
+    texts = [r["text"].replace("\n", " ") for r in table(spark, FOLDER, "documents").where("length(text) > 3000").orderBy("doc_id").limit(40).collect()]
+    texts = [x for x in texts if not license_scan.CUE.search(x)]
+    mit = "Released under the MIT License."
+    assert len(texts) > 10 and all(notices(f"{x[:1500]} {mit} {x[1500:]}") == [("MIT", mit, 0)] for x in texts)
+
+
 # ---- pipeline ----------------------------------------------------------------------------------------------
 
 
