@@ -1,8 +1,9 @@
 """License scan by conditional compression.
 
 Lines that hold a word of license notices are candidates; candidates of one document that are near each other
-form a block together with what lies between them. Every template of which the block holds enough words is
-aligned word by word, wherever in the block: the alignment gives the exact differences, and a template is
+form a block together with what lies between them. A block is scanned with as many words to either side as the
+longest template may take, since lines of a wrapped text need not hold such a word. Every template of which these hold enough words is
+aligned word by word, wherever in them: the alignment gives the exact differences, and a template is
 confirmed if enough of its words are matched with at most BETWEEN times as many others between them. Of confirmed
 ones that overlap the one with the fewest differing words wins, unless all its words are among those of another;
 between equals decides by how many bytes the template as raw zstandard dictionary shortens the matched text. The
@@ -61,7 +62,7 @@ TEMPLATES = {
     "Proprietary": "Copyright. All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-CUE = re.compile(r"licen[sc]e|copyright|rights reserved|permission is|permission to|redistribution|public domain|warrant(y|ies)|as[ -]is|creative commons|\bcc[ -]?(by|0)|spdx", re.IGNORECASE)
+CUE = re.compile(r"licen[sc]e|copyright|rights\W+reserved|permission\W+is|permission\W+to|redistribution|public\W+domain|warrant(y|ies)|as[ -]is|creative\W+commons|\bcc[ -]?(by|0)|spdx", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
 #: Lines without a cue that a block may bridge, and the least share of matched words.
@@ -75,21 +76,16 @@ LEVEL = 3
 
 def blocks_of(text: str) -> list[tuple[int, int]]:
     """(start, end) of the candidate blocks, in code points."""
-    if not CUE.search(text):
-        return []
     found: list[list[int]] = []
-    at, since = 0, BRIDGE + 1
-    for line in text.split("\n"):
-        if CUE.search(line):
-            if found and since <= BRIDGE:
-                found[-1][1] = at + len(line)
-            else:
-                found.append([at, at + len(line)])
-            since = 0
+    last = 0
+    for m in CUE.finditer(text):
+        if found and text.count("\n", last, m.start()) <= BRIDGE + 1:
+            found[-1][1] = m.end()
         else:
-            since += 1
-        at += len(line) + 1
-    return [(a, b) for a, b in found]
+            found.append([m.start(), m.end()])
+        last = m.end()
+    ends = [(text.rfind("\n", 0, a) + 1, text.find("\n", b)) for a, b in found]
+    return [(a, len(text) if b < 0 else b) for a, b in ends]
 
 
 def rows_of(template: np.ndarray, words: np.ndarray, inserted: int, keep: bool) -> list[np.ndarray]:
@@ -130,6 +126,7 @@ class Scanner:
         self.known = {w: i for i, w in enumerate(sorted({w for own in self.words for w in own}))}
         self.ids = [np.array([self.known[w] for w in own], np.int32) for own in self.words]
         self.counts = np.array([np.bincount(own, minlength=len(self.known)) for own in self.ids])
+        self.reach = (1 + BETWEEN) * max(map(len, self.words))
         self.least = np.array([math.ceil(LEAST_SHARE * len(own)) for own in self.words])
 
     def saving(self, i: int, raw: bytes, alone: int) -> float:
@@ -229,7 +226,12 @@ class Scanner:
             return []
         at, words, ids = self.split(text)
         starts = [a for a, _ in at]
-        todo = [(bisect.bisect_left(starts, a), bisect.bisect_left(starts, b)) for a, b in blocks]
+        todo: list[tuple[int, int]] = []
+        for start, end in blocks:
+            a, b = max(0, bisect.bisect_left(starts, start) - self.reach), min(len(words), bisect.bisect_left(starts, end) + self.reach)
+            if todo and a <= todo[-1][1]:
+                a, _ = todo.pop()
+            todo.append((a, b))
         out = []
         while todo:
             a, b = todo.pop()

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -389,6 +390,16 @@ def test_short_notice_in_a_long_line(spark):
     assert len(texts) > 10 and all(notices(f"{x[:1500]} {mit} {x[1500:]}") == [("MIT", mit, 0)] for x in texts)
 
 
+@pytest.mark.parametrize("prefix", ["", "# "])
+def test_wrapped_notices(prefix):
+    for name, template in license_scan.TEMPLATES.items():
+        for width in range(60, 81):
+            lines = textwrap.wrap(template, width, break_long_words=False, break_on_hyphens=False)
+            text = "Prose before it.\n\n" + "\n".join(prefix + x for x in lines) + "\n\nProse after it."
+            assert [(x, n) for x, _, n in notices(text)] == [(name, 0)], (name, width)
+            assert notices(text)[0][1] == "\n".join(prefix + x for x in lines)[len(prefix) :]
+
+
 # ---- pipeline ----------------------------------------------------------------------------------------------
 
 
