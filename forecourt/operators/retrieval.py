@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +11,10 @@ from forecourt.functions.semantics import all_of, col, truthy
 from forecourt.functions.vocabulary import FILTER_FIELDS
 
 SNIPPET, SHORT_SNIPPET = 300, 200
-#: Query vectors that may be sent to every task.
-MAX_QUERIES = 10_000
+#: Queries and vectors of one group of top_k_batch, about; vectors of a group at least, where there are cores enough; both of one product.
+GROUP, LEAST_GROUP, TILE = 32_768, 1024, 1024
+#: Score of what has no direction; real ones are -1 at least.
+NO_SCORE = -2.0
 
 
 def metadata_filter(df: DataFrame, filters: dict[str, str | None], columns: dict[str, str] | None = None) -> DataFrame:
@@ -40,32 +40,70 @@ def top_k(df: DataFrame, query: list[float], k: int = 5, vector: str = "embeddin
     return df.withColumn("score", F.round(cosine(col(vector), query), 4)).orderBy(F.desc_nulls_last("score"), key).limit(k)
 
 
-def top_k_batch(df: DataFrame, queries: list[tuple[int, list[float]]], k: int = 5, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(query_id, key, score, rank) of the k most similar rows of each query.
-
-    Queries, of which there are at most MAX_QUERIES, go to every task as one matrix; a task keeps its own best k
-    of each query, so that only queries x k rows per task are shuffled.
+def unit(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1, and which rows are null or zero (those are zero)."""
+    rows = [np.asarray(v, np.float64) if v is not None else None for v in vectors.to_numpy()]
+    wide = max((len(v) for v in rows if v is not None), default=1)
+    x = np.stack([np.zeros(wide) if v is None else v for v in rows])
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(size > 0, size, 1), size[:, 0] == 0
+
+
+def best_of_group(queries: pa.Table, vectors: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of queries, row of vectors, score) of the k best of each query; vectors are in the order of their keys."""
+    (q, q_bad), (x, x_bad) = unit(queries.column(1)), unit(vectors.column(1))
+    out = []
+    for at in range(0, len(q), TILE):
+        own = q[at : at + TILE]
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        least = np.full(len(own), -np.inf)  # the k-th best score until now
+        for begin in range(0, len(x), TILE):
+            score = own @ x[begin : begin + TILE].T
+            score[:, x_bad[begin : begin + TILE]] = NO_SCORE
+            score[q_bad[at : at + TILE]] = NO_SCORE
+            if begin:  # later keys are larger, so that they must exceed it by a digit
+                i, j = np.nonzero(score > least[:, None] + 0.00004)
+            elif score.shape[1] <= k:
+                i, j = np.nonzero(score > -np.inf)
+            else:
+                i, j = np.nonzero(score >= np.round(-np.partition(-score, k - 1, axis=1)[:, k - 1], 4)[:, None] - 0.00006)
+            if len(i):
+                i, j, s = (np.concatenate(pair) for pair in zip(kept, (i, j + begin, np.round(score[i, j], 4)), strict=True))
+                order = np.lexsort((j, -s, i))
+                i, j, s = i[order], j[order], s[order]
+                rank = np.arange(len(i)) - np.searchsorted(i, i)
+                kept = tuple(c[rank < k] for c in (i, j, s))
+                least[i[rank == k - 1]] = s[rank == k - 1]
+        out.append((kept[0] + at, kept[1], kept[2]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def top_k_batch(df: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """(query_id, key, score, rank) of the k most similar rows of each row of queries, which has the same columns.
+
+    Queries and vectors are dealt to groups of bounded size; each group of queries meets each group of vectors in one
+    task, which keeps its best k of each query, so that queries x k rows a group of vectors are shuffled. Vectors that
+    are null or zero have a null score and come last. Keys don't repeat.
     """
-    if len(queries) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; split them")
-    ids = np.array([i for i, _ in queries], np.int64)
-    matrix = np.array([v for _, v in queries], np.float64)
-    shared = df.sparkSession.sparkContext.broadcast((ids, matrix / np.linalg.norm(matrix, axis=1, keepdims=True)))
-
-    def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, unit = shared.value
-        kept = pd.DataFrame({"query_id": [], key: [], "score": []})
-        for part in parts:
-            x = np.stack(part[vector].to_numpy()).astype(np.float64)
-            scores = np.round((x / np.linalg.norm(x, axis=1, keepdims=True)) @ unit.T, 4)
-            keys = part[key].to_numpy()
-            rows = [(ids[j], keys[i], scores[i, j]) for j in range(len(ids)) for i in np.lexsort((keys, -scores[:, j]))[:k]]
-            both = pd.concat([kept, pd.DataFrame(rows, columns=["query_id", key, "score"])], ignore_index=True)
-            kept = both.sort_values(["query_id", "score", key], ascending=[True, False, True]).groupby("query_id").head(k)
-        yield kept.astype({"query_id": "int64", key: "int64", "score": "float64"})
-
-    near = df.select(key, vector).mapInPandas(best, f"query_id bigint, {key} bigint, score double")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    n, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    blocks, chunks = -(-queries.count() // GROUP) or 1, max(-(-n // GROUP), min(cores, n // LEAST_GROUP), 1)
+    deal = lambda groups: F.pmod(F.xxhash64(key), F.lit(groups))
+    every = lambda groups: F.explode(F.sequence(F.lit(0), F.lit(groups - 1)).cast("array<bigint>"))
+    left = queries.select(col(key), col(vector), deal(blocks).alias("block"), every(chunks).alias("chunk"))
+    right = df.select(col(key), col(vector), every(blocks).alias("block"), deal(chunks).alias("chunk"))
+
+    def best(own: pa.Table, others: pa.Table) -> pa.Table:
+        names = ["query_id", key, "score"]
+        if not len(own) or not len(others):
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        others = others.sort_by(key)
+        i, j, score = best_of_group(own, others, k)
+        ids = [t.column(0).to_numpy()[x].astype(np.int64) for t, x in ((own, i), (others, j))]
+        return pa.table([pa.array(ids[0]), pa.array(ids[1]), pa.array(score, mask=score == NO_SCORE)], names=names)
+
+    pairs = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk"))
+    near = pairs.applyInArrow(best, f"query_id bigint, {key} bigint, score double")
+    by = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), key)
     return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 

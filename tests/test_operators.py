@@ -1,5 +1,6 @@
 """Truth tables and edge cases of the operators."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,28 @@ def test_records_of_both_shapes(spark, tmp_path):
     (tmp_path / "2.json").write_text('{"test_drive_info": {"test_driver": "B", "brand": "X", "selected_car_model": "N", "status": "open"}}')
     (tmp_path / "3.json").write_text("{not json")
     assert sorted((r["key"], r["test_driver"], r["car_model"], r["status"]) for r in read_records(spark, str(tmp_path)).collect()) == [("1", "A", "M", ""), ("2", "B", "N", "open")]
+
+
+def test_batch_search_takes_queries_of_any_number(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.integers(-3, 4, (600, 3)).astype(float)  # many equal scores, and zero vectors
+    x[5] = 0
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(600, None)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    unit = np.array([v / (np.linalg.norm(v) or 1) for v in x])
+    bad = np.flatnonzero(~x.any(axis=1))
+    expected = []
+    for q in range(0, 600, 2):
+        score = np.round(unit @ unit[q], 4)
+        score[bad] = -2
+        if q in bad:
+            score[:] = -2
+        order = sorted(range(600), key=lambda i: (-score[i], i))[:5]
+        expected += [(q, i, None if score[i] == -2 else float(score[i]), r + 1) for r, i in enumerate(order)]
+    for size in (32_768, 128):
+        monkeypatch.setattr(retrieval, "GROUP", size)
+        monkeypatch.setattr(retrieval, "TILE", size)
+        found = retrieval.top_k_batch(df, df.where("vec_id % 2 = 0 and vec_id < 600"), 5).collect()
+        assert sorted(map(tuple, found)) == sorted(expected)
+    many = spark.range(200_020).selectExpr("id as vec_id", "array(cast(1 as double), cast(id as double)) as embedding")
+    assert retrieval.top_k_batch(many.where("vec_id < 5"), many.where("vec_id % 20 = 0"), 1).count() == 10_001  # more than 10,000 were refused
