@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.vocabulary import FILTER_FIELDS
 from forecourt.operators import catalogue, retrieval
-from forecourt.sources.toml_source import read_catalogue, write_text
+from forecourt.sources.toml_source import read_catalogue, write_catalogue, write_text
 
 QUERIES, ORACLES = {}, {}
 
@@ -200,12 +200,18 @@ def dedupe_first_occurrence(spark, sf_dir):
 
 @query()
 def toml_ingest(spark, sf_dir):
-    """Writes a few catalogue files to the shared folder and reads them back as documents."""
+    """Writes a catalogue file for each part to the shared folder, from the tasks, and reads all back as documents."""
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='forecourt-')}"
     folder = f"{root.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
-    for r in table(spark, sf_dir, "part").orderBy("p_partkey").limit(20).collect():
-        text = f'title = "Car"\ncar_model = "{r["p_brand"]}-{r["p_partkey"]}"\n[PriciseLabels]\nbrand = "{r["p_brand"]}"\nbrand_comments = "A {r["p_type"]} car"\n[AmbiguousLabels]\nsize = "{r["p_size"]}"\n[KeyDetails]\nkey_details = "{r["p_name"]}"\n'
-        write_text(spark, f"{folder}/nested/{r['p_partkey']}.toml", text)
+    part = table(spark, sf_dir, "part")
+    car = F.struct(
+        F.lit("Car").alias("title"),
+        F.concat_ws("-", "p_brand", "p_partkey").alias("car_model"),
+        F.struct(F.col("p_brand").alias("brand"), F.concat(F.lit("A "), "p_type", F.lit(" car")).alias("brand_comments")).alias("PriciseLabels"),
+        F.struct(F.col("p_size").cast("string").alias("size")).alias("AmbiguousLabels"),
+        F.struct(F.col("p_name").alias("key_details")).alias("KeyDetails"),
+    )
+    write_catalogue(part.select(F.col("p_partkey").cast("string").alias("name"), car.alias("car")), f"{folder}/nested")
     write_text(spark, f"{folder}/CarLabels.toml", 'title = "CarLabels"\ncar_model = "x"\n')
     write_text(spark, f"{folder}/broken.toml", "= nothing")
     rows = read_catalogue(spark, folder)

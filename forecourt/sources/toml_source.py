@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import tomllib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.functions.semantics import truthy
 
 TEMPLATE = "CarLabels.toml"
+#: Small partitions of files that one task reads at most, and folders that written files are dealt to.
+TASK_PARTS, FOLDERS = 256, 256
 ENTRY = "struct<section: string, ord: int, key: string, value: string>"
 SCHEMA = f"source_file string, car_model string, title string, key_details string, key_details_comments string, entries array<{ENTRY}>, corrupt string"
 
@@ -46,7 +51,9 @@ def read_catalogue(spark: SparkSession, folder: str, permissive: bool = False) -
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], SCHEMA)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.toml").load(folder)
-    rows = files.where(~F.col("path").endswith(f"/{TEMPLATE}")).select("path", "content").mapInArrow(run, SCHEMA)
+    parts, cores = files.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
+    few = files.coalesce(max(1, min(parts, max(4 * cores, -(-parts // TASK_PARTS)))))  # Spark plans few small files to a task
+    rows = few.where(~F.col("path").endswith(f"/{TEMPLATE}")).select("path", "content").mapInArrow(run, SCHEMA)
     return rows if permissive else rows.where(F.col("corrupt").isNull() & truthy("car_model"))
 
 
@@ -56,3 +63,31 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
     out.write(bytearray(text.encode()))
     out.close()
+
+
+def dumps(car: dict) -> str:
+    """A car's text keys and sections of text keys; those that are None are left out."""
+    line = lambda k, v: f"{k} = {json.dumps(v, ensure_ascii=False)}\n".replace("\x7f", "\\u007f")
+    top = "".join(line(k, v) for k, v in car.items() if v is not None and not isinstance(v, dict))
+    return top + "".join(f"[{s}]\n" + "".join(line(k, v) for k, v in own.items() if v is not None) for s, own in car.items() if isinstance(own, dict))
+
+
+def write_catalogue(cars: DataFrame, folder: str) -> int:
+    """Writes a file for each row (name, car) below folder, from the tasks; car is a struct for dumps. How many files.
+
+    Names don't repeat. Files appear whole, by renaming, so that attempts of a task can't leave parts. The folder is
+    one that all executors share and pyarrow's file systems reach.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, car in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = f"{root}/{sum(name.encode()) % FOLDERS:03d}"
+                files.create_dir(own)
+                with files.open_output_stream(part := f"{own}/{name}.{uuid.uuid4().hex}") as out:
+                    out.write(dumps(car).encode())
+                files.move(part, f"{own}/{name}.toml")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return cars.select("name", "car").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from forecourt.functions.semantics import filled, strip, truthy
 from forecourt.functions.vocabulary import PROFILE_FIELDS, STAGES
 from forecourt.operators import catalogue, evaluation, extraction, funnel, records, retrieval, sequence
+from forecourt.plans import registry
 from forecourt.sources.record_store import read_records
-from forecourt.sources.toml_source import read_catalogue
+from forecourt.sources.toml_source import read_catalogue, write_catalogue
 
 
 def one(spark, **columns):
@@ -167,3 +168,24 @@ def test_batch_search_takes_queries_of_any_number(spark, monkeypatch):
         assert sorted(map(tuple, found)) == sorted(expected)
     many = spark.range(200_020).selectExpr("id as vec_id", "array(cast(1 as double), cast(id as double)) as embedding")
     assert retrieval.top_k_batch(many.where("vec_id < 5"), many.where("vec_id % 20 = 0"), 1).count() == 10_001  # more than 10,000 were refused
+
+
+def test_catalogue_of_all_parts(spark):
+    folder = "/root/testdata/sf0.001"
+    entry = lambda section, i, key, value: F.struct(F.lit(section).alias("section"), F.lit(i).alias("ord"), F.lit(key).alias("key"), value.alias("value"))
+    entries = F.array(entry("PriciseLabels", 0, "brand", F.col("p_brand")), entry("PriciseLabels", 1, "brand_comments", F.expr("'A ' || p_type || ' car'")), entry("AmbiguousLabels", 0, "size", F.col("p_size").cast("string")))
+    name = F.expr("p_brand || '-' || p_partkey")
+    text = catalogue.document_text(name, F.col("p_name"), F.lit(None).cast("string"), entries)
+    part = spark.read.parquet(f"{folder}/part.parquet")
+    expected = part.select(name.alias("car_model"), text.alias("text"), F.size(catalogue.metadata(name, entries)).alias("n_fields"))
+    found = registry.QUERIES["toml_ingest"](spark, folder).drop("n_filters")
+    assert found.count() == part.count() > 20 and found.exceptAll(expected).count() == 0
+
+
+def test_written_catalogue_reads_back(spark, tmp_path):
+    odd = 'a "quoted" \\ back\nline\x7f\x01 é\u2028'
+    rows = [("1", ("M", {"brand": odd})), ("2", ("N", {"brand": None}))]
+    cars = spark.createDataFrame(rows, "name string, car struct<car_model: string, PriciseLabels: struct<brand: string>>")
+    assert write_catalogue(cars, tmp_path.as_uri()) == 2
+    found = {r["car_model"]: [e["value"] for e in r["entries"]] for r in read_catalogue(spark, str(tmp_path)).collect()}
+    assert found == {"M": [odd], "N": []}
