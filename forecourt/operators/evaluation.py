@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,9 +82,11 @@ def overall(task: Column, conversion: Column, response: Column, profile_f1: Colu
     return 0.35 * (0.5 * task + 0.5 * conversion) + 0.30 * response + 0.20 * found + 0.10 * stage * 100 + 0.05 * quick
 
 
-def order_statistics(df: DataFrame, group: str, value: str, shares: dict[str, float], parts: int = 64) -> DataFrame:
+def order_statistics(df: DataFrame, group: str, value: str, shares: dict[str, float | Callable[[Column], Column]], parts: int = 64) -> DataFrame:
     """Per group, for each named share q, the value at index min(floor(n q), n - 1) of the sorted values.
 
+    A function in place of a share gives the index from n.
+
     Approximate quantiles cut each group into ranges; counts of the ranges tell which one holds an index, and
     only rows of those ranges are ranked. So the result is exact, and no group is sorted or collected as a whole.
     Only a single value that fills a range by itself isn't split; it needs no rank.
@@ -94,7 +97,7 @@ def order_statistics(df: DataFrame, group: str, value: str, shares: dict[str, fl
     counts = ranged.groupBy(group, "_r").agg(F.count("*").alias("_k"), F.first("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     before = F.sum("_k").over(Window.partitionBy(group).orderBy("_r")) - F.col("_k")
     counts = counts.withColumn("_before", before)
-    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.least(F.floor(F.col("_n") * q), F.col("_n") - 1).alias("at")) for k, q in shares.items())))
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.least(q(F.col("_n")) if callable(q) else F.floor(F.col("_n") * q), F.col("_n") - 1).alias("at")) for k, q in shares.items())))
     holds = counts.withColumn("w", wanted).where((F.col("w.at") >= F.col("_before")) & (F.col("w.at") < F.col("_before") + F.col("_k"))).select(group, "_r", "_before", "_lo", "_hi", "w.name", "w.at")
     alone = holds.where("_lo = _hi").select(group, "name", F.col("_lo").alias("value"))
     mixed = holds.where("_lo != _hi")
@@ -106,10 +109,10 @@ def order_statistics(df: DataFrame, group: str, value: str, shares: dict[str, fl
 
 def latency_report(df: DataFrame, group: str, value: str) -> DataFrame:
     """n, avg, p50 (mean of the middle two), p95, p99 and max, to two digits."""
-    base = df.groupBy(group).agg(F.count(value).alias("samples"), F.avg(value).alias("a"), F.max(value).alias("m"), F.median(value).alias("p"))
-    ranks = order_statistics(df, group, value, {"p95": 0.95, "p99": 0.99, "upper_median": 0.5})
+    base = df.groupBy(group).agg(F.count(value).alias("samples"), F.avg(value).alias("a"), F.max(value).alias("m"))
+    ranks = order_statistics(df, group, value, {"p95": 0.95, "p99": 0.99, "upper_median": 0.5, "lower_median": lambda n: F.floor((n - 1) / 2)})
     two = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 2)
-    return base.join(ranks, group, "left").select(group, "samples", two(F.col("a")).alias("avg_ms"), two(F.col("p")).alias("p50_ms"), two(F.col("p95")).alias("p95_ms"), two(F.col("p99")).alias("p99_ms"), two(F.col("upper_median")).alias("upper_median_ms"), two(F.col("m")).alias("max_ms"))
+    return base.join(ranks, group, "left").select(group, "samples", two(F.col("a")).alias("avg_ms"), two((F.col("lower_median") + F.col("upper_median")) / 2).alias("p50_ms"), two(F.col("p95")).alias("p95_ms"), two(F.col("p99")).alias("p99_ms"), two(F.col("upper_median")).alias("upper_median_ms"), two(F.col("m")).alias("max_ms"))
 
 
 def health(agent: Column, index: Column) -> Column:

@@ -1,5 +1,7 @@
 """Truth tables and edge cases of the operators."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +191,10 @@ def test_written_catalogue_reads_back(spark, tmp_path):
     assert write_catalogue(cars, tmp_path.as_uri()) == 2
     found = {r["car_model"]: [e["value"] for e in r["entries"]] for r in read_catalogue(spark, str(tmp_path)).collect()}
     assert found == {"M": [odd], "N": []}
+
+
+def test_latency_report_collects_no_group(spark):
+    df = spark.createDataFrame([("even", float(x)) for x in (4, 1, 3, 2)] + [("odd", float(x)) for x in (9, 7, 8)] + [("one", 5.0), ("none", None)], "g string, v double")
+    report = evaluation.latency_report(df, "g", "v")
+    assert {r["g"]: r["p50_ms"] for r in report.collect()} == {"even": 2.5, "odd": 8.0, "one": 5.0, "none": 0.0}
+    assert not re.search(r"\b(percentile|median)\(", report._jdf.queryExecution().toString())
