@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,9 +15,11 @@ BATCH_ROWS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Only a local session may do without: it gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='forecourt-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -26,12 +29,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/forecourt-{uuid.uuid4().hex}/{name}"
 
 
+#: Folders of the written tables by the id of their DataFrame, for `discard`.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: later reads survive a lost executor."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[found] = path
+    return found
+
+
+def discard(*written: DataFrame) -> None:
+    """Deletes tables of `materialize` that nothing will read again, whatever file system they are on."""
+    for df in written:
+        path = _WRITTEN.pop(df, None)
+        if path:
+            target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path).getParent()
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def map_batches(df: DataFrame, f: Callable[[Iterator], Iterator], schema: str) -> DataFrame:

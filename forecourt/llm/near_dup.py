@@ -1,30 +1,35 @@
 """Near-duplicate classes by Order MinHash, with banded alignment as the exact check.
 
-A text is its sequence of shingles of five lower-cased words. Each shingle is labelled with how many times it
-has occurred before in the text. A sketch takes, under its own hash, the ELL labelled shingles of least value and
-keeps them in the order of the text, so that it agrees for two texts with a probability that falls with their
-edit similarity. SKETCHES sketches give as many bucket keys.
-
-Two texts are linked if their shingle sequences, aligned within a band, have a common subsequence of L with
+A text is its sequence of lower-cased words; a character of a script without spaces (Chinese, Japanese, Thai and
+the like) is a word of its own. Its k-mers are shingles of five words, each labelled with how many times it has
+occurred before. A sketch takes, under its own hash, the ELL labelled shingles of least value and keeps them in the
+order of the text, so that it agrees for two texts with a probability that falls with their edit similarity.
+SKETCHES sketches give as many bucket keys. A text of SHORT words at most also has the hash of its words and of its
+words without each one of them as keys, so that short texts that differ in one word always meet.
+
+Two texts are linked if their words, aligned within a band, have a common subsequence of L words with
 L / (n1 + n2 - L) >= 0.8. Whatever lies outside the band of (n1 + n2)(1 - s) / (1 + s) shifts can't reach s, so
-the band loses nothing.
+the band loses nothing. Words are compared by 32 bits of their hash.
 
 Work on Spark:
-1. one pass over the texts writes, per row, a hash of its words, its length and its bucket keys;
-2. exact copies (equal words) fall into one class by a partial aggregate, and one of each goes on;
+1. one pass over the texts writes, per row, a digest of its words, the words' hashes and its bucket keys;
+2. exact copies (equal words) are one node, found by a partial aggregate;
 3. in every bucket all members meet the member that shares most bucket places (a hub); small buckets compare
    all their members. Links become components by repeated minimum labels and pointer jumps, on written tables;
-4. buckets that still span several components compare the members outside the largest one with all members of
-   other components, in blocks and chunks. So no link of a bucket is lost, and no group emits its pairs.
+4. members of larger buckets that still span several components are compared by an exact join: a text's words in
+   order of rarity, of which the rarest fifth and one more must hold a word in common for two texts to reach 0.8.
+   So no link of a bucket is lost, no bucket is compared as a whole, and no task holds one.
 
-Defined cases: texts without a word are never duplicates; texts of one to four words are one shingle; rows that
-repeat (the same id and words) are each returned with the same class; rows of one id with different words count
-as one document with the longest of its texts; an empty table gives no rows; other
-columns are ignored.
+Defined cases: texts without a word are never duplicates and have their own id as class; rows that repeat are each
+returned with the same class, as are rows of one id with different texts; rows with a null id take part, and a
+class has the least id that any of its rows has; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +38,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm.common import BATCH_ROWS, map_batches, materialize, own_columns, table
+from forecourt.llm.common import BATCH_ROWS, discard, map_batches, materialize, own_columns, table
 
 WORDS, SIMILARITY = 5, 0.8
-ELL, SKETCHES = 4, 20
+ELL, SKETCHES = 3, 32
+#: Texts of so many words at most have keys without each one of their words.
+SHORT = 17
 #: Buckets of so many members compare all of them at once.
 SMALL = 8
-#: About so many members and queries of a bucket are compared in one group.
-CHUNK, BLOCK = 1000, 128
-SEPARATOR = np.array([not (chr(i).isalnum() or i >= 128) for i in range(256)])
+#: Characters tokenized at once, to the end of a word.
+BLOCK = 1 << 18
+
+# Ranges of code points of scripts that are written without spaces.
+UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
+
+
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 for a separator, 1 inside a word, 2 for a word of its own, as all beyond the first plane are."""
+    kinds = np.array([chr(i).isalnum() or unicodedata.category(chr(i))[0] == "M" for i in range(1 << 16)] + [True], np.uint8)
+    for a, b in UNSPACED:
+        kinds[a : b + 1] *= 2
+    kinds[-1] = 2
+    return kinds
+
+
+KINDS = _kinds()
+BREAK = re.compile(r"\s")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,7 +73,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-BYTE_VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 ODD, INVERSE = 0x2545F4914F6CDD1D, pow(0x2545F4914F6CDD1D, -1, 1 << 64)
 
 
@@ -60,7 +82,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the base and of its inverse, as many as the longest text so far needs."""
+    """Powers of the base and of its inverse, as many as the longest block so far needs."""
 
     def __init__(self):
         self.up, self.down = _powers(ODD, 1 << 14), _powers(INVERSE, 1 << 14)
@@ -70,19 +92,31 @@ class Powers:
             self.up, self.down = _powers(ODD, 2 * n), _powers(INVERSE, 2 * n)
 
 
-def word_hashes(text: bytes, powers: Powers) -> np.ndarray:
-    """Hash of each word (run of ASCII letters, digits and other scripts' bytes) of lower-cased UTF-8."""
-    raw = np.frombuffer(text, np.uint8)
-    powers.need(len(raw))
-    inside = ~SEPARATOR[raw]
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
-    starts, ends = edges[::2], edges[1::2]
+def _block_hashes(points: np.ndarray, powers: Powers) -> np.ndarray:
+    kind = KINDS[np.minimum(points, len(KINDS) - 1)]
+    before, after = np.concatenate(([0], kind[:-1])), np.concatenate((kind[1:], [0]))
+    starts = np.flatnonzero((kind == 2) | ((kind == 1) & (before != 1)))
+    ends = np.flatnonzero((kind == 2) | ((kind == 1) & (after != 1))) + 1
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_VALUES[raw] * powers.up[: len(raw)], dtype=np.uint64)))
+    powers.need(len(points))
+    values = _mix((points.astype(np.uint64) + np.uint64(1)) * GOLDEN)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers.up[: len(points)], dtype=np.uint64)))
     return _mix((total[ends] - total[starts]) * powers.down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(text: str, powers: Powers) -> np.ndarray:
+    """Hash of each word of a lower-cased text, in blocks that end at white space."""
+    out, at = [], 0
+    while at < len(text):
+        end = len(text)
+        if end - at > BLOCK and (m := BREAK.search(text, at + BLOCK)):
+            end = m.start()
+        out.append(_block_hashes(np.frombuffer(text[at:end].encode("utf-32-le", "surrogatepass"), "<u4"), powers))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingles(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     """Hash of each k consecutive words; a shorter text is one shingle."""
     if not len(words):
@@ -90,7 +124,7 @@ def shingles(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     k = min(k, len(words))
     h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        h = _mix(h ^ words[i : len(words) - k + 1 + i]) + np.uint64(0x9E3779B97F4A7C15)
+        h = _mix(h ^ words[i : len(words) - k + 1 + i]) + GOLDEN
     return h
 
 
@@ -107,7 +141,7 @@ def occurrence_labels(xs: np.ndarray) -> np.ndarray:
 
 def _labelled(xs: np.ndarray) -> np.ndarray:
     """One hash for each shingle and how many times it has occurred before."""
-    return _mix(xs + occurrence_labels(xs).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _mix(xs + occurrence_labels(xs).astype(np.uint64) * GOLDEN)
 
 
 SEEDS = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -130,23 +164,42 @@ def sketch(xs: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def short_keys(words: np.ndarray) -> np.ndarray:
+    """Hashes of all words, and of all but one of them, of a text that is short enough."""
+    n = len(words)
+    if not 4 <= n <= SHORT:
+        return np.zeros(0, np.int64)
+    rows = [words] + [np.delete(words, i) for i in range(n)]
+    out = []
+    for row in rows:
+        h = len(row)
+        for x in row.tolist():
+            h = ((h ^ x) * 0x100000001B3 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+        out.append(h)
+    return np.unique(np.array(out, np.uint64)).view(np.int64)
+
+
+def with_occurrences(words: np.ndarray) -> np.ndarray:
+    """32-bit hashes of words in the upper half of 64 bits, and how often each has occurred before in the lower."""
+    return (words.astype(np.int64) << 32) | occurrence_labels(words)
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """L / (n1 + n2 - L) for the longest common subsequence within the band that `least` allows."""
+    """L / (n1 + n2 - L) for the longest common subsequence within the band that `least` allows; 0 if it can't reach least."""
     if len(a) < len(b):
         a, b = b, a
     total = len(a) + len(b)
-    if len(b) < least * len(a) or not len(b):
+    if len(b) < least * len(a) - 1e-9 or not len(b):
         return 0.0
-    same = len(np.intersect1d(a, b))
-    repeats = (len(a) - len(np.unique(a))) + (len(b) - len(np.unique(b)))
-    if (same + repeats) * (1 + least) < least * total:
-        return 0.0  # not even the common elements are enough
     head = int(np.argmin(np.append(a[: len(b)] == b, False)))
     a, b = a[head:], b[head:]
     tail = int(np.argmin(np.append(a[::-1][: len(b)] == b[::-1], False)))
     a, b = a[: len(a) - tail], b[: len(b) - tail]
     found = head + tail
     if len(a) and len(b):
+        common = found + len(np.intersect1d(with_occurrences(a), with_occurrences(b), assume_unique=True))
+        if common * (1 + least) < least * total - 1e-9:
+            return 0.0  # not even the common words in any order are enough
         band = int(total * (1 - least) / (1 + least)) + 1
         at: dict[int, int] = {}
         for j, x in enumerate(b.tolist()):
@@ -162,12 +215,8 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
     return found / (total - found)
 
 
-def _sequence(text: str, powers: Powers) -> np.ndarray:
-    return shingles(word_hashes(text.encode(), powers))
-
-
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, words (hash of the word sequence, null without words), keys (bucket keys), for every row."""
+    """For every row: id, text_hash, node (digest of the words, null without words), seq (32-bit hashes of the words), keys."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,150 +224,155 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         powers = Powers()
         for batch in batches:
-            hashes, keys = [], []
-            for text in batch.column(1).to_pylist():
-                words = word_hashes((text or "").encode(), powers)
-                hashes.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None)
-                keys.append(sketch(shingles(words)) if len(words) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "words", "keys"])
+            nodes, seqs, keys = [], [], []
+            for text in batch.column(2).to_pylist():
+                words = word_hashes(text or "", powers)
+                nodes.append(hashlib.blake2b(words.tobytes(), digest_size=16).digest() if len(words) else None)
+                seqs.append((words >> np.uint64(32)).astype("<u4").tobytes() if len(words) else None)
+                keys.append(np.concatenate((sketch(shingles(words)), short_keys(words))) if len(words) else None)
+            columns = [batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(seqs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "text_hash", "node", "seq", "keys"])
 
-    return map_batches(docs.select(id_col, F.lower(F.col(text_col)).alias("text")), run, f"id {kind}, words binary, keys array<bigint>")
+    lowered = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.lower(F.col(text_col)).alias("text"))
+    return map_batches(lowered, run, f"id {kind}, text_hash bigint, node binary, seq binary, keys array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The written pairs (a, b) whose texts are similar enough."""
-    spark = pairs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Written (a, b, similarity) of the pairs (a, b) of nodes whose words are similar enough."""
+    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
     def similar(a, b):
-        powers = Powers()
-        last, found = (None, None), []
-        for x, y in zip(a, b, strict=True):
-            if x != last[0]:
-                last = (x, _sequence(x, powers))
-            found.append(aligned_similarity(last[1], _sequence(y, powers)))
-        return pd.Series(found, dtype="float64")
+        return pd.Series([aligned_similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     similar.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
-    by = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    return materialize(by.select("a", "b", F.pandas_udf(similar, "double")("text_a", "text_b").alias("similarity")).where(F.col("similarity") >= SIMILARITY), "links")
+    # The same joins at every size: whether candidates could be broadcast depends on the size of the input.
+    by = pairs.hint("merge").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b").hint("merge").join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a")
+    return materialize(by.select("a", "b", F.pandas_udf(similar, "double")("seq_a", "seq_b").alias("similarity")).where(F.col("similarity") >= SIMILARITY), "links")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Written (rep, class): the least rep of each connected component of links (a, b).
+def components(links: DataFrame) -> DataFrame:
+    """Written (node, class): the least node of each connected component of links (a, b), for nodes that have a link.
 
     Each round lowers every node's class to the least among its neighbours' and then to that class's own class
-    (a pointer jump), until no node changes. Nodes without a link stay out of the rounds.
+    (a pointer jump), until no node changes.
     """
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("rep"), F.least("a", "m").alias("class")), "classes")
+    label = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("class")), "classes")
     while True:
-        near = both.join(label.select(F.col("rep").alias("b"), "class"), "b").groupBy(F.col("a").alias("rep")).agg(F.min("class").alias("near"))
-        lower = label.join(near, "rep").select("rep", F.col("class").alias("was"), F.least("class", "near").alias("class"))
-        jump = lower.select(F.col("rep").alias("class"), F.col("class").alias("up"))
-        after = materialize(lower.join(jump, "class", "left").select("rep", "was", F.least("class", F.coalesce("up", "class")).alias("class")), "classes")
-        label = after.select("rep", "class")
+        near = both.join(label.select(F.col("node").alias("b"), "class"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
+        lower = label.join(near, "node").select("node", F.col("class").alias("was"), F.least("class", "near").alias("class"))
+        jump = lower.select(F.col("node").alias("class"), F.col("class").alias("up"))
+        after = materialize(lower.join(jump, "class", "left").select("node", "was", F.least("class", F.coalesce("up", "class")).alias("class")), "classes")
+        discard(label)
+        label = after
         if after.where(F.col("class") != F.col("was")).isEmpty():
-            break
-    return materialize(nodes.select("rep").distinct().join(label, "rep", "left").select("rep", F.coalesce("class", "rep").alias("class")), "components")
+            discard(both)
+            return after.select("node", "class")
 
 
-def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, rep (least id with the same words), class_id (least id of the near-duplicate class), for every row.
+def across_components(places: DataFrame, parts: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Written links (a, b) between different components, of nodes of buckets that span several of them.
 
-    Rows without words, or without an id, have their own id as both.
+    Two texts of n1 <= n2 words that reach the similarity s have s * n2 words in common at least. So, whatever the
+    order of all words, the first n - ceil(s * n) + 1 words of both hold one in common. Words (each with how often it
+    has occurred before) are ordered by in how few of these texts they are, so that those of passages or phrases
+    that many texts share come last and hardly ever make a pair.
     """
+    placed = places.join(parts, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
+    split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key")
+    members = placed.join(split, "key", "left_semi").select("node", "class").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in words], pa.int32()), pa.array([with_occurrences(x) for x in words], pa.list_(pa.int64()))], names=["node", "class", "n", "tokens"])
+
+    of = map_batches(members.hint("merge").join(seqs, "node").select("node", "class", "seq"), run, "node binary, class binary, n int, tokens array<bigint>")
+    tokens = materialize(of.select("node", "class", "n", F.explode("tokens").alias("token")), "tokens")
+    known = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    first = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9).cast("int") + 1
+    rare = tokens.join(known, "token").groupBy("node", "class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))  # a text's own words
+    rare = rare.select("node", "class", "n", F.explode(F.slice("all", F.lit(1), first)).alias("t")).where("t.df > 1").select("node", "class", "n", F.col("t.token").alias("token"))
+    rare = materialize(rare, "rare_words")
+    shared = rare.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("token")
+    rare = rare.join(shared, "token", "left_semi")
+    other = rare.select("token", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"))
+    lengths = (F.col("n_b") >= SIMILARITY * F.col("n") - 1e-9) & (F.col("n") >= SIMILARITY * F.col("n_b") - 1e-9)
+    pairs = rare.join(other, "token").where((F.col("class") < F.col("class_b")) & lengths).select(F.col("node").alias("a"), "b").distinct()
+    found = verified(pairs, seqs)
+    discard(tokens, rare)
+    return found
+
+
+def find_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written rows (id, text_hash, node), links (a, b, similarity) between different nodes, and classes (node, class)."""
     rows = materialize(sketches(docs, id_col, text_col), "sketches")
-    usable = rows.where("words is not null and id is not null")
-    copies = usable.groupBy("words").agg(F.min("id").alias("rep"), F.min_by("keys", "id").alias("keys"))
-    reps = materialize(copies, "reps")
-    places = reps.select("rep", F.posexplode("keys").alias("i", "key"))
-    counted = places.groupBy("i", "key").agg(F.count("*").alias("n")).where("n > 1")
-    places = materialize(places.join(counted, ["i", "key"]).select("rep", "n", F.xxhash64("i", "key").alias("bucket")), "places")
-    degree = places.groupBy("rep").agg(F.sum("n").alias("degree"))
-    # The same join at every size: whether ids of candidates could be broadcast depends on the size of the input.
-    texts = docs.select(F.col(id_col).alias("rep"), F.lower(F.col(text_col)).alias("text")).join(degree.select("rep").hint("merge"), "rep", "left_semi")
-    if id_repeats(docs, id_col):
-        texts = texts.groupBy("rep").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
-    texts = materialize(texts, "texts")
-    ranked = places.join(degree, "rep")
-    hubs = ranked.groupBy("bucket").agg(F.max_by("rep", F.struct("degree", "rep")).alias("hub"))
-    met = places.join(hubs, "bucket").where("rep != hub").select(F.col("hub").alias("h"), "rep")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys"))
+    places = materialize(nodes.select("node", F.explode(F.array_distinct("keys")).alias("key")), "all_places")
+    counted = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met_places = materialize(places.hint("merge").join(counted, "key"), "places")
+    discard(places)
+    places = met_places
+    degree = places.groupBy("node").agg(F.sum("n").alias("degree"))
+    seqs = rows.where("node is not null").select("node", "seq").join(degree.select("node").hint("merge"), "node", "left_semi")
+    seqs = materialize(seqs.dropDuplicates(["node"]), "words")
+    hubs = places.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
+    met = places.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     small = places.where(F.col("n") <= SMALL)
-    other = small.select("bucket", F.col("rep").alias("h"))
-    met = met.unionByName(small.join(other, "bucket").where("h < rep").select("h", "rep"))
-    links = verified(_pairs(met), texts)
-    parts = components(reps, links)
-    more = across_components(places.where(F.col("n") > SMALL), parts, texts)
+    met = met.unionByName(small.join(small.select("key", F.col("node").alias("a")), "key").where("a < node").select("a", F.col("node").alias("b")))
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = verified(met, seqs)
+    parts = components(links)
+    more = across_components(places.where(F.col("n") > SMALL), parts, seqs)
     if not more.isEmpty():
-        parts = components(reps, links.select("a", "b").unionByName(more))
-    classes = reps.select("words", "rep").join(parts, "rep")
-    found = rows.select("id", "words").join(classes, "words", "left")
-    return found.select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("class", "id").alias("class_id"))
+        links = links.unionByName(more)
+        parts = components(links)
+    discard(places, seqs)
+    return rows.select("id", "text_hash", "node"), links, parts
 
 
-def across_components(places: DataFrame, parts: DataFrame, texts: DataFrame) -> DataFrame:
-    """Written links (a, b) between different components that still share a bucket.
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row: id, rep (least id with the same words), class_id (least id of the near-duplicate class), n_links.
 
-    Of every such bucket, the members outside its largest component are the queries. They go in blocks of about
-    BLOCK against chunks of about CHUNK members, so that no group is as large as its bucket and no pair becomes
-    a row. Within a group, common labelled shingles bound the alignment of a member with all queries of the
-    block at once; only pairs that can reach the threshold are aligned.
+    n_links counts the links found between the row's words and different ones; in a class of more than two not every
+    pair needs to have been compared.
+    """
+    rows, links, parts = find_links(docs, id_col, text_col)
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"))
+    placed = nodes.join(parts, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    least = placed.groupBy("class").agg(F.min("rep").alias("class_id"))
+    counts = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    placed = placed.join(least, "class").join(counts, "node", "left").select("node", "rep", "class_id", "n_links")
+    found = rows.hint("merge").join(placed, "node", "left")
+    alone = F.col("node").isNull()
+    own = lambda c: F.when(alone, F.col("id")).otherwise(F.col(c)).alias(c)
+    return found.select("id", own("rep"), own("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class, and all rows without words; columns and their order stay.
+
+    The row with the least id stays (a null id comes last), of rows with that id the one with the least hash of its
+    text, and of equal rows of these one.
     """
-    own = places.join(parts, "rep")
-    sizes = own.groupBy("bucket", "class").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max_by("class", F.struct("size", "class")).alias("main"), (F.sum("size") - F.max("size")).alias("queries"), F.count("*").alias("classes")).where("classes > 1").drop("classes")
-    own = materialize(own.join(main, "bucket"), "split")
-    chunks, blocks = F.ceil(F.col("n") / CHUNK).cast("int"), F.ceil(F.col("queries") / BLOCK).cast("int")
-    texts = texts.join(own.select("rep").distinct(), "rep", "left_semi")
-    part = lambda of: F.pmod(F.xxhash64("rep"), of).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    members = own.select("bucket", "rep", "class", part(chunks).alias("chunk"), all_of(blocks).alias("block")).join(texts, "rep")
-    queries = own.where(F.col("class") != F.col("main")).select(F.col("bucket").alias("q_bucket"), F.col("rep").alias("q_rep"), F.col("class").alias("q_class"), part(blocks).alias("q_block"), all_of(chunks).alias("q_chunk"))
-    queries = queries.join(texts.select(F.col("rep").alias("q_rep"), F.col("text").alias("q_text")), "q_rep")
-    kind = texts.schema["rep"].dataType.simpleString()
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        powers, out = Powers(), []
-        if len(left) and len(right):
-            queries = [_sequence(x, powers) for x in right["q_text"]]
-            labelled = [_labelled(x) for x in queries]
-            tokens, owners = np.concatenate(labelled), np.repeat(np.arange(len(queries)), [len(x) for x in labelled])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owners, lengths = tokens[order], owners[order], np.array([len(x) for x in queries])
-            classes, reps = right["q_class"].to_numpy(), right["q_rep"].to_numpy()
-            for rep, cls, text in zip(left["rep"], left["class"], left["text"], strict=True):
-                own = _sequence(text, powers)
-                x = _labelled(own)
-                low, high = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
-                n = high - low
-                at = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-                common = np.bincount(owners[at], minlength=len(queries))
-                fits = (common >= SIMILARITY * (lengths + len(own) - common)) & (classes != cls)
-                out += [(reps[k], rep) for k in np.flatnonzero(fits) if aligned_similarity(queries[k], own) >= SIMILARITY]
-        return pd.DataFrame(out, columns=["a", "b"])
-
-    groups = ["bucket", "chunk", "block"]
-    return materialize(members.groupBy(*groups).cogroup(queries.groupBy(*(f"q_{x}" for x in groups))).applyInPandas(compare, f"a {kind}, b {kind}"), "more_links")
-
-
-def id_repeats(docs: DataFrame, id_col: str) -> bool:
-    return not docs.groupBy(id_col).count().where("count > 1").isEmpty()
-
-
-def _pairs(met: DataFrame) -> DataFrame:
-    """Distinct (a, b), each with the hub first, so that a hub's text is prepared once for its run of pairs."""
-    return met.select(F.col("h").alias("a"), F.col("rep").alias("b")).distinct()
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the one with the least id. Rows without an id or words all stay."""
-    found = near_classes(docs)
-    gone = found.where("id != class_id").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # the same join at every size.select(*own_columns(docs))
-    return kept.dropDuplicates(["doc_id", "text"]) if id_repeats(docs, "doc_id") else kept
+    rows, _, parts = find_links(docs, id_col, text_col)
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min(key).alias("key"))
+    kept = nodes.join(parts, "node", "left").groupBy(F.coalesce("class", "node").alias("class")).agg(F.min("key").alias("key"))
+    wordless = rows.where("node is null").select(F.col("id").alias("k_id"), F.col("text_hash").alias("k_hash")).distinct()
+    chosen = materialize(kept.select(F.col("key.id").alias("k_id"), F.col("key.text_hash").alias("k_hash")), "kept")
+    own_hash = F.xxhash64(F.col(f"`{text_col}`"))
+    same = lambda keys: docs[id_col].eqNullSafe(keys["k_id"]) & (own_hash == keys["k_hash"])
+    n = rows.where("node is not null").groupBy(F.col("id").alias("k_id"), F.col("text_hash").alias("k_hash")).agg(F.count("*").alias("n")).where("n > 1")
+    again = materialize(chosen.join(n.drop("n"), chosen["k_id"].eqNullSafe(n["k_id"]) & (chosen["k_hash"] == n["k_hash"]), "left_semi"), "repeated")
+    if again.isEmpty():
+        keys = chosen.unionByName(wordless)
+        return docs.join(keys.hint("merge"), same(keys), "left_semi").select(*own_columns(docs))
+    keys = chosen.join(again.hint("merge"), chosen["k_id"].eqNullSafe(again["k_id"]) & (chosen["k_hash"] == again["k_hash"]), "left_anti").unionByName(wordless)
+    once = docs.join(again.hint("merge"), same(again), "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(keys.hint("merge"), same(keys), "left_semi").unionByName(once).select(*own_columns(docs))
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_classes(table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), F.col("rep").alias("copy_of"), "class_id")
+    return found.select(F.col("id").alias("doc_id"), F.col("rep").alias("copy_of"), "class_id", "n_links")
