@@ -1,25 +1,33 @@
 """License scan by conditional compression.
 
-Lines that hold a word of license notices are candidates; candidates of one document that are near each other
-form a block together with what lies between them. A block is scanned with as many words to either side as the
-longest template may take, since lines of a wrapped text need not hold such a word. Every template of which these hold enough words is
-aligned word by word, wherever in them: the alignment gives the exact differences, and a template is
-confirmed if enough of its words are matched with at most BETWEEN times as many others between them. Of confirmed
-ones that overlap the one with the fewest differing words wins, unless all its words are among those of another;
-between equals decides by how many bytes the template as raw zstandard dictionary shortens the matched text. The
-words before and after are scanned again until nothing is confirmed. Spans are those of the matched words.
-
-Defined cases: null counts as empty; a text without candidates has no license; rows that repeat are each scanned;
-other columns are ignored.
+A template is one wording of a license: a notice of a line, a short license, or a whole text out of the folder
+`licenses`. A brace pair {} in a wording stands for up to SLOT words of any kind, such as a year and an owner.
+
+1. Candidate blocks. A wording of n words can be confirmed only where at least `least` of them (nine tenths) stand. So
+   one of its n - least + 1 longest words must be there, and the words around it must hold that many of its words.
+   That is a bound, not a guess: what it leaves out can't be confirmed.
+2. Ranking. Every candidate block is compressed with each of its templates as raw zstandard dictionary; templates are
+   ranked by the size that this saves, as a share of the size without a dictionary.
+3. Confirmation. In that order a template is aligned with the block word by word so that as few words as can be differ.
+   It is confirmed if at least nine tenths of the template's words are matched and these are at least four fifths of
+   the words that they span. Of confirmed ones that overlap the one with the smallest share of differing words wins,
+   unless all its words are among those of another; between equals the larger saving decides. The words before and
+   after are scanned again until nothing is confirmed. Spans are those of the matched words.
+
+Defined cases: null counts as empty; a text without candidates has no license; rows that repeat are each scanned; of
+templates that fit equally well the one first in the order of names is taken; whole texts are scanned whatever their
+length; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import bisect
+import glob
 import itertools
 import math
 import re
 from collections.abc import Iterator
+from importlib import resources
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -29,8 +37,8 @@ from pyspark.sql import functions as F
 
 from forecourt.llm.common import map_batches, table
 
-# The notices and short texts that are told apart.
-TEMPLATES = {
+# Notices and short texts by license; a license may have several wordings.
+NOTICES: dict[str, str | tuple[str, ...]] = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at '
@@ -42,6 +50,12 @@ TEMPLATES = {
         "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
         "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must "
+        "retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of {} nor the names of its contributors may be "
+        "used to endorse or promote products derived from this software without specific prior written permission."
+    ),
     "BSD-notice": "Released under the BSD License.",
     "CC-BY-4.0": "Licensed under CC BY 4.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
@@ -59,184 +73,228 @@ TEMPLATES = {
         "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    "Proprietary": "Copyright. All rights reserved.",
+    "Proprietary": ("All rights reserved.", "Copyright {} All rights reserved.", "All rights reserved. Copyright"),
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-CUE = re.compile(r"licen[sc]e|copyright|rights\W+reserved|permission\W+is|permission\W+to|redistribution|public\W+domain|warrant(y|ies)|as[ -]is|creative\W+commons|\bcc[ -]?(by|0)|spdx", re.IGNORECASE)
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
-#: Lines without a cue that a block may bridge, and the least share of matched words.
-BRIDGE, LEAST_SHARE = 2, 0.8
-#: Words that a notice may have between a template's own, as a multiple of the template's words.
-BETWEEN = 2
-#: Cost of a missing word, and costs of a word between others that are tried in turn: few differences first, then few missing words.
-MISSING, INSERTED = 16, (16, 4, 1)
+#: Least share of a template's words that are matched, and of the words of their span (slots left out) that they are.
+LEAST_SHARE, LEAST_OF_SPAN = 0.9, 0.8
+#: Words that a slot may hold.
+SLOT = 8
 LEVEL = 3
+MATCH, MISSING, INSERTED = 0, 1, 2
+#: Costs of a template's word without a partner and of a word between, tried in turn: few differences (of equally many, few missing words), then few missing words.
+COSTS = ((101, 100), (400, 100), (1600, 100))
+
+
+def templates(folder: str | None = None) -> dict[str, tuple[str, ...]]:
+    """Wordings by license: the notices above, and the text files of a folder (by default those of this package) as NAME-text."""
+    found = {name: (x,) if isinstance(x, str) else x for name, x in NOTICES.items()}
+    for path in resources.files("forecourt.llm").joinpath("licenses").iterdir() if folder is None else map(Path, sorted(glob.glob(f"{folder}/*.txt"))):
+        if path.name.endswith(".txt"):
+            name = f"{path.name[:-4]}-text"
+            found[name] = (*found.get(name, ()), path.read_text(encoding="utf-8"))
+    return found
+
+
+def least_words(n: int) -> int:
+    return math.ceil(LEAST_SHARE * n - 1e-9)
+
 
+class Wording(NamedTuple):
+    name: str
+    text: str
+    words: list[str]
+    slots: frozenset[int]
+    least: int
+    reach: int
 
-def blocks_of(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the candidate blocks, in code points."""
-    found: list[list[int]] = []
-    last = 0
-    for m in CUE.finditer(text):
-        if found and text.count("\n", last, m.start()) <= BRIDGE + 1:
-            found[-1][1] = m.end()
-        else:
-            found.append([m.start(), m.end()])
-        last = m.end()
-    ends = [(text.rfind("\n", 0, a) + 1, text.find("\n", b)) for a, b in found]
-    return [(a, len(text) if b < 0 else b) for a, b in ends]
-
-
-def rows_of(template: np.ndarray, words: np.ndarray, inserted: int, keep: bool) -> list[np.ndarray]:
-    """Least costs of aligning the template's first i words so that they end at each place of words; the last row only unless keep."""
-    ramp = inserted * np.arange(len(words) + 1, dtype=np.int32)
-    row = np.zeros(len(words) + 1, np.int32)  # a notice may begin anywhere
-    out = [row]
-    for t in template:
-        own = row + MISSING
-        same = np.flatnonzero(words == t)
-        own[same + 1] = np.minimum(own[same + 1], row[same])
-        row = np.minimum.accumulate(own - ramp) + ramp
-        if keep:
-            out.append(row)
-    return out if keep else [row]
+
+def wordings(known: dict[str, tuple[str, ...]]) -> list[Wording]:
+    out = []
+    for name in sorted(known):
+        for text in known[name]:
+            words, slots = [], set()
+            for part in re.split(r"(\{\})", text):
+                if part == "{}":
+                    slots.add(len(words))
+                words += [] if part == "{}" else [w.lower() for w in WORD.findall(part)]
+            least = least_words(len(words))
+            out.append(Wording(name, text.replace("{}", ""), words, frozenset(slots), least, math.ceil(len(words) / LEAST_OF_SPAN) + SLOT * len(slots)))
+    return out
 
 
 class Match(NamedTuple):
-    """A template in a run of words: indices of the matched words, and the differing words (- template only, + text only)."""
+    """A wording in a run of words: indices of the matched words, and the differing words (- template only, + text only)."""
 
     template: int
     matched: list[int]
     differ: list[str]
-    missing: int
+    saving: float
 
 
 class Scanner:
-    """Compressors with each template as raw dictionary, and the templates' words."""
+    """Compressors with each wording as raw dictionary, and the wordings' words."""
 
-    def __init__(self, templates: dict[str, str]):
+    def __init__(self, known: dict[str, tuple[str, ...]]):
         import zstandard
 
+        self.wordings = wordings(known)
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
-        self.names = sorted(templates)
-        self.primed = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(templates[n].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in self.names]
-        self.words = [[w.lower() for w in WORD.findall(templates[n])] for n in self.names]
-        self.tails = [WORD.split(templates[n])[-1] for n in self.names]
-        self.known = {w: i for i, w in enumerate(sorted({w for own in self.words for w in own}))}
-        self.ids = [np.array([self.known[w] for w in own], np.int32) for own in self.words]
-        self.counts = np.array([np.bincount(own, minlength=len(self.known)) for own in self.ids])
-        self.reach = (1 + BETWEEN) * max(map(len, self.words))
-        self.least = np.array([math.ceil(LEAST_SHARE * len(own)) for own in self.words])
-
-    def saving(self, i: int, raw: bytes, alone: int) -> float:
-        """Bytes that template i as dictionary saves, as a share of the plain size."""
-        return (alone - len(self.primed[i].compress(raw))) / alone
+        self.primed = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(w.text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.wordings]
+        self.tails = [WORD.split(w.text)[-1].rstrip() for w in self.wordings]
+        self.numbers = {w: i for i, w in enumerate(sorted({w for own in self.wordings for w in own.words}))}
+        self.ids = [np.array([self.numbers[w] for w in own.words], np.int32) for own in self.wordings]
+        self.counts = [np.bincount(own, minlength=len(self.numbers)) for own in self.ids]
+        self.cues: dict[int, list[int]] = {}  # by word, the wordings whose longest words it is among
+        for i, own in enumerate(self.wordings):
+            longest = sorted(own.words, key=lambda w: (-len(w), w))[: len(own.words) - own.least + 1]
+            for w in set(longest):
+                self.cues.setdefault(self.numbers[w], []).append(i)
 
-    def aligned(self, i: int, words: list[str], ids: np.ndarray, at: int, least: int, most: int) -> Match | None:
-        """Template i in the words whose numbers are ids and of which the first has index at; words from least to most may stand in place of its ends."""
-        own = self.ids[i]
-        for inserted in INSERTED:
-            rows = rows_of(own, ids, inserted, True)
-            k, j = len(own), len(ids) - int(np.argmin(rows[-1][::-1]))
-            steps = []  # from the end: (template's word, word), None for the one that has no partner
-            while k:
-                if j and own[k - 1] == ids[j - 1] and rows[k][j] == rows[k - 1][j - 1]:
-                    k, j = k - 1, j - 1
-                    steps.append((k, j))
-                elif rows[k][j] == rows[k - 1][j] + MISSING:
-                    k -= 1
-                    steps.append((k, None))
+    def split(self, text: str) -> tuple[list[tuple[int, int]], list[str], np.ndarray]:
+        """Spans of the words, the words in lower case, and their numbers (-1 for those of no template)."""
+        at, words = [], []
+        for m in WORD.finditer(text):
+            at.append(m.span())
+            words.append(m[0].lower())
+        return at, words, np.array([self.numbers.get(w, -1) for w in words], np.int32)
+
+    def candidates(self, ids: np.ndarray, a: int, b: int) -> list[tuple[int, int, int]]:
+        """(wording, first word, end) of the blocks within words a to b where a wording can be confirmed at all."""
+        places: dict[int, list[int]] = {}
+        for k in (np.flatnonzero(ids[a:b] >= 0) + a).tolist():
+            for i in self.cues.get(int(ids[k]), ()):
+                places.setdefault(i, []).append(k)
+        out = []
+        for i, ks in places.items():
+            own = self.wordings[i]
+            if b - a < own.least:
+                continue
+            blocks: list[list[int]] = []
+            for k in ks:
+                start, end = max(a, k - own.reach), min(b, k + own.reach + 1)
+                if blocks and start <= blocks[-1][1]:
+                    blocks[-1][1] = end
                 else:
-                    j -= 1
-                    steps.append((None, j))
-            steps.reverse()
-            steps = [(k, j if j is None else j + at) for k, j in steps]
-            matched = [j for k, j in steps if k is not None and j is not None]
-            between = sum(k is None for k, _ in steps)
-            if len(matched) >= self.least[i] and between <= BETWEEN * len(own):
-                before = next(n for n, x in enumerate(steps) if None not in x)
-                after = next(n for n, x in enumerate(reversed(steps)) if None not in x)
-                steps = [(None, j) for j in range(max(least, matched[0] - before), matched[0])] + steps + [(None, j) for j in range(matched[-1] + 1, min(most, matched[-1] + 1 + after))]
-                differ: list[str] = []
-                for equal, run in itertools.groupby(steps, lambda x: None not in x):
-                    if not equal:
-                        run = list(run)
-                        differ += [f"-{self.words[i][k]}" for k, _ in run if k is not None] + [f"+{words[j]}" for _, j in run if j is not None]
-                return Match(i, matched, differ, len(own) - len(matched))
-        return None
-
-    def matches(self, words: list[str], ids: np.ndarray, a: int, b: int) -> list[Match]:
-        """Confirmed alignments of the templates with words a to b; of those of one template that overlap, the best."""
-        own = ids[a:b]
-        held = np.bincount(own[own >= 0], minlength=len(self.known))
-        enough = np.minimum(self.counts, held).sum(axis=1) >= self.least  # without so many of its words no alignment can be confirmed
+                    blocks.append([start, end])
+            for start, end in blocks:
+                held = ids[start:end]
+                held = held[held >= 0]
+                if len(held) >= own.least and np.minimum(self.counts[i], np.bincount(held, minlength=len(self.numbers))).sum() >= own.least:
+                    out.append((i, start, end))
+        return out
+
+    def saving(self, i: int, raw: bytes) -> float:
+        """Bytes that wording i as dictionary saves, as a share of the size without it."""
+        alone = len(self.plain.compress(raw))
+        return (alone - len(self.primed[i].compress(raw))) / alone
+
+    def costs(self, i: int, ids: np.ndarray, weights: tuple[int, int], steps: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Least costs of aligning wording i so that it ends at each place of ids, and the steps there."""
+        own, (missing, inserted) = self.wordings[i], weights
+        ramp = inserted * np.arange(len(ids) + 1, dtype=np.int32)
+        row = np.zeros(len(ids) + 1, np.int32)  # a notice may begin anywhere
+        taken = np.zeros((len(own.words) + 1, len(ids) + 1), np.uint8) if steps else None
+        for k, t in enumerate(self.ids[i], 1):
+            before = row + missing
+            same = np.flatnonzero(ids == t) + 1
+            best = before.copy()
+            best[same] = np.minimum(best[same], row[same - 1])
+            row = np.minimum.accumulate(best) if k in own.slots else np.minimum.accumulate(best - ramp) + ramp
+            if taken is not None:
+                taken[k] = np.where(row == before, MISSING, INSERTED)
+                matched = same[row[same] == best[same]]
+                taken[k, matched[best[matched] < before[matched]]] = MATCH
+        return row, taken
+
+    def aligned(self, i: int, words: list[str], ids: np.ndarray, at: int, a: int, b: int, weights: tuple[int, int]) -> Match | None:
+        """Wording i, by the given costs, with the words whose numbers are ids (the first has index at), to end at the last; words from a to b may stand in place of its ends."""
+        own = self.wordings[i]
+        _, taken = self.costs(i, ids, weights, True)
+        k, j = len(own.words), len(ids)
+        steps: list[tuple[int | None, int | None, bool]] = []  # from the end: template's word, word, whether in a slot
+        while k:
+            step = taken[k, j]
+            if step == MATCH:
+                k, j = k - 1, j - 1
+                steps.append((k, j + at, False))
+            elif step == MISSING:
+                k -= 1
+                steps.append((k, None, False))
+            else:
+                j -= 1
+                steps.append((None, j + at, k in own.slots))
+        steps.reverse()
+        matched = [j for k, j, _ in steps if k is not None and j is not None]
+        if len(matched) < own.least:
+            return None
+        first, last = (next(n for n, (k, j, _) in enumerate(x) if k is not None and j is not None) for x in (steps, steps[::-1]))
+        inner = steps[first : len(steps) - last]
+        in_slots = sum(x for *_, x in inner)
+        between = sum(k is None and not x for k, _, x in inner)
+        if in_slots > SLOT * len(own.slots) or len(matched) < LEAST_OF_SPAN * (len(matched) + between) - 1e-9:
+            return None
+        before = [(None, j, False) for j in range(max(a, matched[0] - first), matched[0])]
+        after = [(None, j, False) for j in range(matched[-1] + 1, min(b, matched[-1] + 1 + last))]
+        differ: list[str] = []
+        for same, run in itertools.groupby(before + [x for x in steps if not x[2]] + after, lambda x: x[0] is not None and x[1] is not None):
+            if not same:
+                part = list(run)
+                differ += [f"-{own.words[k]}" for k, _, _ in part if k is not None] + [f"+{words[j]}" for _, j, _ in part if j is not None]
+        return Match(i, matched, differ, 0.0)
+
+    def matches(self, text: str, at: list[tuple[int, int]], words: list[str], ids: np.ndarray, a: int, b: int) -> list[Match]:
+        """Confirmed alignments with words a to b, in the order of what their templates save; of those of one template that overlap, the best."""
+        ranked = []
+        for i, start, end in self.candidates(ids, a, b):
+            raw = text[at[start][0] : at[end - 1][1]].lower().encode("utf-8", "surrogatepass")
+            ranked.append((-self.saving(i, raw), i, start, end))
         out = []
-        for i in np.flatnonzero(enough).tolist():
-            n = len(self.ids[i])
-            cost = rows_of(self.ids[i], own, 1, False)[0]
-            ends = np.flatnonzero((cost[1:] <= MISSING * (n - self.least[i]) + BETWEEN * n) & (cost[1:] <= cost[:-1])) + 1
-            taken = np.zeros(b - a + 1, bool)
-            for end in ends[np.argsort(cost[ends], kind="stable")].tolist():
-                if taken[end]:
-                    continue
-                start = max(0, end - (1 + BETWEEN) * n)
-                if found := self.aligned(i, words, own[start:end], a + start, a, b):
-                    taken[found.matched[0] - a + 1 : found.matched[-1] - a + 2] = True
-                    taken[end] = True
-                    out.append(found)
+        for saving, i, start, end in sorted(ranked):
+            own = self.wordings[i]
+            taken = np.zeros(end - start + 1, bool)
+            for weights in COSTS:
+                cost, _ = self.costs(i, ids[start:end], weights, False)
+                most = weights[0] * (len(own.words) - own.least) + weights[1] * len(own.words) * (1 - LEAST_OF_SPAN) / LEAST_OF_SPAN + 1e-6
+                ends = np.flatnonzero(cost[1:] <= most) + 1
+                for k in ends[np.argsort(cost[ends], kind="stable")].tolist():
+                    first = max(start, start + k - own.reach)
+                    if not taken[k] and (found := self.aligned(i, words, ids[first : start + k], first, a, b, weights)):
+                        taken[found.matched[0] - start + 1 : found.matched[-1] - start + 2] = True
+                        out.append(found._replace(saving=-saving))
         return out
 
-    def best_first(self, found: list[Match], text: str, at: list[tuple[int, int]]) -> list[tuple[Match, float]]:
-        """With savings over the matched words' span; a match whose words are all, and not the only ones, of another is left out."""
-        order = []
+    def best_first(self, found: list[Match]) -> list[Match]:
+        """A match whose words are all, and not the only ones, of another is left out."""
         sets = [frozenset(x.matched) for x in found]
-        ends = sorted(range(len(found)), key=lambda k: found[k].matched[0])
         near: list[int] = []  # those that reach to the match at hand
         dropped = set()
-        for k in ends:
+        for k in sorted(range(len(found)), key=lambda k: found[k].matched[0]):
             near = [x for x in near if found[x].matched[-1] >= found[k].matched[0]]
             for x in near:
                 dropped |= {k} if sets[k] < sets[x] else {x} if sets[x] < sets[k] else set()
             near.append(k)
-        for k, x in enumerate(found):
-            if k not in dropped:
-                raw = text[at[x.matched[0]][0] : at[x.matched[-1]][1]].lower().encode()
-                order.append((len(x.differ) / len(self.words[x.template]), -len(x.matched), x.missing, -self.saving(x.template, raw, len(self.plain.compress(raw))), self.names[x.template], k))
-        return [(found[k], -saving) for *_, saving, _, k in sorted(order)]
+        by = lambda x: (len(x.differ) / len(self.wordings[x.template].words), -len(x.matched), -x.saving, x.template)
+        return sorted((x for k, x in enumerate(found) if k not in dropped), key=by)
 
     def confirm(self, block: str) -> tuple[str, float, int, list[str]] | None:
         """Winner, its saving, how many words differ and which (- template only, + block only)."""
         at, words, ids = self.split(block)
-        ranked = self.best_first(self.matches(words, ids, 0, len(words)), block, at)
-        return (self.names[ranked[0][0].template], ranked[0][1], len(ranked[0][0].differ), ranked[0][0].differ) if ranked else None
-
-    def split(self, text: str) -> tuple[list[tuple[int, int]], list[str], np.ndarray]:
-        """Spans of the words, the words in lower case, and their numbers (-1 for those of no template)."""
-        at, words = [], []
-        for m in WORD.finditer(text):
-            at.append(m.span())
-            words.append(m[0].lower())
-        return at, words, np.array([self.known.get(w, -1) for w in words], np.int32)
+        ranked = self.best_first(self.matches(block, at, words, ids, 0, len(words))) if words else []
+        return (self.wordings[ranked[0].template].name, ranked[0].saving, len(ranked[0].differ), ranked[0].differ) if ranked else None
 
-    def scan(self, text: str, blocks: list[tuple[int, int]] | None = None) -> list[dict]:
-        """Every confirmed notice: those that overlap no better one, then what the words left between them hold, until nothing is confirmed."""
-        blocks = blocks_of(text) if blocks is None else blocks
-        if not blocks:
-            return []
+    def scan(self, text: str) -> tuple[int, list[dict]]:
+        """How many candidate blocks there are, and every confirmed notice: those that overlap no better one, then what the words left between them hold, until nothing is confirmed."""
         at, words, ids = self.split(text)
-        starts = [a for a, _ in at]
-        todo: list[tuple[int, int]] = []
-        for start, end in blocks:
-            a, b = max(0, bisect.bisect_left(starts, start) - self.reach), min(len(words), bisect.bisect_left(starts, end) + self.reach)
-            if todo and a <= todo[-1][1]:
-                a, _ = todo.pop()
-            todo.append((a, b))
+        n_blocks = len({(a, b) for _, a, b in self.candidates(ids, 0, len(words))})
+        todo = [(0, len(words))] if n_blocks else []
         out = []
         while todo:
             a, b = todo.pop()
             used = np.zeros(b - a, bool)
-            for x, saving in self.best_first(self.matches(words, ids, a, b), text, at):
+            for x in self.best_first(self.matches(text, at, words, ids, a, b)):
                 first, last = x.matched[0], x.matched[-1]
                 if used[first - a : last - a + 1].any():
                     continue
@@ -244,28 +302,27 @@ class Scanner:
                 end = at[last][1]
                 if text.startswith(self.tails[x.template], end):
                     end += len(self.tails[x.template])
-                out.append({"license": self.names[x.template], "start": at[first][0], "end": end, "saving": saving, "n_differences": len(x.differ), "differences": x.differ})
+                out.append({"license": self.wordings[x.template].name, "start": at[first][0], "end": end, "saving": x.saving, "n_differences": len(x.differ), "differences": x.differ})
             if used.any():
                 edges = np.flatnonzero(np.diff(np.concatenate([[True], used, [True]]).astype(np.int8)))
                 todo += [(a + int(x), a + int(y)) for x, y in edges.reshape(-1, 2)]
-        return sorted(out, key=lambda x: x["start"])
+        return n_blocks, sorted(out, key=lambda x: x["start"])
 
 
 FOUND = "array<struct<license: string, start: bigint, end: bigint, saving: double, n_differences: bigint, differences: array<string>>>"
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: dict[str, tuple[str, ...]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, candidates (how many blocks), licenses (array of confirmed ones with spans and differences) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(templates or TEMPLATES)
+    shared = docs.sparkSession.sparkContext.broadcast(known or templates())  # some hundred kB of the package's own texts
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(shared.value)
         fields = [("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("saving", pa.float64()), ("n_differences", pa.int64()), ("differences", pa.list_(pa.string()))]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            blocks = [blocks_of(x or "") for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in blocks], pa.int64()), pa.array([scanner.scan(x or "", b) for x, b in zip(texts, blocks, strict=True)], pa.list_(pa.struct(fields)))], names=[id_col, "candidates", "licenses"])
+            found = [scanner.scan(x or "") for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.struct(fields)))], names=[id_col, "candidates", "licenses"])
 
     return map_batches(docs.select(id_col, text_col), run, f"{id_col} {kind}, candidates bigint, licenses {FOUND}")
 
