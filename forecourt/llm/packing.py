@@ -3,15 +3,17 @@
 The packing itself works on the histogram of piece lengths (at most `capacity` counts), which is the only
 thing that reaches the driver. Lengths are taken from the longest down. The gap that a piece leaves is
 looked up among single, pair and triple length sums; a combination that fills it exactly is used as many
-times as all its lengths are available. What has no exact complement is packed best-fit, decreasing, again by
-counts. The result is a short list of patterns with multiplicities; a piece finds its place from its length
-and its rank among the pieces of that length.
+times as all its lengths are available. Of several combinations the one whose shortest length is longest is taken,
+so that short pieces stay for the end. What has no exact complement is packed best-fit in the same way: a gap takes
+the largest sum of up to three lengths that it holds. The result is a short list of patterns with multiplicities; a
+piece finds its place from its length and its rank among the pieces of that length.
 
 Ranks need no group of all pieces of one length: pieces are spread over buckets within each length, and a
 bucket's ranks begin after the counts of the buckets before it.
 
 Defined cases: a null text counts as empty, so its document is the single end id; rows that repeat are packed
-as often as they occur; an empty table gives no rows; other columns are ignored.
+as often as they occur; pieces of equal length are interchangeable, and which of them goes where follows from a hash;
+texts of any length are cut into pieces; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,87 +86,94 @@ def tokenize_pieces(
     return map_batches(docs.select(id_col, text_col), run, schema)
 
 
-def _exact(gap: int, free: np.ndarray, terms: int) -> tuple[int, ...] | None:
-    """One to `terms` (three at most) available lengths that sum to gap, the longest first."""
-    if gap <= 0 or not terms:
+class Sums:
+    """Available piece lengths with their counts, and the sums of one, two and three of them as bit sets."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.free = np.zeros(capacity + 1, np.int64)
+        for length, n in counts.items():
+            self.free[length] = n
+        self.all_bits = (1 << capacity + 1) - 1
+        self.known: bytes = b""
+
+    def index(self) -> None:
+        """Brings the sums up to date with which lengths are available."""
+        have = (self.free > 0).tobytes()
+        if have == self.known:
+            return
+        self.known, lengths = have, np.flatnonzero(self.free).tolist()
+        self.singles, self.pairs, self.triples = sum(1 << x for x in lengths), 0, 0
+        for x in lengths:
+            self.pairs |= self.singles << x
+        self.pairs &= self.all_bits
+        for x in lengths:
+            self.triples |= self.pairs << x
+        self.triples &= self.all_bits
+
+    def add(self, need: dict[int, int], times: int) -> None:
+        for x, k in need.items():
+            self.free[x] += times * k
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One to three available lengths that sum to gap: as few as do, and of pairs and triples the one whose least is longest."""
+        self.index()
+        free, have = self.free, self.free > 0
+        if self.singles >> gap & 1:
+            return (gap,)
+        if self.pairs >> gap & 1:
+            b = np.arange((gap + 1) // 2, gap)
+            b = b[have[b] & have[gap - b] & ((b * 2 != gap) | (free[b] > 1))]
+            if len(b):
+                return (int(b[0]), gap - int(b[0]))
+        if self.triples >> gap & 1:
+            for a in range(gap // 3, 0, -1):
+                if not have[a]:
+                    continue
+                rest = gap - a
+                b = np.arange((rest + 1) // 2, rest - a + 1)
+                c = rest - b
+                b = b[(free[b] >= 1 + (b == a) + (b == c)) & (free[c] >= 1 + (c == a) + (b == c)) & (free[a] >= 1 + (b == a) + (c == a))]
+                if len(b):
+                    return (int(b[0]), rest - int(b[0]), a)
         return None
-    if free[gap] > 0:
-        return (gap,)
-    if terms == 1:
-        return None
-    have = free > 0
-    longer = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
-    fits = longer[have[longer] & have[gap - longer] & ((longer * 2 != gap) | (free[longer] > 1))]
-    if len(fits):
-        return (int(fits[0]), int(gap - fits[0]))
-    if terms == 2:
+
+    def nearest(self, gap: int) -> tuple[int, ...] | None:
+        """One to three available lengths with the largest sum that gap holds."""
+        self.index()
+        sums = (self.singles | self.pairs | self.triples) & ((1 << gap + 1) - 2)
+        while sums:
+            best = sums.bit_length() - 1
+            if found := self.exact(best):
+                return found
+            sums ^= 1 << best
         return None
-    for a in map(int, np.flatnonzero(have[: gap - 1])[::-1]):
-        rest = gap - a
-        b = np.arange(min(a, rest - 1), (rest + 1) // 2 - 1, -1)
-        b = b[have[b] & have[rest - b]]
-        need = 1 + (b == a).astype(np.int64) + (b * 2 == rest)
-        b = b[(free[b] >= need) & (free[rest - b] >= 1 + (b * 2 == rest) + (rest - b == a)) & (free[a] >= 1 + (b == a) + (rest - b == a))]
-        if len(b):
-            return (a, int(b[0]), int(rest - b[0]))
-    return None
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns (number of sequences, [(length, how many of it)]) that place every piece of the histogram.
 
-    Exact triples can use up short pieces that best-fit needs elsewhere, so sums of up to three, two, one and no
-    lengths are tried; the plan of fewest sequences is taken, of equal ones that with the longest sums.
+    First, from the longest length down, gaps that one, two or three available lengths fill exactly. Then best-fit of
+    what is left, again from the longest down: what fits a gap best is the largest sum of up to three lengths, until
+    nothing fits. A pattern is used as often as all its lengths are available, so that each uses up a length.
     """
-    return min((_plan(counts, capacity, terms) for terms in (3, 2, 1, 0)), key=lambda p: sum(many for many, _ in p))
-
-
-def _plan(counts: dict[int, int], capacity: int, terms: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    free = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        free[length] = n
+    sums = Sums(counts, capacity)
     patterns: list[tuple[int, list[tuple[int, int]]]] = []
-    rest: dict[int, int] = {}
-    for length in range(capacity, 0, -1):
-        while free[length] > 0:
-            free[length] -= 1
-            combo = () if length == capacity else _exact(capacity - length, free, terms)
-            free[length] += 1
-            if combo is None:
-                rest[length] = int(free[length])
-                free[length] = 0
-                break
-            need: dict[int, int] = {}
-            for x in (length, *combo):
-                need[x] = need.get(x, 0) + 1
-            times = int(min(free[x] // k for x, k in need.items()))
-            for x, k in need.items():
-                free[x] -= times * k
-            patterns.append((times, sorted(need.items(), reverse=True)))
-    # Best-fit of the residuals: groups of equal open sequences, by the gap they have left.
-    gaps: dict[int, list[tuple[int, dict[int, int]]]] = {}
-    for length in sorted(rest, reverse=True):
-        n = rest[length]
-        while n:
-            gap = min((g for g in gaps if g >= length), default=None)
-            if gap is None:
-                each = min(capacity // length, n)
-                full, n = divmod(n, each)
-                gaps.setdefault(capacity - each * length, []).append((full, {length: each}))
-                continue
-            many, items = gaps[gap].pop()
-            if not gaps[gap]:
-                del gaps[gap]
-            each = min(gap // length, n)
-            use = min(many, n // each)
-            if many > use:
-                gaps.setdefault(gap, []).append((many - use, items))
-            more = dict(items)
-            more[length] = more.get(length, 0) + each
-            gaps.setdefault(gap - each * length, []).append((use, more))
-            n -= use * each
-    for groups in gaps.values():
-        patterns += [(many, sorted(items.items(), reverse=True)) for many, items in groups]
+    for fill, whole in ((sums.exact, True), (sums.nearest, False)):
+        for length in range(capacity, 0, -1):
+            while sums.free[length] > 0:
+                need, gap = {length: 1}, capacity - length
+                sums.add({length: 1}, -1)
+                while gap and (more := fill(gap)):
+                    for x in more:
+                        need[x] = need.get(x, 0) + 1
+                        sums.add({x: 1}, -1)
+                    gap -= sum(more)
+                sums.add(need, 1)
+                if gap and whole:
+                    break
+                times = int(min(sums.free[x] // k for x, k in need.items()))
+                sums.add(need, -times)
+                patterns.append((times, sorted(need.items(), reverse=True)))
     return patterns
 
 
