@@ -51,7 +51,17 @@ def test_packing_matches_the_tokenizer_and_leaves_no_gap(spark):
             at, k, step = at + step, k + 1, 2048
     assert sorted(map(tuple, found[["doc_id", "piece", "start", "length", "ids_crc32"]].values.tolist())) == sorted(expected)
     check_gapless(found, 2048)
-    assert found.sequence_id.nunique() <= -(-found.length.sum() // 2048) + 2
+    assert found.sequence_id.nunique() == -(-found.length.sum() // 2048) == 96
+
+
+@pytest.mark.parametrize(("name", "least"), [("sf0.01", 481), ("sf0.1", 4936)])
+def test_sequences_are_as_few_as_can_be(spark, name, least):
+    """The total length in whole sequences, by exact singles, pairs and triples alike."""
+    found = packing.op3_best_fit_packing(spark, f"/root/testdata/{name}").select("length", "sequence_id").toPandas()
+    assert -(-found.length.sum() // 2048) == least == found.sequence_id.nunique()
+    counts = {int(k): int(n) for k, n in found.length.value_counts().items()}
+    exact = [sum(k for _, k in items) for _, items in packing.plan_packing(counts) if sum(x * k for x, k in items) == 2048]
+    assert {2, 3, 4} <= set(exact)
 
 
 def check_gapless(found, capacity):
@@ -399,14 +409,72 @@ def test_secrets_against_patterns(spark):
         assert found[r["doc_id"]]["n_hex"] == sum(kind == "hex" for *_, kind in spans)
 
 
-def test_inferred_format_finds_unlabelled_secrets():
+def planted_credentials(rng):
+    """Makers of credentials of four formats."""
+    some = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    return [lambda: "sk_live_" + some(upper + lower + digits, 24), lambda: "ghx-" + some(lower + digits, 10) + "-" + some(lower + digits, 10), lambda: some(upper + digits, 20), lambda: "v1." + some(upper + lower, 30)]
+
+
+def test_inferred_formats_find_unlabelled_credentials(spark):
+    """Over a whole table: formats that are labelled in some texts are found without a label in others, and nothing else is."""
     rng = random.Random(2)
-    key = lambda: "sk_" + "".join(rng.choice("ABCDEFGH0123456789") for _ in range(24))
-    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 14))) for _ in range(2000)]
-    grammar = secrets.Grammar({"assign": [key() for _ in range(200)]}, words)
-    secret = key()
-    text = f"see {secret} and loweichenungkeitenweise99 and report-for-the-year-2024"
-    assert grammar.spans(text, secrets.base_spans(text)) == [(4, 4 + len(secret), "grammar")]
+    makers = planted_credentials(rng)
+    docs = [(r["doc_id"], r["text"] or "") for r in table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    wanted, rows = {}, []
+    for i, text in docs:
+        half, own = len(text) // 2, rng.choice(makers)()
+        if i % 3 == 0:
+            text = f'{text[:half]} api_key = "{own}" {text[half:]}'
+        elif i % 7 == 0:
+            text = f"{text[:half]} {own} {text[half:]}"
+            wanted[i] = own
+        rows.append((i, text))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = secrets.learn(df)
+    assert all(len(arcs) > 3 for arcs, *_ in model["formats"].values())  # not folded into one state
+    texts = dict(rows)
+    found = {r["doc_id"]: [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["secrets"] if s["kind"] == "grammar"] for r in secrets.find(df, model).collect()}
+    right = sum(own in found[i] for i, own in wanted.items())
+    n = sum(map(len, found.values()))
+    print(f"recall {right / len(wanted):.3f}, precision {right / max(1, n):.3f}")
+    assert len(wanted) > 80 and right >= 0.95 * len(wanted) and right >= 0.95 * n
+
+
+def test_scoring_needs_plain_values_only(tmp_path):
+    """The broadcast model can be read by a process that has never seen this package."""
+    import pickle
+    import subprocess
+    import sys
+
+    rng = random.Random(4)
+    model = secrets.build({"assign": [planted_credentials(rng)[0]() for _ in range(100)]}, ["ordinary", "words-with-signs", "considerations"])
+    (tmp_path / "model").write_bytes(pickle.dumps(model))
+    code = "import pickle; print(sorted(pickle.load(open('model', 'rb'))))"
+    assert subprocess.run([sys.executable, "-I", "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.strip() == "['formats', 'least', 'words']"
+
+
+def test_runs_that_exceed_a_base_span():
+    rng = random.Random(3)
+    key = lambda: "key-" + "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(16)) + "-end"
+    model = secrets.build({"assign": [key() for _ in range(200)]}, ["considerable", "responsibility", "in-between", "mail.example.com", "for-the-year"] * 20)
+    grammar = secrets.Grammar(model)
+    own, base = key(), lambda x: secrets.base_spans(x)
+    text = f"see ({own}), https://example.org/a/{own}/b and report-for-the-year-2024, token: {own}"
+    at, again, last = (m.start() for m in re.finditer(own, text))
+    assert grammar.spans(text, base(text)) == [(at, at + len(own), "grammar"), (again, again + len(own), "grammar"), (last - 7, last + len(own), "assign")]
+    short = secrets.Grammar(secrets.build({"assign": ["k9x" + "".join(rng.choice("0123456789") for _ in range(9)) for _ in range(99)]}, ["considerable", "responsibility"]))
+    assert short.spans("id k9x123456789.", []) == [(3, 15, "grammar")] and short.spans("id k9x12345678", []) == []
+
+
+def test_automaton_learns_lengths_and_merges_states():
+    rng = random.Random(6)
+    fixed = secrets.Automaton(sorted("".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(500)))
+    assert len(fixed.states) == 41
+    looped = secrets.Automaton(sorted("id" + "".join(rng.choice("0123456789") for _ in range(min(60, int(rng.expovariate(0.1)) + 1))) for _ in range(500)))
+    assert 3 <= len(looped.states) < 20
+    empty = secrets.build({"hex": ["0" * 16] * 3}, [])
+    assert empty["formats"] == {} and secrets.Grammar(empty).spans("x" * 40, []) == []
 
 
 def test_redaction_of_odd_rows(spark, odd, empty):
@@ -414,23 +482,90 @@ def test_redaction_of_odd_rows(spark, odd, empty):
     grammar = secrets.learn(df)
     assert [(r["text"], r["n_chars"]) for r in secrets.redact(df, grammar).orderBy("doc_id").collect()] == [('é [SECRET]" z [SECRET] end', 26), (None, 3)]
     assert secrets.redact(odd, grammar).columns == odd.columns and secrets.redact(odd, grammar).count() == 10
+    with pytest.raises(ValueError, match="already"):
+        secrets.find(odd, grammar, "Score")
     assert secrets.redact(empty, secrets.learn(empty)).count() == 0
 
 
-def test_licenses(spark, odd, empty):
-    scanner = license_scan.Scanner(license_scan.TEMPLATES)
-    for name in ("GPL-3.0", "CC-BY-NC-4.0", "MIT", "Apache-2.0", "MIT-text"):
-        assert scanner.confirm(license_scan.TEMPLATES[name])[::2] == (name, 0)
-    assert scanner.confirm("This work is licensed under the GNU General Public License, version 2.1.") [2:] == (2, ["-2", "+2.1"])
-    assert scanner.confirm("the license plate was warranted") is None
+@pytest.fixture(scope="module")
+def scanner():
+    return license_scan.Scanner(license_scan.templates())
+
+
+def test_licenses(spark, odd, empty, scanner):
+    for own in scanner.wordings:
+        if len(own.words) < 300:
+            assert scanner.confirm(own.text)[::2] == (own.name, 0)
+    assert scanner.confirm("This work is licensed under the GNU General Public License, version 2.1.")[2:] == (2, ["-2", "+2.1"])
     text = "Some prose.\nReleased under the MIT License.\nMore.\n\n\n\nLicensed under CC BY-NC 4.0."
     got = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["licenses"]
     assert [(x["license"], text[x["start"] : x["end"]]) for x in got] == [("MIT", "Released under the MIT License."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.")]
     assert license_scan.scan(odd).where("size(licenses) = 0").count() == 10 and license_scan.scan(empty).count() == 0
 
 
-def notices(text):
-    return [(x["license"], text[x["start"] : x["end"]], x["n_differences"]) for x in license_scan.Scanner(license_scan.TEMPLATES).scan(text)]
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The album was released early this year under the guidance of a producer, and the driver showed a license",
+        "In 1990 it was released under heavy snow, and he lost his license office",
+        "Copyright notices matter. All of the many property rights were carefully reserved",
+        "Released under the Other License.",
+        "the license plate was warranted",
+        "Redistribution and use of the road in binary and other forms is permitted provided that the following list of conditions is met",
+    ],
+)
+def test_what_is_no_license(scanner, text):
+    assert scanner.confirm(text) is None and scanner.scan(text)[1] == []
+
+
+def test_license_texts_as_a_whole(scanner):
+    """Whole texts, indented and with a header, with the exact words that differ."""
+    text = license_scan.templates()["Apache-2.0-text"][0]
+    edited = text.replace("perpetual", "limited", 1)
+    got = scanner.scan("Header\n" + textwrap.indent(edited, "// ") + "\nint main() {}")[1]
+    assert [(x["license"], x["differences"]) for x in got] == [("Apache-2.0-text", ["-perpetual", "+limited"])]
+    got = scanner.scan("Copyright (c) 2021 Some Owner Ltd. All rights reserved.\n" + license_scan.NOTICES["BSD-3-Clause"].replace("{}", "Some Owner Ltd."))[1]
+    assert [(x["license"], x["n_differences"]) for x in got] == [("Proprietary", 0), ("BSD-3-Clause", 0)]
+
+
+def fewest_differences(own, words):
+    """By plain dynamic programming over all spans: of those that the bounds confirm, the fewest differing words."""
+    best = None
+    for a in range(len(words)):
+        for b in range(a + 1, min(len(words), a + own.reach) + 1):
+            n = lcs(own.words, words[a:b])
+            if n >= own.least and n >= 0.8 * (b - a) and words[a] in own.words and words[b - 1] in own.words:
+                best = min(best or 99, len(own.words) + (b - a) - 2 * n)
+    return best
+
+
+def test_confirmation_against_brute_force(scanner):
+    """Notices with words left out, added and replaced: confirmed if and only if some span passes both bounds."""
+    rng = random.Random(8)
+    own = [x for x in scanner.wordings if len(x.words) < 40 and not x.slots and x.name not in ("GPL-2.0", "LGPL-3.0", "AGPL-3.0", "GPL-3.0")]
+    confirmed = 0
+    for _ in range(150):
+        x = rng.choice(own)
+        words = list(x.words)
+        for _ in range(rng.randint(0, 4)):
+            k, r = rng.randrange(len(words)), rng.random()
+            if r < 0.4:
+                words[k] = "qqq"
+            elif r < 0.7:
+                words.insert(k, "zzz")
+            elif len(words) > 2:
+                del words[k]
+        text = " ".join(["some", "prose", *words, "and", "more"])
+        got = {y["license"] for y in scanner.scan(text)[1]}
+        best = fewest_differences(x, text.split())
+        confirmed += best is not None
+        assert (x.name in got) == (best is not None), (x.name, text, got, best)
+    assert 30 < confirmed < 120
+
+
+def notices(text, known=[]):  # noqa: B006
+    known = known or known.append(license_scan.Scanner(license_scan.templates())) or known
+    return [(x["license"], text[x["start"] : x["end"]], x["n_differences"]) for x in known[0].scan(text)[1]]
 
 
 def test_every_notice_of_a_block_is_found():
@@ -443,19 +578,22 @@ def test_every_notice_of_a_block_is_found():
 
 def test_short_notice_in_a_long_line(spark):
     texts = [r["text"].replace("\n", " ") for r in table(spark, FOLDER, "documents").where("length(text) > 3000").orderBy("doc_id").limit(40).collect()]
-    texts = [x for x in texts if not license_scan.CUE.search(x)]
+    texts = [x for x in texts if not notices(x)]
     mit = "Released under the MIT License."
     assert len(texts) > 10 and all(notices(f"{x[:1500]} {mit} {x[1500:]}") == [("MIT", mit, 0)] for x in texts)
 
 
 @pytest.mark.parametrize("prefix", ["", "# "])
-def test_wrapped_notices(prefix):
-    for name, template in license_scan.TEMPLATES.items():
-        for width in range(60, 81):
-            lines = textwrap.wrap(template, width, break_long_words=False, break_on_hyphens=False)
+def test_wrapped_notices(prefix, scanner):
+    for own in scanner.wordings:
+        if len(own.words) > 300 or own.slots:
+            continue
+        for width in (60, 66, 72, 80):
+            lines = textwrap.wrap(own.text, width, break_long_words=False, break_on_hyphens=False)
             text = "Prose before it.\n\n" + "\n".join(prefix + x for x in lines) + "\n\nProse after it."
-            assert [(x, n) for x, _, n in notices(text)] == [(name, 0)], (name, width)
-            assert notices(text)[0][1] == "\n".join(prefix + x for x in lines)[len(prefix) :]
+            found = notices(text)
+            assert [(x, n) for x, _, n in found] == [(own.name, 0)], (own.name, width)
+            assert found[0][1] == "\n".join(prefix + x for x in lines)[len(prefix) :]
 
 
 # ---- pipeline ----------------------------------------------------------------------------------------------
