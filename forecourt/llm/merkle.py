@@ -4,20 +4,27 @@ A text is cut into sections (after an empty line), a section into paragraphs (af
 paragraph into phrases (after white space that follows a sign or a letter of a fixed set, so that cuts depend on
 nearby text only and an edit moves no cut elsewhere). Cuts drop no character. A paragraph's digest is the
 SHA-256 of its text, a section's that of its paragraphs' digests, the root that of the sections' digests: roots
-are equal if and only if texts are, and below equal digests nothing needs to be compared. Phrases have short
-hashes; the likeness of two fingerprints is the Dice coefficient of their sets of phrase hashes.
+are equal if and only if texts are, and below equal digests nothing needs to be compared, so that differing branches
+locate edits. Phrases have short hashes; the likeness of two fingerprints is the Dice coefficient of their sets of
+phrase hashes.
 
 The fingerprint string is root/sections/paragraphs/phrases, with the hexadecimal digests of each level
 one after another.
 
 Defined cases: null counts as empty; an empty text has one empty phrase; texts that repeat have equal
-fingerprints; an empty table gives no rows; other columns are ignored.
+fingerprints; rows of one id, or without an id (these come last), follow each other by descending hash of the text;
+ids may be numbers, strings or times; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from forecourt.llm.common import table
 
@@ -25,8 +32,8 @@ SECTION, PARAGRAPH = r"(?<=\n\n)", r"(?<=\n)"
 PHRASE = r"(?<=[^\p{L}\p{N}\s]\s|[sd]\s|\n|[。！？])"
 #: Hexadecimal digits of the digests in a fingerprint; phrases have 24 bits.
 ROOT_DIGITS, NODE_DIGITS, PHRASE_DIGITS = 32, 8, 6
-#: About so many documents are in one range of ids until there are MAX_RANGES; so many quantiles are asked for.
-RANGE_ROWS, MAX_RANGES, QUANTILES = 1000, 1 << 16, 64
+#: About so many documents are in one range of ids, until there are about MAX_RANGES; so many quantiles are asked for.
+RANGE_ROWS, MAX_RANGES, QUANTILES = 1000, 1 << 16, 256
 
 
 def phrase_hashes(text: Column) -> Column:
@@ -34,42 +41,41 @@ def phrase_hashes(text: Column) -> Column:
     return F.transform(F.split(text, PHRASE, -1), lambda x: F.xxhash64(x).bitwiseAND((1 << 4 * PHRASE_DIGITS) - 1).cast("int"))
 
 
-def paragraph_digests(text: Column) -> Column:
-    return F.transform(F.split(text, PARAGRAPH, -1), lambda p: F.sha2(p, 256))
+def paragraphs_of(text: Column) -> Column:
+    """array<array<string>>: for each section the digests of its paragraphs."""
+    return F.transform(F.split(text, SECTION, -1), lambda s: F.transform(F.split(s, PARAGRAPH, -1), lambda p: F.sha2(p, 256)))
 
 
-def section_digests(text: Column) -> Column:
-    return F.transform(F.split(text, SECTION, -1), lambda s: F.sha2(F.array_join(F.transform(F.split(s, PARAGRAPH, -1), lambda p: F.sha2(p, 256)), ""), 256))
+def sections_of(paragraphs: Column) -> Column:
+    """Digests of the sections, from those of their paragraphs."""
+    return F.transform(paragraphs, lambda ps: F.sha2(F.array_join(ps, ""), 256))
 
 
-def tree(text: Column) -> Column:
-    """struct<root, sections array<struct<digest, paragraphs array<struct<digest, phrases array<int>>>>>>."""
-    paragraphs = lambda s: F.transform(F.split(s, PARAGRAPH, -1), lambda p: F.struct(F.sha2(p, 256).alias("digest"), phrase_hashes(p).alias("phrases")))
-    digest = lambda s: F.sha2(F.array_join(F.transform(F.split(s, PARAGRAPH, -1), lambda p: F.sha2(p, 256)), ""), 256)
-    sections = F.transform(F.split(text, SECTION, -1), lambda s: F.struct(digest(s).alias("digest"), paragraphs(s).alias("paragraphs")))
-    return F.struct(F.sha2(F.array_join(section_digests(text), ""), 256).alias("root"), sections.alias("sections"))
+def root_of(sections: Column) -> Column:
+    return F.sha2(F.array_join(sections, ""), 256)
 
 
 def differing_branches(a: Column, b: Column) -> Column:
-    """Of two trees, the (section, paragraph) places, from 0, at which they differ; empty for equal roots."""
+    """The (section, paragraph) places, from 0, at which two trees of paragraph digests differ; empty for equal ones.
+
+    Sections of equal digests (that is, of equal paragraphs) aren't entered.
+    """
     none = F.array().cast("array<struct<section: int, paragraph: int>>")
     places = lambda x: F.sequence(F.lit(0), x - 1)
 
     def of_section(i: Column) -> Column:
-        x, y = F.get(a["sections"], i), F.get(b["sections"], i)
-        longest = F.greatest(F.coalesce(F.size(x["paragraphs"]), F.lit(0)), F.coalesce(F.size(y["paragraphs"]), F.lit(0)))
-        differ = F.filter(places(longest), lambda j: ~F.get(x["paragraphs"], j)["digest"].eqNullSafe(F.get(y["paragraphs"], j)["digest"]))
-        return F.when(x["digest"].eqNullSafe(y["digest"]), none).otherwise(F.transform(differ, lambda j: F.struct(i.alias("section"), j.alias("paragraph"))))
+        x, y = F.get(a, i), F.get(b, i)
+        longest = F.greatest(F.coalesce(F.size(x), F.lit(0)), F.coalesce(F.size(y), F.lit(0)))
+        differ = F.filter(places(longest), lambda j: ~F.get(x, j).eqNullSafe(F.get(y, j)))
+        return F.when(x.eqNullSafe(y), none).otherwise(F.transform(differ, lambda j: F.struct(i.alias("section"), j.alias("paragraph"))))
 
-    longest = F.greatest(F.size(a["sections"]), F.size(b["sections"]))
-    return F.when(a["root"] == b["root"], none).otherwise(F.flatten(F.transform(places(longest), of_section)))
+    return F.when(a == b, none).otherwise(F.flatten(F.transform(places(F.greatest(F.size(a), F.size(b))), of_section)))
 
 
-def fingerprint(text: Column, phrases: Column) -> Column:
+def fingerprint(paragraphs: Column, sections: Column, phrases: Column) -> Column:
     cut = lambda xs: F.array_join(F.transform(xs, lambda d: F.left(d, F.lit(NODE_DIGITS))), "")
-    sections = section_digests(text)
     own = F.array_join(F.transform(phrases, lambda x: F.lpad(F.lower(F.hex(x)), PHRASE_DIGITS, "0")), "")
-    return F.concat_ws("/", F.left(F.sha2(F.array_join(sections, ""), 256), F.lit(ROOT_DIGITS)), cut(sections), cut(paragraph_digests(text)), own)
+    return F.concat_ws("/", F.left(root_of(sections), F.lit(ROOT_DIGITS)), cut(sections), cut(F.flatten(paragraphs)), own)
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -77,47 +83,85 @@ def likeness(a: Column, b: Column) -> Column:
     return 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)).cast("double")
 
 
-def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text: the text of the next row by descending doc_id; after the last comes the first.
+def ordinal(docs: DataFrame, id_col: str) -> Column:
+    """A number that grows, if not always strictly, with the id. Of strings it is six bytes after what the least and the greatest share."""
+    kind, own = docs.schema[id_col].dataType, F.col(id_col)
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return own.cast("bigint")
+    if isinstance(kind, T.NumericType):
+        return own.cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return own.cast("timestamp").cast("double")
+    if isinstance(kind, T.StringType):
+        low, high = docs.agg(F.min(own), F.max(own)).first()
+        shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
+        return F.conv(F.rpad(F.hex(F.substring(own.cast("binary"), shared + 1, 6)), 12, "0"), 16, 10).cast("bigint")
+    raise TypeError(f"ids of type {kind.simpleString()} have no order here")
 
-    Ids are dealt into ranges by quantiles and, between two quantiles, in proportion; any deal gives the same
-    rows. Each range also gets a copy of the first row of the range after it, so that one shuffle of the texts
-    by range is enough.
+
+def with_ranges(docs: DataFrame) -> DataFrame:
+    """Adds range: a number that falls as rows follow each other by descending doc_id and then descending text_hash.
+
+    Ids are dealt by quantiles and, between two quantiles, in proportion. An id that makes up several quantiles, and
+    rows without an id, are dealt by the hash of the text. Any deal gives the same result.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n, cuts = docs.agg(F.count("*"), F.percentile_approx("doc_id", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000)).first()
-    cuts = sorted(set(cuts or [0]))
+    docs = docs.withColumn("at", ordinal(docs, "doc_id"))
+    n, missing, cuts = docs.agg(F.count("*"), F.count_if(F.col("at").isNull()), F.percentile_approx("at", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000)).first()
     parts = min(max(1, -(-n // (RANGE_ROWS * QUANTILES))), MAX_RANGES // QUANTILES)
-    splits = F.array(*(F.lit(int(x)) for x in cuts))
-    index = F.size(F.filter(splits, lambda s: s <= F.col("doc_id")))
+    often = sorted({x for x, y in zip(cuts or [], (cuts or [])[1:], strict=False) if x == y})
+    if often:  # of those that are one id each, how many rows there are; QUANTILES of them at most
+        found = docs.where(F.col("at").isin(often)).groupBy("at").agg(F.count("*").alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one")).where("one").collect()
+        often = sorted(r["at"] for r in found)
+    cuts = sorted(set(cuts or [0]))
+    splits = F.array(*(F.lit(x) for x in cuts))
+    k = F.size(F.filter(splits, lambda s: s <= F.col("at")))
     low, high = F.get(splits, F.col("k") - 1), F.get(splits, F.col("k"))
-    share = F.coalesce(F.floor((F.col("doc_id") - low) / (high - low) * parts), F.lit(0))
-    dealt = docs.withColumn("k", index).withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1).cast("bigint")).otherwise(F.col("k") * parts + share)).drop("k")
-    dealt = dealt.withColumn("text_hash", F.xxhash64("text"))
-    key = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("doc_id"), F.col("text_hash"))
-    tops = dealt.groupBy("range").agg(F.max(key).alias("top"))
-    by = Window.orderBy(F.desc("range"))  # a row for each range, of which there are some more than MAX_RANGES at most
+    share = F.coalesce(F.floor((F.col("at") - low) / (high - low) * parts), F.lit(0))
+    wide = 2 * max(parts, QUANTILES)
+    by_hash = lambda many: F.least(F.floor((F.col("text_hash") / 2.0**64 + 0.5) * many), F.lit(many - 1))
+    hot = functools.reduce(operator.or_, (F.col("at") == x for x in often), F.lit(False))
+    many = min(max(1, -(-missing // RANGE_ROWS)), MAX_RANGES)
+    dealt = F.when(F.col("at").isNull(), by_hash(many) - many).when(hot, F.col("k") * wide + by_hash(wide // 2)).otherwise(F.col("k") * wide + wide // 2 + share)
+    return docs.withColumn("k", k).withColumn("range", dealt.cast("bigint")).drop("k", "at")
+
+
+def with_next(docs: DataFrame) -> DataFrame:
+    """doc_id, text, phrases and those of the next row by descending doc_id (next_text, next_phrases); after the last comes the first.
+
+    Each range also gets a copy of the first row of the range after it, so that one shuffle of the texts by range is
+    enough.
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    dealt = with_ranges(docs).withColumn("own", F.struct("doc_id", "text_hash"))
+    tops = dealt.groupBy("range").agg(F.max("own").alias("top"))
+    by = Window.orderBy(F.desc("range"))  # a row for each range, of which there are some times MAX_RANGES at most
     ends = tops.select("range", "top", F.coalesce(F.lag("range").over(by), F.min("range").over(Window.partitionBy())).alias("before"))
     ends = ends.select(F.col("range").alias("of"), "top", "before")
-    copies = dealt.withColumn("own", key).join(F.broadcast(ends), (F.col("range") == F.col("of")) & (F.col("own") == F.col("top"))).dropDuplicates(["of"])
+    copies = dealt.join(F.broadcast(ends), (F.col("range") == F.col("of")) & F.col("own").eqNullSafe(F.col("top"))).dropDuplicates(["of"])
     copies = copies.select("doc_id", "text", F.col("before").alias("range"), "text_hash", F.lit(1).alias("copy"))
     both = dealt.select("doc_id", "text", "range", "text_hash", F.lit(0).alias("copy")).unionByName(copies)
+    both = both.withColumn("phrases", phrase_hashes(F.col("text")))
     own = Window.partitionBy("range").orderBy("copy", F.desc_nulls_last("doc_id"), F.desc("text_hash"))
-    return both.select("doc_id", "text", "copy", F.lead("text").over(own).alias("next_text")).where("copy = 0").drop("copy")
+    lead = lambda c: F.lead(c).over(own).alias(f"next_{c}")
+    return both.select("doc_id", "text", "phrases", "copy", lead("text"), lead("phrases")).where("copy = 0").drop("copy")
 
 
 def op6_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(table(spark, sf_dir, "documents")).withColumn("n_chars", F.char_length("text").cast("bigint"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("edited", F.concat(F.left("text", F.col("n_chars").cast("int") - third), F.left("next_text", third)))
-    for name, text in (("own", "text"), ("other", "edited"), ("next", "next_text")):
-        rows = rows.withColumn(name, phrase_hashes(F.col(text)))
+    rows = rows.withColumn("edited_phrases", phrase_hashes(F.col("edited")))
+    for name in ("text", "edited"):
+        rows = rows.withColumn(f"{name}_paragraphs", paragraphs_of(F.col(name)))
+        rows = rows.withColumn(f"{name}_sections", sections_of(F.col(f"{name}_paragraphs")))
+    places = F.transform(differing_branches(F.col("text_paragraphs"), F.col("edited_paragraphs")), lambda x: F.concat_ws(".", x["section"].cast("string"), x["paragraph"].cast("string")))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text"), F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("edited"), F.col("other")).alias("edited_fingerprint"),
-        likeness(F.array_distinct("own"), F.array_distinct("other")).alias("near_edited"),
-        likeness(F.array_distinct("own"), F.array_distinct("next")).alias("near_next"),
+        fingerprint(F.col("text_paragraphs"), F.col("text_sections"), F.col("phrases")).alias("fingerprint"),
+        fingerprint(F.col("edited_paragraphs"), F.col("edited_sections"), F.col("edited_phrases")).alias("edited_fingerprint"),
+        likeness(F.array_distinct("phrases"), F.array_distinct("edited_phrases")).alias("near_edited"),
+        likeness(F.array_distinct("phrases"), F.array_distinct("next_phrases")).alias("near_next"),
+        F.array_join(places, ",").alias("edited_branches"),
     )
