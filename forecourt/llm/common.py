@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 import weakref
@@ -63,6 +64,12 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def new_name(df: DataFrame, name: str) -> str:
+    """name, or the first of name_1, name_2, ... that is no column of df yet, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in itertools.chain([name], (f"{name}_{i}" for i in itertools.count(1))) if x.lower() not in taken)
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

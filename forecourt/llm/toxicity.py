@@ -1,18 +1,21 @@
 """Toxicity by a weighted lexicon: Aho-Corasick over folded text, normalised by length, with exception phrases.
 
 Folding lower-cases, takes letters apart from their accents, maps look-alike letters of other scripts to Latin,
-and reads digits and signs inside words as the letters they stand for. The automaton holds terms (whole words
-and beginnings of words) and exception phrases; a term inside an exception phrase doesn't count, and of several
-terms that begin at the same word the heaviest counts. The sum of weights is divided by the square root of the
-number of words.
+reads digits as the letters they stand for, and signs too where a letter is on both sides. The automaton holds terms
+(whole words and beginnings of words of four to eight letters) and exception phrases; a term inside an exception
+phrase doesn't count, and of several terms that begin at the same word the heaviest counts. The sum of weights is
+divided by the square root of the number of words.
 
 The lexicon is learned from at most MAX_ROWS labelled rows, in the order of a hash of the id: words and word
 beginnings whose document counts differ between the classes by more than chance (log-likelihood ratio), weighted by
-their smoothed log odds. Two-word phrases around a term that occur in clean rows only become exceptions. The
-threshold is the one of best F1 on these rows; the score is x / (x + threshold).
-
-Defined cases: null counts as empty and has score 0; without labels the seed terms alone are used; rows that
-repeat are each scored; several labels of an id count as the largest.
+their smoothed log odds. Two-word phrases around a term that occur in clean rows only become exceptions. All terms and
+phrases of the sample that pass are taken. The threshold is the one of best F1 on these rows; the score is
+x / (x + threshold).
+
+Defined cases: null counts as empty and has score 0, and so has a text without words; without labels the seed terms
+alone are used; rows that repeat are each scored; several labels of an id count as the largest; ids with equal hashes
+are taken by id; whole texts are scored whatever their length; an empty table gives no rows; other columns stay as they
+are, and where toxicity_score or toxicity_hits is taken the result has the next free name (toxicity_score_1, ...).
 """
 
 from __future__ import annotations
@@ -30,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm.common import BATCH_ROWS, crc_mod, is_held_out, labelled_sample, map_batches, own_columns, table
+from forecourt.llm.common import BATCH_ROWS, crc_mod, is_held_out, labelled_sample, map_batches, new_name, own_columns, table
 
-MAX_ROWS, MAX_TERMS = 8000, 3000
+MAX_ROWS = 8000
 PREFIXES = range(4, 9)
 #: Log-likelihood ratio over which a term's counts differ by more than chance, given how many terms are tried.
 LEAST_G2 = 27.0
@@ -88,9 +91,14 @@ class Lexicon:
                 spared.append((at, end - 1))  # the space after a phrase may begin another word
             elif w > found.get(at, 0):
                 found[at] = w
-        if spared:
-            found = {at: w for at, w in found.items() if not any(a <= at < b for a, b in spared)}
-        return sorted(found.items())
+        out, k, reach = [], 0, -1
+        spared.sort()
+        for at, w in sorted(found.items()):
+            while k < len(spared) and spared[k][0] <= at:
+                reach, k = max(reach, spared[k][1]), k + 1
+            if at >= reach:
+                out.append((at, w))
+        return out
 
     def density(self, text: str) -> tuple[float, int]:
         """Weight of all hits over the square root of the words; number of hits."""
@@ -143,7 +151,7 @@ def _phrases(sample: DataFrame, weights: dict[str, float]) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.int32())], names=["phrase", "label"])
 
     found = map_batches(sample, run, "phrase string, label int").groupBy("phrase").agg(F.sum("label").alias("toxic"), F.count("*").alias("n"))
-    return [r["phrase"] for r in found.where("toxic = 0 and n >= 3").orderBy(F.desc("n"), "phrase").limit(MAX_TERMS).collect()]
+    return [r["phrase"] for r in found.where("toxic = 0 and n >= 3").orderBy(F.desc("n"), "phrase").collect()]
 
 
 def drop_vague(terms: dict[str, tuple[float, float]]) -> dict[str, float]:
@@ -168,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column) -> tuple[d
         counts = map_batches(sample, _term_counts, "term string, label int, n bigint").groupBy("term").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).cast("double").alias("c"))
         odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("c") + 0.5) / (clean + 1.0))
         found = counts.where(F.col("a") >= 3).select("term", "a", odds.alias("w"), _log_likelihood(F.col("a"), F.col("c"), toxic, clean).alias("g2"))
-        terms = found.where((F.col("g2") >= LEAST_G2) & (F.col("w") > 2)).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
+        terms = found.where((F.col("g2") >= LEAST_G2) & (F.col("w") > 2)).orderBy(F.desc("g2"), "term").collect()
         weights |= drop_vague({r["term"]: (float(r["a"]), float(r["w"])) for r in terms})
         exceptions += _phrases(sample, weights)
     model = (weights, exceptions, 1.0)
@@ -220,8 +228,9 @@ def scored_column(spark: SparkSession, model: tuple[dict[str, float], list[str],
 
 def score(docs: DataFrame, model: tuple[dict[str, float], list[str], float]) -> DataFrame:
     """All columns of docs, and toxicity_score and toxicity_hits."""
-    found = docs.withColumn("_forecourt_toxicity", scored_column(docs.sparkSession, model))
-    return found.withColumns({"toxicity_score": F.col("_forecourt_toxicity.score"), "toxicity_hits": F.col("_forecourt_toxicity.hits")}).drop("_forecourt_toxicity")
+    own = new_name(docs, "toxicity")
+    found = docs.withColumn(own, scored_column(docs.sparkSession, model))
+    return found.select(*own_columns(docs), *(F.col(f"{own}.{x}").alias(new_name(docs, f"toxicity_{x}")) for x in ("score", "hits")))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[str], float]:
@@ -230,8 +239,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[st
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score is under the threshold, with their own columns."""
-    found = docs.withColumn("_forecourt_toxicity", scored_column(docs.sparkSession, learn(docs, labels)))
-    return found.where(F.col("_forecourt_toxicity.score") < threshold).select(*own_columns(docs))
+    own = new_name(docs, "toxicity")
+    found = docs.withColumn(own, scored_column(docs.sparkSession, learn(docs, labels)))
+    return found.where(F.col(f"{own}.score") < threshold).select(*own_columns(docs))
 
 
 def op7_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
