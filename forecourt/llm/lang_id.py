@@ -9,10 +9,13 @@ Up to seven languages get the exhaustive code, more get random codewords of whic
 other and its complement in as many bits as a fixed number of draws finds.
 
 The classifiers learn from at most PER_LANG rows of each language and MAX_ROWS in all, in the order of a hash
-of the id, and at most the MAX_LANGS most frequent languages. Predictions read whole texts.
+of the id: first a row of each language, the most frequent languages first, then another of each, and so on.
+Predictions read whole texts.
 
 Defined cases: null text or one without a letter gets `und`, score 0 and is ambiguous; with no training row
-everything is `und`; rows with a null lang aren't learned from; rows that repeat are each predicted.
+everything is `und`; rows with a null lang aren't learned from; an id with several languages counts as the first of
+them by name; rows that repeat are each predicted; of languages that fit equally well the first by name is taken, and
+the prediction is ambiguous; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forecourt.llm.common import crc_mod, is_held_out, map_batches, materialize, share_bound, table
+from forecourt.llm.common import crc_mod, is_held_out, map_batches, materialize, table
 from forecourt.llm.ngrams import blocks, code_points, hashed
 
 BITS = 15
 ORDERS = (1, 2, 3)
-PER_LANG, MAX_ROWS, MAX_LANGS = 600, 6000, 200
+PER_LANG, MAX_ROWS = 600, 6000
 EPOCHS = 4
 #: Lead in weighted loss, per unit of weight, under which a prediction is ambiguous.
 LEAD = 0.1
@@ -112,13 +115,10 @@ def decode(m: np.ndarray, code: np.ndarray, reliability: np.ndarray) -> tuple[in
 def fit(docs: DataFrame, keep: Column) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Languages, their code, weights and reliabilities, from a bounded sample of the rows that `keep` admits."""
     rows = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("rank"))
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    if not n:
-        return [], make_code(0), np.zeros((1 << BITS, 1), np.float32), np.ones(1)
-    bounds = F.create_map(*(F.lit(x) for k, c in n.items() for x in (k, share_bound(PER_LANG, c))))
-    own = Window.partitionBy("lang").orderBy("rank", "doc_id")  # over some times PER_LANG rows of each language
-    ids = rows.where(F.col("rank") <= bounds[F.col("lang")]).withColumn("k", F.row_number().over(own)).where(F.col("k") <= PER_LANG)
-    ids = ids.orderBy("k", "lang").limit(MAX_ROWS).select("doc_id", F.col("lang").alias("learned")).dropDuplicates(["doc_id"])
+    own = Window.partitionBy("lang").orderBy("rank", "doc_id")  # each task keeps PER_LANG rows of a language before the shuffle
+    first = rows.withColumn("k", F.row_number().over(own)).where(F.col("k") <= PER_LANG)
+    ids = first.join(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang").orderBy("k", F.desc("n"), "lang").limit(MAX_ROWS)
+    ids = ids.groupBy("doc_id").agg(F.min("lang").alias("learned"))
     sample = materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "learned"), "lang_sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +126,9 @@ def fit(docs: DataFrame, keep: Column) -> tuple[list[str], np.ndarray, np.ndarra
             found = [counts(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary())], names=["lang", "at", "n"])
 
-    rows = [r for r in map_batches(sample, run, "lang string, at binary, n binary").collect() if r["n"]]  # MAX_ROWS at most
+    rows = [r for r in map_batches(sample, run, "lang string, at binary, n binary").collect() if r["n"]]  # rows of MAX_ROWS ids
+    if not rows:
+        return [], make_code(0), np.zeros((1 << BITS, 1), np.float32), np.ones(1)
     langs = sorted({r["lang"] for r in rows})
     code = make_code(len(langs))
     data = sorted(((r["lang"], bytes(r["at"]), bytes(r["n"])) for r in rows))

@@ -1,7 +1,8 @@
 """Quality classifier: naive Bayes log-count ratios times n-gram indicators, then a linear hinge-loss model.
 
 Indicators are hashed character 3-grams, 5-grams of character shapes (letters by case, digits, spaces, other
-characters as they are), and runs of a repeated word by their length. Each indicator is scaled by the log ratio
+characters as they are), and runs of a repeated word by their length (one indicator for each length up to
+FINE_RUN, and one for each doubling beyond). Each indicator is scaled by the log ratio
 of its smoothed counts in the two classes; the hinge-loss model on top is fitted by dual coordinate descent
 with box-constrained dual variables. The score is a logistic curve through the margin that passes the stated
 threshold where the margin is zero.
@@ -10,7 +11,7 @@ The model learns from at most MAX_ROWS labelled rows, in the order of a hash of
 
 Defined cases: null counts as empty and is scored by the intercept; with rows of a single class, or none, all
 scores are that class's share (0.5 for none); rows that repeat are each scored; several labels of an id count
-as the largest.
+as the largest; ids with equal hashes are taken by id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from forecourt.llm.ngrams import blocks, code_points, hashed
 BITS = 17
 MAX_ROWS = 4000
 EPOCHS, COST, SMOOTH = 12, 1.0, 1.0
-#: Longest run of one word that has an indicator of its own.
-LONGEST_RUN = 8
+#: Longest run of one word that has an indicator of its own; longer ones share one for each doubling.
+FINE_RUN = 8
 
 
 def shape_table() -> np.ndarray:
@@ -62,8 +63,9 @@ def indicators(text: str) -> np.ndarray:
     same = np.fromiter(map(operator.eq, words, words[1:]), bool, max(0, len(words) - 1))
     if same.any():
         ends = np.flatnonzero(np.diff(np.concatenate(([False], same, [False])).astype(np.int8)))
-        run = min(LONGEST_RUN, int((ends[1::2] - ends[::2]).max()) + 1)
-        seen[[half + k * 7919 for k in range(2, run + 1)]] = True
+        run = int((ends[1::2] - ends[::2]).max()) + 1
+        steps = [*range(2, FINE_RUN + 1), *(FINE_RUN << i for i in range(1, run.bit_length()))]
+        seen[[half + place * 7919 % half for place, k in enumerate(steps, 2) if k <= run]] = True
     return np.flatnonzero(seen).astype(np.uint32)
 
 
