@@ -5,20 +5,24 @@ that share t = w + k - 1 words share such a window and therefore a kept hash, so
 no shared span of t words. t is 13 words, and for an item of fewer words its own number of words; each t that
 occurs among the items has fingerprints of its own.
 
-1. The kept hashes of a document are exploded, without its words, and semi-joined with the items' hashes.
-2. Only documents with a common hash are joined back to their text. There each word position with a common
-   hash carries t - k words of context to either side.
+1. The kept hashes of a document, for all t at once, are exploded, without its words, and semi-joined with the items'
+   hashes. The corpus is read once for this, however many t there are.
+2. Only documents with a common hash are joined back to their text. There each word position carries its hash for
+   each k and the words around it.
 3. A pair of positions is extended over equal words to both sides; t words or more are a hit. Longer spans are
    the union of the hits of their windows.
 
-The items' hashes are written and counted first and are broadcast only up to BROADCAST_ROWS rows; beyond that
-the same join shuffles both sides, where a frequent hash is split by the adaptive skew join.
+The items' hashes are written first, and their bytes with the words around them are summed; they are broadcast only up
+to BROADCAST_BYTES. Beyond that the same join shuffles both sides, where a frequent hash is split by the adaptive skew
+join.
 
 Generators are outer ones: for inner ones the optimizer infers a filter over the whole array expression and
 pushes it below the projections, which would put one array's computation inside another's lambda.
 
 Defined cases: null or wordless texts have no words and no hits; items without words have no windows; rows of
-documents that repeat each get the result; an item id that repeats counts once; other columns are ignored.
+documents that repeat each get the result; an item id that repeats counts once; items of equal windows are all
+listed; whole texts are read whatever their length; an empty table gives no rows, and no items give no hits; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +33,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forecourt.llm.common import materialize, table
+from forecourt.llm.common import materialize, own_columns, table
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPAN, K = 13, 5
-#: Rows of a table that may be broadcast: at most some tens of MB.
-BROADCAST_ROWS = 500_000
+#: Bytes of the items' hashes and words that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -90,7 +94,7 @@ def context(words: str, i: Column, k: int, t: int) -> Column:
 
 
 def item_fingerprints(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[int], int]:
-    """Written (t, hash, item, context) of every kept hash of the items; the t that occur (13 at most); the rows."""
+    """Written (t, k, hash, item, own) of every kept hash of the items, own being its words; the t that occur (13 at most); the bytes."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), words_of(F.col(text_col)).alias("words")).where(F.size("words") > 0)
     items = items.withColumn("t", F.least(F.size("words"), F.lit(SPAN))).withColumn("h", F.transform("words", lambda x: F.xxhash64(x)))
     parts = []
@@ -100,11 +104,13 @@ def item_fingerprints(benchmark: DataFrame, id_col: str, text_col: str) -> tuple
         own = with_windows(items.where(F.col("t") == t), t, k)
         kept = F.filter(positions("g"), lambda j: F.array_contains(F.slice("least", F.greatest(j - w + 1, F.lit(0)) + 1, F.lit(w)), F.get("g", j)))  # noqa: B023
         rows = own.select("t", "item", "words", "g", F.explode_outer(kept).alias("j")).where("j is not null")
-        parts.append(rows.select("t", F.get("g", F.col("j")).alias("hash"), "item", context("words", F.col("j"), k, t).alias("own")))
+        parts.append(rows.select("t", F.lit(k).alias("k"), F.get("g", F.col("j")).alias("hash"), "item", context("words", F.col("j"), k, t).alias("own")))
     if not parts:
         return items.select("t", F.lit(0).cast("bigint").alias("hash"), "item").where("false"), [], 0
     written = materialize(reduce(DataFrame.unionByName, parts), "fingerprints")
-    return written, [r["t"] for r in written.select("t").distinct().collect()], written.count()
+    words = F.concat(F.col("own.before"), F.col("own.gram"), F.col("own.after"))
+    size = F.octet_length(F.array_join(words, " ")) + F.octet_length("item") + 64 + 16 * F.size(words)
+    return written, sorted(r["t"] for r in written.select("t").distinct().collect()), written.agg(F.sum(size)).first()[0] or 0
 
 
 def equal_run(a: Column, b: Column) -> Column:
@@ -125,30 +131,30 @@ def same_key(a: DataFrame, b: DataFrame) -> Column:
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame | None:
     """(id, text_hash, spans array<struct<a, b>>, items array<string>) of the documents with hits; None without items."""
-    prints, spans, n = item_fingerprints(benchmark, item_col, item_text)
-    if not n:
+    prints, spans, size = item_fingerprints(benchmark, item_col, item_text)
+    if not spans:
         return None
-    small = n <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda x: x)
+    hint = F.broadcast if size <= BROADCAST_BYTES else (lambda x: x)
     keyed = with_key(docs, id_col, text_col)
     hashed = keyed.select("id", "text_hash", words_of(F.col("text")).alias("words")).withColumn("h", F.transform("words", lambda x: F.xxhash64(x))).drop("words")
-    common = []
     for t in spans:
-        own = with_windows(hashed, t, kgram(t)).select("id", "text_hash", F.explode_outer(F.array_distinct("least")).alias("hash"))
-        common.append(own.join(hint(prints.where(F.col("t") == t).select("hash").distinct()), "hash", "left_semi").select("id", "text_hash"))
-    found = materialize(reduce(DataFrame.unionByName, common).distinct(), "candidates").select(F.col("id").alias("c_id"), F.col("text_hash").alias("c_hash"))
+        hashed = with_windows(hashed, t, kgram(t)).withColumnRenamed("least", f"least_{t}").drop("g")
+    kept = hashed.select("id", "text_hash", F.explode_outer(F.array_distinct(F.concat(*(F.col(f"least_{t}") for t in spans)))).alias("hash"))
+    found = kept.join(hint(prints.select("hash").distinct()), "hash", "left_semi").select("id", "text_hash").distinct()
+    found = materialize(found, "candidates").select(F.col("id").alias("c_id"), F.col("text_hash").alias("c_hash"))
     back = keyed.join(found, keyed["id"].eqNullSafe(found["c_id"]) & (keyed["text_hash"] == found["c_hash"]), "left_semi").dropDuplicates(["id", "text_hash"])
     back = back.withColumn("words", words_of(F.col("text"))).drop("text").withColumn("h", F.transform("words", lambda x: F.xxhash64(x)))
-    hits = []
-    for t in spans:
-        k = kgram(t)
-        at = F.transform(positions("g"), lambda i: F.struct(F.get("g", i).alias("hash"), i.alias("i"), context("words", i, k, t).alias("doc")))  # noqa: B023
-        own = back.withColumn("g", gram_hashes("h", k)).select("id", "text_hash", F.inline_outer(at))
-        pairs = own.join(hint(prints.where(F.col("t") == t).select("hash", "item", "own")), "hash").where(F.col("doc.gram") == F.col("own.gram"))
-        left, right = equal_run(F.col("doc.before"), F.col("own.before")), equal_run(F.col("doc.after"), F.col("own.after"))
-        pairs = pairs.select("id", "text_hash", "item", "i", left.alias("left"), right.alias("right")).where(F.col("left") + F.col("right") + k >= t)
-        hits.append(pairs.select("id", "text_hash", "item", (F.col("i") - F.col("left")).alias("a"), (F.col("i") + k + F.col("right")).alias("b")))
-    return reduce(DataFrame.unionByName, hits).groupBy("id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
+    grams = sorted({kgram(t) for t in spans})
+    longest = max(spans)
+    for k in grams:
+        back = back.withColumn(f"g_{k}", gram_hashes("h", k))
+    at = F.concat(*(F.transform(positions(f"g_{k}"), lambda i: F.struct(F.get(f"g_{k}", i).alias("hash"), F.lit(k).alias("k"), i.alias("i"), context("words", i, k, longest).alias("doc"))) for k in grams))  # noqa: B023
+    own = back.select("id", "text_hash", F.inline_outer(at))
+    pairs = own.join(hint(prints.select("hash", "k", "t", "item", "own")), ["hash", "k"]).where(F.col("doc.gram") == F.col("own.gram"))
+    left, right = equal_run(F.col("doc.before"), F.col("own.before")), equal_run(F.col("doc.after"), F.col("own.after"))
+    pairs = pairs.select("id", "text_hash", "item", "i", "k", "t", left.alias("left"), right.alias("right")).where(F.col("left") + F.col("right") + F.col("k") >= F.col("t"))
+    hits = pairs.select("id", "text_hash", "item", (F.col("i") - F.col("left")).alias("a"), (F.col("i") + F.col("k") + F.col("right")).alias("b"))
+    return hits.groupBy("id", "text_hash").agg(F.collect_set(F.struct("a", "b")).alias("spans"), F.sort_array(F.collect_set("item")).alias("items"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -169,7 +175,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones, with their own columns."""
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti").select(*own_columns(docs))
 
 
 def op4_winnow_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
