@@ -1,8 +1,9 @@
 """WARC records in ZIP packages: written per task, read back by byte ranges.
 
-A package is a ZIP file with two stored members: archive/data.warc.gz (one gzip member per record) and
-indexes/index.jsonl (offset and length of each record). The reader never extracts a package: it reads the end
-of the file, the ZIP64 end record if there is one, and the central directory; the local header of a stored
+A package is a ZIP file of stored members: archives (archive/*.warc.gz, one gzip member per record, or *.warc) and
+indexes (indexes/*.jsonl or *.cdxj: JSON with the archive's name, offset and length of each record, perhaps after a
+key). The writer makes one of each. The reader never extracts a package: it reads the end of the file, the ZIP64 end
+record if there is one, and the central directory, where it locates archives and indexes; the local header of a stored
 member tells where its bytes begin; the index gives ranges, and each record is one range read.
 
 Packages go to the shared folder under names of their own for each attempt; a written manifest lists those of
@@ -10,7 +11,11 @@ the attempts that counted, so that a lost executor or a second attempt cannot mi
 
 Defined cases: null html is an empty payload; all pages of the smallest page_id of a payload are responses, so
 rows that repeat are written as often as they occur; a null page_id is a response only if no page with the
-payload has an id; an empty table gives no rows; other columns are ignored.
+payload has an id; ids may be of any type that can be cast to a string and back; payloads of any length are one record
+each; an empty table gives no rows; other columns are ignored.
+
+Tasks open the shared folder through pyarrow (local, s3, gs, abfs, hdfs); the folders of attempts that didn't count go
+with the folder as a whole.
 """
 
 from __future__ import annotations
@@ -20,10 +25,12 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import uuid
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -33,13 +40,19 @@ from pyspark.sql import functions as F
 from forecourt.llm.common import map_batches, materialize, new_path, table
 
 WARC_MEMBER, INDEX_MEMBER = "archive/data.warc.gz", "indexes/index.jsonl"
+ARCHIVES, INDEXES = re.compile(r"archive/(.+\.warc(?:\.gz)?)"), re.compile(r"indexes/.+\.(?:jsonl|cdxj)")
+# Schemes of Spark's file systems whose names differ in pyarrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
 #: A task begins another package beyond so many bytes of records.
 PACKAGE_BYTES = 128 << 20
 SIGNATURES = {"end": b"PK\x05\x06", "end64": b"PK\x06\x06", "locator64": b"PK\x06\x07", "entry": b"PK\x01\x02", "local": b"PK\x03\x04"}
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+    scheme, found, rest = uri.partition(":")
+    if not found:
+        return pafs.FileSystem.from_uri(f"file://{uri}")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 # ---- reading a package -------------------------------------------------------------------------------------
@@ -101,9 +114,18 @@ def member_start(f, member: dict) -> int:
     return member["local"] + 30 + n_name + n_extra
 
 
-def read_index(f, members: dict[str, dict]) -> list[dict]:
-    index = members[INDEX_MEMBER]
-    return [json.loads(x) for x in read_range(f, member_start(f, index), index["size"]).splitlines()]
+def read_entries(f, members: dict[str, dict]) -> Iterator[tuple[int, int, int]]:
+    """(place in the package, length, offset in its archive) of every record that an index lists."""
+    archives = {m[1]: x for name, x in members.items() if (m := ARCHIVES.fullmatch(name))}
+    starts: dict[str, int] = {}
+    for name, index in members.items():
+        if INDEXES.fullmatch(name):
+            for line in read_range(f, member_start(f, index), index["size"]).splitlines():
+                entry = json.loads(line[line.index(b"{") :])
+                own = entry.get("filename") or next(iter(archives))
+                if own not in starts:
+                    starts[own] = member_start(f, archives[own])
+                yield starts[own] + int(entry["offset"]), int(entry["length"]), int(entry["offset"])
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
@@ -122,16 +144,16 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def make_record(page_id, url: str | None, payload: bytes, first) -> tuple[str, bytes]:
+def make_record(page_id: str | None, url: str | None, payload: bytes, first: str | None) -> tuple[str, bytes]:
     """Record type and bytes. first: page_id of the response with this payload, None if this is the response."""
     kind = "response" if first is None else "revisit"
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if first is None else http
-    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:page:{'null' if page_id is None else page_id}>", "WARC-Payload-Digest": f"sha1:{sha1_base32(payload)}"}
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:page:{'' if page_id is None else quote(page_id, safe='')}>", "WARC-Payload-Digest": f"sha1:{sha1_base32(payload)}"}
     if url is not None:
         head["WARC-Target-URI"] = " ".join(url.split())
     if first is not None:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{first}>"}
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:page:{quote(first, safe='')}>"}
     head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
     return kind, b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -151,7 +173,7 @@ class Package:
     def add(self, kind: str, record: bytes) -> None:
         packed = gzip.compress(record, 6, mtime=0)
         self.member.write(packed)
-        self.index.write(json.dumps({"offset": self.at, "length": len(packed), "type": kind}).encode() + b"\n")
+        self.index.write(json.dumps({"filename": WARC_MEMBER.partition("/")[2], "offset": self.at, "length": len(packed), "type": kind}).encode() + b"\n")
         self.at += len(packed)
         self.n += 1
 
@@ -194,31 +216,30 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
 
     files, path = open_fs(folder)
     files.create_dir(path)
-    return materialize(map_batches(mark_revisits(pages, min_bytes).select("page_id", "url", "payload", "first_id"), run, "path string, records bigint"), "manifest")
+    return materialize(map_batches(mark_revisits(pages, min_bytes).select(F.col("page_id").cast("string"), "url", "payload", F.col("first_id").cast("string")), run, "path string, records bigint"), "manifest")
 
 
-def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_archives(manifest: DataFrame, with_payload: bool = True, id_type: str = "bigint") -> DataFrame:
     """One row per record, read from its range of its package and held against its digest."""
-    schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, package string, record_offset bigint, record_length bigint, payload binary"
+    schema = "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, package string, record_offset bigint, record_length bigint, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def number(urn: str | None) -> int | None:
-        return None if urn is None or urn == "<urn:page:null>" else int(urn[10:-1])
+    def page(urn: str | None) -> str | None:
+        return None if urn is None or urn == "<urn:page:>" else unquote(urn[10:-1])
 
     def rows_of(path: str) -> Iterator[tuple]:
         files, local = open_fs(path)
         with files.open_input_file(local) as f:
-            members = read_directory(f, f.size())
-            start = member_start(f, members[WARC_MEMBER])
-            for entry in read_index(f, members):
-                warc, http, payload = parse_record(gzip.decompress(read_range(f, start + entry["offset"], entry["length"])))
+            for start, length, offset in read_entries(f, read_directory(f, f.size())):
+                raw = read_range(f, start, length)
+                warc, http, payload = parse_record(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
                 digest, kind = warc["WARC-Payload-Digest"].removeprefix("sha1:"), warc["WARC-Type"]
                 if kind == "response" and (sha1_base32(payload) != digest or len(payload) != int(http["Content-Length"])):
-                    raise ValueError(f"digest of a record in {path} at {entry['offset']} differs")
-                yield number(warc["WARC-Record-ID"]), int(http["Content-Length"]), digest, kind, number(warc.get("WARC-Refers-To")), warc.get("WARC-Target-URI"), path, entry["offset"], entry["length"], payload if with_payload else None
+                    raise ValueError(f"digest of a record in {path} at {offset} differs")
+                yield page(warc["WARC-Record-ID"]), int(http["Content-Length"]), digest, kind, page(warc.get("WARC-Refers-To")), warc.get("WARC-Target-URI"), path, offset, length, payload if with_payload else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 rows = rows_of(path)
@@ -226,9 +247,11 @@ def read_archives(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), types, strict=True)], names=names)
 
     n = max(1, manifest.count())
-    return map_batches(manifest.select("path").repartition(n), run, schema)
+    found = map_batches(manifest.select("path").repartition(n), run, schema)
+    return found.withColumns({x: F.col(x).cast(id_type) for x in ("page_id", "refers_to")})
 
 
 def op2_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = write_archives(table(spark, sf_dir, "pages"), new_path(spark, "packages"))
-    return read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    manifest = write_archives(pages, new_path(spark, "packages"))
+    return read_archives(manifest, with_payload=False, id_type=pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
