@@ -1,6 +1,8 @@
 """Corpus operators: brute force, round trips, held-out accuracy and defined edge cases."""
 
+import base64
 import collections
+import gzip
 import hashlib
 import itertools
 import math
@@ -120,6 +122,52 @@ def test_warc_round_trip(spark):
     assert warc_zip.read_archives(warc_zip.write_archives(df.limit(0), new_path(spark, "p"))).count() == 0
 
 
+def test_warc_query_against_brute_force(spark):
+    found = {r["page_id"]: r for r in warc_zip.op2_warc_zip(spark, FOLDER).collect()}
+    pages = {r["page_id"]: (r["html"] or "").encode() for r in table(spark, FOLDER, "pages").collect()}
+    first = {}
+    for i in sorted(pages):
+        first.setdefault(pages[i], i)
+    assert found.keys() == pages.keys()
+    for i, payload in pages.items():
+        r, own = found[i], first[payload]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode())
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if own == i else ("revisit", own))
+
+
+def test_warc_of_odd_rows(spark, odd):
+    """Ids that are strings with any characters, clashing columns, an empty table, nulls."""
+    df = odd.select(F.concat(F.lit("é <"), F.col("doc_id").cast("string"), F.lit("> \r\n%")).alias("page_id"), F.col("source").alias("url"), F.col("text").alias("html"), F.lit(1).alias("payload"), F.lit(2).alias("sha"), F.lit(3).alias("first"), "score")
+    got = warc_zip.read_archives(warc_zip.write_archives(df, new_path(spark, "p")), id_type="string").collect()
+    want = collections.Counter((r["page_id"], len((r["html"] or "").encode())) for r in df.collect())
+    assert collections.Counter((r["page_id"], r["payload_bytes"]) for r in got) == want
+    assert {r["record_type"] for r in got if r["page_id"] == "é <3> \r\n%"} == {"response"}
+
+
+def test_members_are_located_by_the_directory(tmp_path):
+    """Several archives and indexes under names of another writer."""
+    import io
+    import json
+    import zipfile
+
+    raw, records = io.BytesIO(), {}
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as z:
+        for name in ("b.warc.gz", "a.warc"):
+            body, lines = b"", []
+            for i in range(3):
+                record = warc_zip.make_record(f"{name}{i}", "u", b"x" * i, None)[1]
+                packed = gzip.compress(record) if name.endswith("gz") else record
+                lines.append(f'com,example)/ 2020 {json.dumps({"filename": name, "offset": str(len(body)), "length": str(len(packed))})}')
+                body += packed
+                records[f"{name}{i}"] = record
+            z.writestr(f"archive/{name}", body)
+            z.writestr(f"indexes/{name}.cdxj", "\n".join(lines))
+        z.writestr("pages/pages.jsonl", "not an index")
+    f = io.BytesIO(raw.getvalue())
+    got = [warc_zip.read_range(f, at, n) for at, n, _ in warc_zip.read_entries(f, warc_zip.read_directory(f, len(raw.getvalue())))]
+    assert sorted(gzip.decompress(x) if x[:2] == b"\x1f\x8b" else x for x in got) == sorted(records.values())
+
+
 def test_zip64_directory(tmp_path):
     """A package whose central directory and end record use 64-bit fields."""
     import io
