@@ -19,6 +19,51 @@ def precision_recall_f1(correct: Column, extracted: Column, expected: Column) ->
     return [p.alias("precision"), r.alias("recall"), F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r)).alias("f1")]
 
 
+def field_scores(expected: Column, extracted: Column) -> Column:
+    """struct<correct, extracted, expected>: how many fields, of two maps. Only expected keys with a value count.
+
+    An extracted value counts if there is one, and is correct if it equals the expected one but for case and outer blanks.
+    """
+    known = F.filter(F.map_entries(expected), lambda e: truthy(e["value"]))
+    found = F.filter(known, lambda e: truthy(F.try_element_at(extracted, e["key"])))
+    right = F.filter(found, lambda e: F.lower(strip(F.try_element_at(extracted, e["key"]))) == F.lower(strip(e["value"])))
+    size = lambda xs: F.greatest(F.coalesce(F.size(xs), F.lit(0)), F.lit(0)).cast("bigint")
+    return F.struct(size(right).alias("correct"), size(found).alias("extracted"), size(known).alias("expected"))
+
+
+def extraction_report(df: DataFrame, expected: str, extracted: str, group: Column) -> DataFrame:
+    """Per group, summed field_scores and precision, recall and F1 from the sums."""
+    counts = df.select(group.alias("group"), field_scores(F.col(expected), F.col(extracted)).alias("s")).groupBy("group")
+    summed = counts.agg(*(F.sum(f"s.{c}").alias(c) for c in ("correct", "extracted", "expected")))
+    return summed.select("*", *precision_recall_f1(F.col("correct"), F.col("extracted"), F.col("expected")))
+
+
+def stage_accuracy(turns: DataFrame, dialogue: str, expected: str, actual: str) -> DataFrame:
+    """macro (mean over dialogues) and micro (over turns) share of turns whose stage is the expected one."""
+    right = F.coalesce((F.col(expected) == F.col(actual)).cast("int"), F.lit(0))
+    own = turns.groupBy(dialogue).agg(F.count("*").alias("n"), F.sum(right).alias("k"))
+    return own.agg(F.avg(F.col("k") / F.col("n")).alias("macro"), (F.sum("k") / F.sum("n")).alias("micro"))
+
+
+#: Scores of a dialogue that a report averages; stage accuracy is a share, all others go to 100.
+REPORTED = ("overall", "stage_accuracy", "relevance", "task_completion", "conversion", "professionalism", "language")
+
+
+def report_totals(dialogues: DataFrame) -> DataFrame:
+    """One row from dialogues (turns and the REPORTED scores): how many, their turns, and the seven means to a digit."""
+    mean = lambda c: F.round(F.coalesce(F.avg(F.col(c) * (100 if c == "stage_accuracy" else 1)), F.lit(0.0)), 1)
+    return dialogues.agg(F.count("*").alias("dialogues"), F.coalesce(F.sum("turns"), F.lit(0)).alias("turns"), *(mean(c).alias(f"avg_{c}") for c in REPORTED))
+
+
+def report_text(summary: dict[str, object], targets: dict[str, float] | None = None, title: str = "Evaluation") -> str:
+    """A Markdown table of one row's values, with targets where there are some."""
+    lines = [f"# {title}", "", "| metric | value | target | met |", "|---|---|---|---|"]
+    for name, value in summary.items():
+        target = (targets or {}).get(name)
+        lines.append(f"| {name} | {value} | {'' if target is None else target} | {'' if target is None or value is None else 'yes' if value >= target else 'no'} |")
+    return "\n".join(lines) + "\n"
+
+
 def relevance(response: Column, stage: Column, words: Column, product: str | None = None) -> Column:
     """0 to 100: stage words 40, share of the user's words 30, length 15, question 15 or invitation 10.
 

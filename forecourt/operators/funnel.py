@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,35 +36,47 @@ def next_stage(stage: Column, profile: list[Column], needs: list[Column], has_ca
     return reduce(lambda e, s: e.when(*s), steps[1:], F.when(*steps[0])).otherwise(stage)
 
 
-def milestones(turns: DataFrame, session: str, turn: str, gates: list[tuple[list[Column], int, int]]) -> DataFrame:
-    """Per session, at_1 to at_6: the turn after which each later stage is entered (null: never).
+def fact_bits(gates: list[tuple[list[Column], int, int]]) -> tuple[Column, list[tuple[int, int, int]]]:
+    """A turn's facts as the bits of a number, and for each transition its bits, how many of them it needs, and from which stage on they are heard."""
+    facts = [fact for conditions, *_ in gates for fact in conditions]
+    bits = reduce(lambda a, b: a + b, [F.coalesce(f.cast("bigint"), F.lit(0)) * (1 << i) for i, f in enumerate(facts)], F.lit(0).cast("bigint"))
+    places = [len(conditions) for conditions, *_ in gates]
+    return bits, [(((1 << n) - 1) << sum(places[:k]), gates[k][1], gates[k][2]) for k, n in enumerate(places)]
 
-    gates has, for each transition, conditions on a turn's own facts, how many of them must have held on some
-    turn so far, and the transition whose turn opens the collection of these facts (0: from the start). Stages
-    never go back and facts stay known, so each transition's turn follows from least turns: every one is a
-    grouped minimum that combines before the shuffle, and no session is collected.
+
+def session_stages(turns: DataFrame, session: str, turn: str, gates: list[tuple[list[Column], int, int]]) -> DataFrame:
+    """(session, stage) after all turns of each session, in one shuffle of the turns.
+
+    gates has, for each transition, conditions on a turn's own facts, how many of them must have held on some turn
+    so far, and the transition whose turn opens the collection of these facts (0: from the start). Each turn becomes a
+    number whose bits are its facts. Tasks sort their sessions' turns and walk through them, in Arrow batches that need
+    not end with a session; nothing but the state of one session is held.
     """
-    done = turns.groupBy(session).agg(F.min(turn).alias("at_1"))
-    for k, (facts, least, opened) in enumerate(gates[1:], start=2):
-        since = F.lit(True) if opened == 0 else F.col(turn) > F.col(f"at_{opened}")
-        later = F.min(F.when(F.col(turn) > F.col(f"at_{k - 1}"), F.col(turn))).alias("soonest")
-        firsts = [F.min(F.when(since & fact, F.col(turn))).alias(f"fact_{i}") for i, fact in enumerate(facts)]
-        found = turns.join(done, session).groupBy(session).agg(later, *firsts)
-        known = F.array_sort(F.array_compact(F.array(*(F.col(f"fact_{i}") for i in range(len(facts))))))
-        ready = F.get(known, F.lit(least - 1))
-        found = found.select(session, F.when(ready.isNotNull() & F.col("soonest").isNotNull(), F.greatest("soonest", ready)).alias(f"at_{k}"))
-        done = done.join(found, session, "left")
-    return done
-
-
-def stage_reached(k: int = 6) -> Column:
-    """Final stage from the milestones."""
-    stage = F.lit(STAGES[0])
-    for i in range(1, k + 1):
-        stage = F.when(F.col(f"at_{i}").isNotNull(), STAGES[i]).otherwise(stage)
-    return stage
-
-
-def fold(turns: Column, start: Column, step, finish=None) -> Column:
-    """Left fold over the ordered turns of one bounded session."""
-    return F.aggregate(F.array_sort(turns), start, step, finish) if finish else F.aggregate(F.array_sort(turns), start, step)
+    bits, rules = fact_bits(gates)
+    kind = turns.schema[session].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, stage, known = None, 0, 0
+        started = False
+        for batch in batches:
+            keys, stages = [], []
+            for key, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not started or key != last:
+                    if started:
+                        keys.append(last)
+                        stages.append(stage)
+                    last, stage, known, started = key, 0, 0, True
+                for mask, _, opened in rules:
+                    if stage >= opened:  # facts of a later stage aren't heard before it
+                        known |= own & mask
+                if stage < len(rules):
+                    mask, least, _ = rules[stage]
+                    stage += (known & mask).bit_count() >= least
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(stages, pa.int32())], names=["session", "k"])
+        if started:
+            yield pa.RecordBatch.from_arrays([pa.array([last], batch.schema.field(0).type), pa.array([stage], pa.int32())], names=["session", "k"])
+
+    ordered = turns.select(F.col(session).alias("session"), F.col(turn).alias("turn"), bits.alias("bits")).repartition("session").sortWithinPartitions("session", "turn")
+    found = ordered.select("session", "bits").mapInArrow(run, f"session {kind}, k int")
+    return found.select(F.col("session").alias(session), F.get(F.array(*map(F.lit, STAGES)), F.col("k")).alias("stage"))

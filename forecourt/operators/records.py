@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecourt.functions.semantics import any_of, col, filled, strip, truthy
+from forecourt.functions.vocabulary import RESERVATION_FIELDS
 
 
-def upsert(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Latest state by key: changed fields that are truthy win, other fields and keys stay."""
+def one_change_per_key(changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Changes of one key as one: of each field the latest truthy value by order (without one, the greatest value)."""
+    fields = [c for c in changes.columns if c not in (key, order)]
+    present = lambda c: F.coalesce(F.col(c).cast("string") != "", F.lit(False))
+    last = lambda c: F.max_by(c, F.when(present(c), F.struct(order, c))) if order else F.max(F.when(present(c), F.col(c)))
+    return changes.groupBy(key).agg(*(last(c).alias(c) for c in fields)) if fields else changes.select(key).distinct()
+
+
+def upsert(current: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Latest state by key: changed fields that are truthy win, other fields and keys stay; one row a key.
+
+    Several changes of a key count in the given order (see one_change_per_key).
+    """
     fields = [c for c in current.columns if c != key]
+    changes = one_change_per_key(changes, key, order)
     new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in fields if c in changes.columns))
     joined = current.join(new, key, "full_outer")
     pick = lambda c: F.when(F.coalesce(F.col(f"_new_{c}").cast("string") != "", F.lit(False)), F.col(f"_new_{c}")).otherwise(F.col(c)) if c in changes.columns else F.col(c)
@@ -63,6 +76,36 @@ def form_errors(fields: dict[str, str], phone: str) -> Column:
     return F.array_compact(F.array(*blank, F.when(~filled(phone), F.lit("phone")).when(~strip(phone).rlike("^[0-9]+$"), F.lit("phone_digits"))))
 
 
+def merge_reservation(current: DataFrame, changes: DataFrame, key: str = "phone_number", order: str | None = None) -> DataFrame:
+    """Upsert of reservations: five fields and the model may change, the reservation's phone never does."""
+    kept = [c for c in changes.columns if c in (key, order, "car_model", *RESERVATION_FIELDS) and c != "reservation_phone_number"]
+    return upsert(current, changes.select(*kept), key, order)
+
+
+def known_models(names: DataFrame, brands: DataFrame, name: str = "name", brand: str = "brand") -> DataFrame:
+    """Rows whose name is Brand-Model with a listed brand, with brand and model."""
+    split = names.withColumn("_m", split_model(name)).where("_m is not null").select(*names.columns, F.col("_m.brand").alias("brand"), F.col("_m.model").alias("model"))
+    return split.join(brands.select(F.col(brand).alias("brand")).distinct(), "brand", "left_semi").select(*names.columns, "brand", "model")
+
+
+def dealer_rows(df: DataFrame, order: list, info: str = "test_drive_info") -> DataFrame:
+    """The nested fields flat, with a 1-based id in the given order.
+
+    The order cuts the rows into ranges; ids come from the counts of the ranges before, so that no task numbers all rows.
+    """
+    flat = df.select(*(c for c in df.columns if c != info), f"{info}.*")
+    return numbered(flat, order, "id")
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds a 1-based number in the given total order, by ranges and the counts before them."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    own = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND((1 << 33) - 1))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    counts = own.groupBy("_part").count().select("_part", before.alias("_before"))
+    return own.join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_at", "_part", "_place", "_before")
+
+
 def split_model(name: Column | str) -> Column:
     """struct<brand, model> of Brand-Model; null without a hyphen."""
     c = col(name)

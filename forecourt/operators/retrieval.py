@@ -13,6 +13,8 @@ from forecourt.functions.vocabulary import FILTER_FIELDS
 SNIPPET, SHORT_SNIPPET = 300, 200
 #: Queries and vectors of one group of top_k_batch, about; vectors of a group at least, where there are cores enough; both of one product.
 GROUP, LEAST_GROUP, TILE = 32_768, 1024, 1024
+#: Digits by which scores are ranked: sums of the same products in another order are equal to so many. Presentation rounds to four.
+RANK_DIGITS = 12
 #: Score of what has no direction; real ones are -1 at least.
 NO_SCORE = -2.0
 
@@ -35,9 +37,38 @@ def cosine(vector: Column, query: list[float]) -> Column:
     return F.when(size > 0, dot / size)
 
 
+def cosine_batches(vector: Column, query: list[float]) -> Column:
+    """As cosine, by one product for each Arrow batch. Vectors of another length than the query's have no score."""
+    q = np.asarray(query, np.float64)
+    q = q / (np.linalg.norm(q) or 1.0)
+
+    def score(vectors: pa.Array) -> pa.Array:
+        x, bad = rows_of(vectors, len(q))
+        size = np.linalg.norm(x, axis=1)
+        bad |= size == 0
+        return pa.array((x @ q) / np.where(bad, 1.0, size), pa.float64(), mask=bad)
+
+    score.__annotations__ = {"vectors": pa.Array, "return": pa.Array}
+    return F.arrow_udf(score, "double")(vector)
+
+
+def rows_of(vectors: pa.Array, wide: int) -> tuple[np.ndarray, np.ndarray]:
+    """A matrix of the lists of that length, and which lists are null, hold nulls, or have another length (those are zero)."""
+    values, starts = vectors.values, np.asarray(vectors.offsets)
+    bad = np.asarray(vectors.is_null()) | (np.diff(starts) != wide)
+    flat = values.cast(pa.float64()).to_numpy(zero_copy_only=False)
+    x = np.zeros((len(vectors), wide))
+    good = np.flatnonzero(~bad)
+    x[good] = flat[starts[:-1][good][:, None] + np.arange(wide)]
+    holes = np.isnan(x).any(axis=1)
+    x[holes] = 0.0
+    return x, bad | holes
+
+
 def top_k(df: DataFrame, query: list[float], k: int = 5, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k most similar rows with score (4 digits); equal scores by key. Becomes a TakeOrderedAndProject."""
-    return df.withColumn("score", F.round(cosine(col(vector), query), 4)).orderBy(F.desc_nulls_last("score"), key).limit(k)
+    """The k most similar rows with score; equal scores by key. Becomes a TakeOrderedAndProject."""
+    scored = df.withColumn("score", F.round(cosine_batches(col(vector), query), RANK_DIGITS))
+    return scored.orderBy(F.desc_nulls_last("score"), key).limit(k)
 
 
 def unit(vectors: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,14 +92,15 @@ def best_of_group(queries: pa.Table, vectors: pa.Table, k: int) -> tuple[np.ndar
             score = own @ x[begin : begin + TILE].T
             score[:, x_bad[begin : begin + TILE]] = NO_SCORE
             score[q_bad[at : at + TILE]] = NO_SCORE
-            if begin:  # later keys are larger, so that they must exceed it by a digit
-                i, j = np.nonzero(score > least[:, None] + 0.00004)
+            score = np.round(score, RANK_DIGITS)
+            if begin:  # later keys are larger, so that they must exceed it
+                i, j = np.nonzero(score > least[:, None])
             elif score.shape[1] <= k:
                 i, j = np.nonzero(score > -np.inf)
             else:
-                i, j = np.nonzero(score >= np.round(-np.partition(-score, k - 1, axis=1)[:, k - 1], 4)[:, None] - 0.00006)
+                i, j = np.nonzero(score >= -np.partition(-score, k - 1, axis=1)[:, k - 1][:, None])
             if len(i):
-                i, j, s = (np.concatenate(pair) for pair in zip(kept, (i, j + begin, np.round(score[i, j], 4)), strict=True))
+                i, j, s = (np.concatenate(pair) for pair in zip(kept, (i, j + begin, score[i, j]), strict=True))
                 order = np.lexsort((j, -s, i))
                 i, j, s = i[order], j[order], s[order]
                 rank = np.arange(len(i)) - np.searchsorted(i, i)
@@ -107,9 +139,13 @@ def top_k_batch(df: DataFrame, queries: DataFrame, k: int = 5, vector: str = "em
     return near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def format_results(df: DataFrame, name: str, text: str, score: str = "score") -> DataFrame:
-    """car_model (Unknown where missing), score (4 digits, null stays), text_snippet (300 characters)."""
-    return df.select(F.coalesce(F.when(truthy(name), col(name)), F.lit("Unknown")).alias("car_model"), F.round(score, 4).alias("score"), F.left(F.coalesce(col(text), F.lit("")), F.lit(SNIPPET)).alias("text_snippet"))
+def format_results(df: DataFrame, name: str, text: str, score: str = "score", metadata: str | None = None) -> DataFrame:
+    """car_model (Unknown where missing), score (4 digits, null stays), text_snippet (300 characters).
+
+    With the name of a map column also metadata: that map without the source path.
+    """
+    more = [] if metadata is None else [F.map_filter(metadata, lambda k, v: k != "source_file").alias("metadata")]
+    return df.select(*more, F.coalesce(F.when(truthy(name), col(name)), F.lit("Unknown")).alias("car_model"), F.round(score, 4).alias("score"), F.left(F.coalesce(col(text), F.lit("")), F.lit(SNIPPET)).alias("text_snippet"))
 
 
 def matched_cars_text(cars: Column) -> Column:

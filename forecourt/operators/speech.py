@@ -27,7 +27,7 @@ def duration_ms(text: Column) -> Column:
 
 def audio_payload(audio: Column) -> list[Column]:
     """Base64 text and size in bytes."""
-    return [F.base64(audio).alias("audio_base64"), F.octet_length(audio).alias("audio_bytes")]
+    return [F.replace(F.base64(audio), F.lit("\r\n"), F.lit("")).alias("audio_base64"), F.octet_length(audio).alias("audio_bytes")]
 
 
 def voices_of(locale: Column, language: str) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from forecourt.operators import assembly, catalogue, evaluation, extraction, retrieval, sequence, speech
-from forecourt.plans.retrieval_queries import query_vector, table
-from forecourt.sources.record_store import write_snapshot
+from forecourt.plans.retrieval_queries import COSINE, query_vector, shown, table
+from forecourt.sources.record_store import shared_folder, write_snapshot
 
 QUERIES, ORACLES = {}, {}
 
@@ -118,16 +117,16 @@ def control_messages(spark, sf_dir):
 
 
 @query(
-    "SELECT conv_id, turn, length(coalesce(text, '')) / 5 * 1000 AS duration_ms, to_base64(encode(left(coalesce(text, ''), 12))) AS audio_base64, CAST(octet_length(encode(left(coalesce(text, ''), 12))) AS INTEGER) AS audio_bytes FROM conversations"
+    "SELECT conv_id, turn, length(coalesce(text, '')) / 5 * 1000 AS duration_ms, to_base64(encode(coalesce(text, ''))) AS audio_base64, CAST(octet_length(encode(coalesce(text, ''))) AS INTEGER) AS audio_bytes FROM conversations"
 )
 def speech_payloads(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", speech.duration_ms(text).alias("duration_ms"), *speech.audio_payload(F.encode(F.left(text, F.lit(12)), "UTF-8")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", speech.duration_ms(text).alias("duration_ms"), *speech.audio_payload(F.encode(text, "UTF-8")))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding[1:8], lambda x: (trunc(x * 1000)::DOUBLE + 100) / 2 / 32768)), 6) AS level FROM embeddings")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (trunc(x * 1000)::DOUBLE + 100) / 2 / 32768)), 6) AS level FROM embeddings")
 def pcm_levels(spark, sf_dir):
-    samples = F.transform(F.slice("embedding", 1, 8), lambda x: (x * 1000).cast("int").cast("double"))
+    samples = F.transform("embedding", lambda x: (x * 1000).cast("int").cast("double"))
     mixed = speech.pcm_to_float(speech.downmixed(samples, F.transform(samples, lambda x: F.lit(100.0))))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(mixed, F.lit(0.0), lambda a, x: a + x), 6).alias("level"))
 
@@ -155,11 +154,10 @@ def chat_response_json(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("message"), F.lit("welcome").alias("stage"), F.slice(F.array(*map(F.lit, "ab")), 1, 5).alias("cars"))).alias("response"))
 
 
-@query("SELECT e.vec_id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY score DESC, vec_id LIMIT 5")
+@query(f"SELECT vec_id, round(s, 4) AS score FROM (SELECT e.vec_id, {COSINE} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY s DESC, vec_id LIMIT 5)")
 def persisted_index_topk(spark, sf_dir):
     """Writes the index partitioned by label, replaces it, and searches one partition of what was written."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='forecourt-')}"
-    folder = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     for _ in range(2):
         write_snapshot(table(spark, sf_dir, "embeddings"), folder, "label")
-    return retrieval.top_k(spark.read.parquet(folder).where("label = 3"), query_vector(spark, sf_dir), 5).select("vec_id", "score")
+    return retrieval.top_k(spark.read.parquet(folder).where("label = 3"), query_vector(spark, sf_dir), 5).select("vec_id", shown())

@@ -99,7 +99,7 @@ _next = (
 def fsm_fold(spark, sf_dir):
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("n"))
     gates = [([F.expr(FACTS[k]) for k in facts], least, opened) for facts, least, opened in GATES]
-    return funnel.milestones(t, "conv_id", "turn", gates).select("conv_id", funnel.stage_reached().alias("stage"))
+    return funnel.session_stages(t, "conv_id", "turn", gates)
 
 
 @query("SELECT event_id, event_type, lag(event_type) OVER w AS previous, coalesce(event_type <> lag(event_type) OVER w, false) AS changed FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")

@@ -22,38 +22,6 @@ def query(sql: str | None = None):
     return add
 
 
-PRF_SQL = """SELECT {group}, correct, extracted, expected, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM (
-SELECT *, CASE WHEN extracted = 0 THEN 1.0 ELSE correct / extracted END::DOUBLE AS p, CASE WHEN expected = 0 THEN 1.0 ELSE correct / expected END::DOUBLE AS r FROM (
-SELECT {group}, CAST(count(*) FILTER (WHERE pred AND toxic = 1) AS BIGINT) AS correct, CAST(count(*) FILTER (WHERE pred) AS BIGINT) AS extracted, CAST(count(*) FILTER (WHERE toxic = 1) AS BIGINT) AS expected
-FROM (SELECT {source} AS {group}, contains(lower(text), 'idiot') OR contains(lower(text), 'stupid') AS pred, toxic FROM documents JOIN labels USING (doc_id)) GROUP BY {group}))"""
-
-
-def _prf(spark, sf_dir, group):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    low = F.lower("text")
-    rows = d.withColumn("pred", low.contains("idiot") | low.contains("stupid")).withColumn("group", group)
-    counts = rows.groupBy("group").agg(F.count_if(F.col("pred") & (F.col("toxic") == 1)).alias("correct"), F.count_if("pred").alias("extracted"), F.count_if(F.col("toxic") == 1).alias("expected"))
-    scored = counts.select("*", *evaluation.precision_recall_f1(F.col("correct"), F.col("extracted"), F.col("expected")))
-    return scored.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
-
-
-@query(PRF_SQL.format(group='"group"', source="lang"))
-def extraction_prf1(spark, sf_dir):
-    return _prf(spark, sf_dir, F.col("lang"))
-
-
-@query(PRF_SQL.format(group='"group"', source="'all'"))
-def extraction_prf1_micro(spark, sf_dir):
-    return _prf(spark, sf_dir, F.lit("all"))
-
-
-@query("WITH u AS (SELECT user_id, avg(CASE WHEN value >= 40 THEN 1.0 ELSE 0.0 END) AS a, count(*) AS n, sum(CASE WHEN value >= 40 THEN 1 ELSE 0 END) AS k FROM events GROUP BY user_id) SELECT round(avg(a), 6) AS macro, round(sum(k) / sum(n), 6) AS micro FROM u")
-def stage_accuracy(spark, sf_dir):
-    right = (F.col("value") >= 40).cast("int")
-    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.avg(right.cast("double")).alias("a"), F.count("*").alias("n"), F.sum(right).alias("k"))
-    return own.agg(F.round(F.avg("a"), 6).alias("macro"), F.round(F.sum("k") / F.sum("n"), 6).alias("micro"))
-
-
 @query(
     """SELECT event_type, CAST(len(a) AS BIGINT) AS samples, round(list_avg(a), 2) AS avg_ms, round(list_median(a), 2) AS p50_ms, round(a[least(floor(len(a) * 0.95::DOUBLE)::INT, len(a) - 1) + 1], 2) AS p95_ms,
     round(a[least(floor(len(a) * 0.99::DOUBLE)::INT, len(a) - 1) + 1], 2) AS p99_ms, round(a[least(floor(len(a) * 0.5::DOUBLE)::INT, len(a) - 1) + 1], 2) AS upper_median_ms, round(list_max(a), 2) AS max_ms
@@ -69,12 +37,6 @@ def category_summary(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("category")).agg(F.count("*").alias("n"), one("o_totalprice").alias("avg_price"), one(F.when(F.col("o_totalprice") > 50000, 100.0).otherwise(0.0)).alias("avg_high"), one("o_custkey").alias("avg_key"))
 
 
-@query("SELECT CAST(count(DISTINCT user_id) AS BIGINT) AS dialogues, CAST(count(*) AS BIGINT) AS turns, round(avg(value), 4) AS mean_value, round(avg(CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END), 6) AS success_rate FROM events")
-def report_totals(spark, sf_dir):
-    own = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("value").alias("v"), F.count("value").alias("k"), F.count_if(F.col("event_type") != "error").alias("ok"))
-    return own.agg(F.count("*").alias("dialogues"), F.sum("n").alias("turns"), F.round(F.sum("v") / F.sum("k"), 4).alias("mean_value"), F.round(F.sum("ok") / F.sum("n"), 6).alias("success_rate"))
-
-
 INDEX_SQL = f"list_position({STAGE_LIST}, {EVENT_STAGE_SQL}) - 1"
 
 

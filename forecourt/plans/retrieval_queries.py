@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.vocabulary import FILTER_FIELDS
 from forecourt.operators import catalogue, retrieval
+from forecourt.sources.record_store import shared_folder
 from forecourt.sources.toml_source import read_catalogue, write_catalogue, write_text
 
 QUERIES, ORACLES = {}, {}
@@ -34,42 +34,50 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
 
-COSINE = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4)"
+#: Ranks go by 12 digits of the score; what is shown has four.
+COSINE = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12)"
 
 
-@query(f"SELECT e.vec_id, {COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 5")
+def shown():
+    return F.round("score", 4).alias("score")
+
+
+@query(f"SELECT vec_id, round(s, 4) AS score FROM (SELECT e.vec_id, {COSINE} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY s DESC, vec_id LIMIT 5)")
 def vector_topk(spark, sf_dir):
-    return retrieval.top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 5).select("vec_id", "score")
+    return retrieval.top_k(table(spark, sf_dir, "embeddings"), query_vector(spark, sf_dir), 5).select("vec_id", shown())
 
 
-@query(f"SELECT e.vec_id, e.label, {COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY score DESC, vec_id LIMIT 5")
+@query(f"SELECT vec_id, label, round(s, 4) AS score FROM (SELECT e.vec_id, e.label, {COSINE} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label = 3 ORDER BY s DESC, vec_id LIMIT 5)")
 def vector_topk_filtered(spark, sf_dir):
     own = retrieval.metadata_filter(table(spark, sf_dir, "embeddings"), {"brand": "3", "unknown": "x", "prize": ""}, {"brand": "label"})
-    return retrieval.top_k(own, query_vector(spark, sf_dir), 5).select("vec_id", "label", "score")
+    return retrieval.top_k(own, query_vector(spark, sf_dir), 5).select("vec_id", "label", shown())
 
 
 @query(
-    f"""SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS score,
-    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, embeddings q WHERE q.vec_id < 20) WHERE rank <= 5"""
+    f"""SELECT query_id, vec_id, round(s, 4) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS s,
+    CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0 AND q.label = 3 AND e.label = 3) WHERE rank <= 5"""
 )
 def vector_topk_batch(spark, sf_dir):
-    vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.top_k_batch(vectors, vectors.where("vec_id < 20"), 5)
+    """The filtered batch search: vectors of one label, of which those with an id divisible by 20 are queries."""
+    vectors = table(spark, sf_dir, "embeddings").where("label = 3")
+    return retrieval.top_k_batch(vectors, vectors.where("vec_id % 20 = 0"), 5).withColumn("score", shown())
 
 
 @query(
-    f"""SELECT query_id, vec_id, score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS score,
+    f"""SELECT query_id, vec_id, round(s, 4) AS score, rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS s,
     CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS INTEGER) AS rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE rank <= 5"""
 )
 def vector_topk_every_20th(spark, sf_dir):
     """Every vector whose id is divisible by 20 is a query, at every size."""
     vectors = table(spark, sf_dir, "embeddings")
-    return retrieval.top_k_batch(vectors, vectors.where("vec_id % 20 = 0"), 5)
+    return retrieval.top_k_batch(vectors, vectors.where("vec_id % 20 = 0"), 5).withColumn("score", shown())
 
 
-@query("SELECT CASE WHEN source <> '' THEN source ELSE 'Unknown' END AS car_model, round(n_chars / 7.0, 4) AS score, left(coalesce(text, ''), 300) AS text_snippet FROM documents")
+@query("SELECT CASE WHEN source <> '' THEN source ELSE 'Unknown' END AS car_model, round(n_chars / 7.0, 4) AS score, left(coalesce(text, ''), 300) AS text_snippet, 'lang=' || coalesce(lang, '') AS metadata FROM documents")
 def format_results(spark, sf_dir):
-    return retrieval.format_results(table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars") / 7.0), "source", "text")
+    own = table(spark, sf_dir, "documents").withColumn("score", F.col("n_chars") / 7.0).withColumn("m", F.create_map(F.lit("lang"), F.coalesce("lang", F.lit("")), F.lit("source_file"), F.lit("x")))
+    found = retrieval.format_results(own, "source", "text", metadata="m")
+    return found.withColumn("metadata", F.array_join(F.transform(F.map_entries("metadata"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
 PART = {"brand": "p_brand", "powertrain_type": "p_type", "size": "p_size", "prize": "p_retailprice"}
@@ -166,18 +174,18 @@ def inapplicable_to_none(spark, sf_dir):
     return rows.select("p_partkey", "label", catalogue.inapplicable_to_none(F.col("label"), F.col("value"), F.col("kind")).alias("value"))
 
 
-LABELS_SQL = "SELECT p_brand, 'label_' || CAST(p_size % 7 AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN '_comments' ELSE '' END AS label FROM part WHERE p_partkey % 2 = 0"
+LABELS_SQL = "SELECT p_brand, 'label_' || CAST(p_size % 97 AS VARCHAR) || CASE WHEN p_partkey % 3 = 0 THEN '_comments' ELSE '' END AS label FROM part"
 
 
 def _labels(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_partkey % 2 = 0")
-    return p.select("p_brand", F.concat(F.lit("label_"), (F.col("p_size") % 7).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "_comments").otherwise("")).alias("label")).distinct()
+    p = table(spark, sf_dir, "part")
+    return p.select("p_brand", F.concat(F.lit("label_"), (F.col("p_size") % 97).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "_comments").otherwise("")).alias("label")).distinct()
 
 
-@query(f"SELECT DISTINCT a.p_brand, 'label_' || CAST(s AS VARCHAR) AS label FROM part a, range(7) r(s) WHERE NOT EXISTS (SELECT 1 FROM ({LABELS_SQL}) l WHERE l.p_brand = a.p_brand AND l.label = 'label_' || CAST(s AS VARCHAR))")
+@query(f"SELECT DISTINCT a.p_brand, 'label_' || CAST(s AS VARCHAR) AS label FROM part a, range(60) r(s) WHERE NOT EXISTS (SELECT 1 FROM ({LABELS_SQL}) l WHERE l.p_brand = a.p_brand AND l.label = 'label_' || CAST(s AS VARCHAR))")
 def missing_labels(spark, sf_dir):
     brands = table(spark, sf_dir, "part").select("p_brand").distinct()
-    template = brands.select("p_brand", F.explode(F.array(*(F.lit(f"label_{i}") for i in range(7)))).alias("label"))
+    template = brands.select("p_brand", F.explode(F.array(*(F.lit(f"label_{i}") for i in range(60)))).alias("label"))
     return catalogue.missing_labels(template, _labels(spark, sf_dir), ["p_brand", "label"])
 
 
@@ -201,8 +209,7 @@ def dedupe_first_occurrence(spark, sf_dir):
 @query()
 def toml_ingest(spark, sf_dir):
     """Writes a catalogue file for each part to the shared folder, from the tasks, and reads all back as documents."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='forecourt-')}"
-    folder = f"{root.rstrip('/')}/catalogue-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
     part = table(spark, sf_dir, "part")
     car = F.struct(
         F.lit("Car").alias("title"),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from forecourt.functions.vocabulary import STAGES
 from forecourt.operators import funnel
-from forecourt.plans.dialogue_queries import EVENT_STAGE_SQL, ORACLES as DIALOGUE, STAGE_LIST, event_stage
+from forecourt.plans.dialogue_queries import FACTS, GATES, STAGE_LIST
+from forecourt.plans.dialogue_queries import ORACLES as DIALOGUE
 from forecourt.streaming import sessions
 
 QUERIES, ORACLES = {}, {}
@@ -21,20 +23,36 @@ def query(sql: str | None = None):
     return add
 
 
-@query(DIALOGUE["turn_buffer_batch"])
-def stream_turn_buffer(spark, sf_dir):
+def _frames(spark, sf_dir):
     e = sessions.stream_table(spark, sf_dir, "events")
     frames = e.select(F.col("user_id").alias("session"), F.struct("ts", "event_id").alias("seq"), F.when(F.col("event_type") == "purchase", "end_turn").otherwise("bytes").alias("kind"), F.col("value").alias("size"))
-    frames = frames.withColumn("seq", F.concat(F.date_format("seq.ts", "yyyyMMddHHmmss.SSSSSS"), F.lpad(F.col("seq.event_id").cast("string"), 20, "0")))
-    rows = sessions.run_available(sessions.state_by_key(frames, "session", sessions.TurnBuffer(), "session bigint, turn_id bigint, n_frames bigint, total_size double"), "update")
+    return frames.withColumn("seq", F.concat(F.date_format("seq.ts", "yyyyMMddHHmmss.SSSSSS"), F.lpad(F.col("seq.event_id").cast("string"), 20, "0")))
+
+
+@query(DIALOGUE["turn_buffer_batch"])
+def stream_turn_buffer(spark, sf_dir):
+    rows = sessions.run_available(sessions.state_by_key(_frames(spark, sf_dir), "session", sessions.TurnBuffer(), "session bigint, turn_id bigint, n_frames bigint, total_size double"), "update")
     return rows.select(F.col("session").alias("user_id"), "turn_id", "n_frames", F.round("total_size", 4).alias("total_size"))
 
 
-@query(f"SELECT user_id, CAST(coalesce(max(list_position({STAGE_LIST}, {EVENT_STAGE_SQL}) - 1), 0) AS INTEGER) AS furthest, CAST(count(*) AS BIGINT) AS turns FROM events GROUP BY user_id")
+@query(
+    f"""SELECT user_id, turn_id, CAST(step AS INTEGER) AS step, event, n_frames
+    FROM (SELECT user_id, turn_id, n_frames, unnest([0, 1, 2]) AS step, unnest(['transcription', 'response', 'tts_start']) AS event FROM ({DIALOGUE['turn_buffer_batch']}))"""
+)
+def stream_turn_events(spark, sf_dir):
+    rows = sessions.run_available(sessions.state_by_key(_frames(spark, sf_dir), "session", sessions.TurnEvents(), "session bigint, turn_id bigint, step int, event string, n_frames bigint"), "update")
+    return rows.select(F.col("session").alias("user_id"), "turn_id", "step", "event", "n_frames")
+
+
+@query(DIALOGUE["fsm_fold"].replace(f"SELECT conv_id, {STAGE_LIST}", f"SELECT conv_id, CAST(max(rn) AS BIGINT) AS turns, {STAGE_LIST}"))
 def stream_session_state(spark, sf_dir):
-    e = sessions.stream_table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), funnel.stage_index(event_stage()).alias("stage_index"))
-    rows = sessions.run_available(sessions.state_by_key(e, "session", sessions.FunnelState(), "session bigint, furthest int, turns bigint"), "update")
-    return sessions.latest(rows, "session").withColumnRenamed("session", "user_id")
+    """The funnel over conversations as a stream: each session's stage and turns after all of its turns."""
+    bits, rules = funnel.fact_bits([([F.expr(FACTS[k]) for k in facts], least, opened) for facts, least, opened in GATES])
+    t = sessions.stream_table(spark, sf_dir, "conversations").withColumn("n", F.length(F.coalesce("text", F.lit(""))))
+    t = t.select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), bits.alias("facts"))
+    rows = sessions.run_available(sessions.state_by_key(t, "session", sessions.ChatState(rules), "session bigint, stage int, previous int, turns bigint, ended boolean"), "update")
+    last = sessions.latest(rows, "session")
+    return last.select(F.col("session").alias("conv_id"), F.get(F.array(*map(F.lit, STAGES)), F.col("stage")).alias("stage"), "turns")
 
 
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS total_turns, round(sum(value), 2) AS total_ms FROM events GROUP BY user_id")

@@ -37,8 +37,8 @@ def parse(path: str, raw: bytes) -> dict:
     return row | {k: as_text(data.get(k)) for k in ("car_model", "title")} | {k: as_text(details.get(k)) for k in ("key_details", "key_details_comments")} | {"entries": entries}
 
 
-def read_catalogue(spark: SparkSession, folder: str, permissive: bool = False) -> DataFrame:
-    """All *.toml below folder but the template, without files that are corrupt or name no model; a missing folder is empty."""
+def read_catalogue(spark: SparkSession, folder: str, permissive: bool = False, ordered: bool = False) -> DataFrame:
+    """All *.toml below folder but the template, without files that are corrupt or name no model; a missing folder is empty. In the order of paths if ordered."""
     entry = pa.struct([("section", pa.string()), ("ord", pa.int32()), ("key", pa.string()), ("value", pa.string())])
     names = ["source_file", "car_model", "title", "key_details", "key_details_comments", "entries", "corrupt"]
 
@@ -54,7 +54,8 @@ def read_catalogue(spark: SparkSession, folder: str, permissive: bool = False) -
     parts, cores = files.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
     few = files.coalesce(max(1, min(parts, max(4 * cores, -(-parts // TASK_PARTS)))))  # Spark plans few small files to a task
     rows = few.where(~F.col("path").endswith(f"/{TEMPLATE}")).select("path", "content").mapInArrow(run, SCHEMA)
-    return rows if permissive else rows.where(F.col("corrupt").isNull() & truthy("car_model"))
+    rows = rows if permissive else rows.where(F.col("corrupt").isNull() & truthy("car_model"))
+    return rows.orderBy("source_file") if ordered else rows
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.semantics import filled, strip, truthy
 from forecourt.functions.vocabulary import PROFILE_FIELDS, STAGES
-from forecourt.operators import catalogue, evaluation, extraction, funnel, records, retrieval, sequence
+from forecourt.operators import agent, catalogue, evaluation, extraction, funnel, records, retrieval, sequence
 from forecourt.plans import registry
+from forecourt.sources import record_store
 from forecourt.sources.record_store import read_records
 from forecourt.sources.toml_source import read_catalogue, write_catalogue
 
@@ -66,6 +67,12 @@ def test_payload(spark, text, expected):
     assert one(spark, x=extraction.payload(F.lit(text)))["x"] == expected
 
 
+def test_catalogue_in_the_order_of_paths(spark, tmp_path):
+    for name in ("b", "a", "c"):
+        (tmp_path / f"{name}.toml").write_text(f'car_model = "{name}"\n')
+    assert [r["car_model"] for r in read_catalogue(spark, str(tmp_path), ordered=True).collect()] == ["a", "b", "c"]
+
+
 def test_merge_keeps_old_for_blank_and_ignores_unknown(spark):
     df = spark.createDataFrame([("old", "", {"name": " ", "age": " 5 ", "other": "x"}), ("old", "1", None)], "name string, age string, answer map<string,string>")
     assert [tuple(r) for r in extraction.merge(df, "answer", ["name", "age"]).select("name", "age").collect()] == [("old", "5"), ("old", "1")]
@@ -157,7 +164,7 @@ def test_batch_search_takes_queries_of_any_number(spark, monkeypatch):
     bad = np.flatnonzero(~x.any(axis=1))
     expected = []
     for q in range(0, 600, 2):
-        score = np.round(unit @ unit[q], 4)
+        score = np.round(unit @ unit[q], 12)
         score[bad] = -2
         if q in bad:
             score[:] = -2
@@ -198,3 +205,136 @@ def test_latency_report_collects_no_group(spark):
     report = evaluation.latency_report(df, "g", "v")
     assert {r["g"]: r["p50_ms"] for r in report.collect()} == {"even": 2.5, "odd": 8.0, "one": 5.0, "none": 0.0}
     assert not re.search(r"\b(percentile|median)\(", report._jdf.queryExecution().toString())
+
+
+def test_near_scores_rank_by_the_raw_score(spark):
+    """Scores that agree to four digits aren't ties; presentation rounds them."""
+    rows = [(1, [1.0, 0.0031]), (2, [1.0, 0.003]), (3, [1.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [1.0]), (7, [1.0, None])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = retrieval.top_k(df, [1.0, 0.0], 7)
+    assert [r["vec_id"] for r in found.collect()] == [3, 2, 1, 4, 5, 6, 7]
+    assert {r["vec_id"]: r["score"] for r in found.collect()}[4] is None
+    batch = retrieval.top_k_batch(df.where("vec_id < 6"), df.where("vec_id = 3"), 3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in batch] == [3, 2, 1]
+    assert [r["score"] for r in retrieval.format_results(found.where("vec_id < 3").withColumn("n", F.lit("A")), "n", "n").collect()] == [1.0, 1.0]
+
+
+def test_several_changes_of_one_key(spark):
+    now = spark.createDataFrame([(1, "a", "b")], "k int, x string, y string")
+    new = spark.createDataFrame([(1, "p", "", 2), (1, "q", "z", 1), (1, "", None, 3), (2, "n", "", 1)], "k int, x string, y string, at int")
+    assert sorted(tuple(r) for r in records.upsert(now, new, "k", "at").collect()) == [(1, "p", "z"), (2, "n", None)]
+    assert records.upsert(now, new.drop("at"), "k").count() == 2
+
+
+@pytest.mark.parametrize(
+    ("answer", "expected"),
+    [('{"x": false, "y": 0, "z": true}', ("old", "old", "True")), ('{"x": 0.0, "y": [], "z": {}}', ("old", "old", "old")), ('{"x": 7, "y": null, "z": " v "}', ("7", "old", "v")), ('{"x": 1.5, "y": [1], "z": "  "}', ("1.5", "[1]", "old")), ("nothing", ("old", "old", "old"))],
+)
+def test_values_that_count_as_empty_keep_the_old_one(spark, answer, expected):
+    df = spark.createDataFrame([("old", "old", "old", answer)], "x string, y string, z string, a string")
+    assert tuple(agent.extract(df, ["a"], ["x", "y", "z"]).drop("a").first()) == expected
+
+
+def test_field_scores_count_expected_fields_only(spark):
+    maps = lambda e, x: one(spark, s=evaluation.field_scores(F.create_map(*map(F.lit, e)), F.create_map(*map(F.lit, x))))["s"]
+    assert tuple(maps(["name", "Ann", "age", "30", "city", ""], ["name", " ann ", "age", "31", "other", "x"])) == (1, 2, 2)
+    assert tuple(maps(["name", "Ann"], ["name", ""])) == (0, 0, 1)
+
+
+def test_report_text_marks_targets():
+    text = evaluation.report_text({"overall": 70.5, "stage": 80}, {"stage": 90.0})
+    assert "| overall | 70.5 |  |  |" in text and "| stage | 80 | 90.0 | no |" in text
+
+
+def test_stores(spark, tmp_path):
+    (tmp_path / "1.json").write_text('{"phone_number": "1", "name": "A"}')
+    (tmp_path / "2.json").write_text('{"connection_information": {"name": "B"}, "additional_information": {"age": "9"}}')
+    (tmp_path / "3.json").write_text("{broken")
+    rows = record_store.read_profiles(spark, str(tmp_path))
+    assert sorted(r["key"] for r in record_store.keys_of(rows).collect()) == ["1", "2", "3"]
+    asked = spark.createDataFrame([("1",), ("2",), ("3",), ("9",)], "key string")
+    assert sorted((r["key"], r["name"], r["age"]) for r in record_store.lookup(rows, asked).collect()) == [("1", "A", None), ("2", "B", "9"), ("3", None, None), ("9", None, None)]
+    assert {r["key"]: r["state"] is not None for r in record_store.read_sessions(spark, str(tmp_path)).collect()} == {"1": True, "2": True, "3": False}
+
+
+def test_an_empty_index_is_an_error(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a")], "doc_id int, text string")
+    with pytest.raises(ValueError, match="no documents"):
+        record_store.build_index(docs.where("false"), str(tmp_path / "x"), "text")
+    record_store.build_index(docs, str(tmp_path / "i"), "text")
+    assert sum(record_store.load_index(spark, str(tmp_path / "i")).first()["embedding"]) == 3
+    record_store.write_snapshot(docs.where("false"), str(tmp_path / "e"))
+    with pytest.raises(ValueError, match="is empty"):
+        record_store.load_index(spark, str(tmp_path / "e"))
+
+
+def test_numbers_in_order_over_many_partitions(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x"))
+    assert all(r["n"] == r["x"] + 1 for r in records.numbered(df.repartition(7), ["x"], "n").collect())
+
+
+def test_turn_of_every_stage(spark):
+    """A retrieval without results keeps the cars; in the older order it replaces them."""
+    fields = agent.PROFILE_FIELDS + agent.EXPLICIT_FIELDS + agent.IMPLICIT_FIELDS + agent.RESERVATION_FIELDS
+    df = spark.createDataFrame([("needs_analysis", ["old"], [], "{}", '{"explicit": {"brand": "b", "prize": "p"}}', "{}")], "stage string, matched_cars array<string>, retrieved_cars array<string>, p string, n string, r string")
+    df = df.withColumns({f: F.lit("") for f in fields})
+    now, before = (f(df, ["p"], "n", ["r"]).first() for f in (agent.process_turns, agent.process_turns_legacy))
+    assert (now["stage"], now["previous_stage"], now["stage_changed"], now["matched_cars"]) == ("car_selection_confirmation", "needs_analysis", True, ["old"])
+    assert (before["stage"], before["matched_cars"]) == ("car_selection_confirmation", [])
+
+
+class Store:
+    """A value state without Spark."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+def test_end_of_a_session_clears_its_state():
+    import pandas as pd
+
+    from forecourt.streaming.sessions import ChatState, TurnBuffer
+
+    buffer = TurnBuffer()
+    buffer.state = Store()
+    frames = lambda *kinds: iter([pd.DataFrame({"seq": range(len(kinds)), "kind": kinds, "size": 1.0})])
+    assert [len(x) for x in buffer.handleInputRows((1,), frames("bytes", "end_turn", "end_turn", "bytes"), None)] == [1]
+    assert buffer.state.value == (2, 1, 1.0)
+    assert [len(x) for x in buffer.handleInputRows((1,), frames("bytes", "end_session"), None)] == [0] and buffer.state.value is None
+    chat = ChatState([(0, 0, 0), (1, 1, 0), (2, 1, 2)])
+    chat.state = Store()
+    turns = lambda *rows: iter([pd.DataFrame({"seq": range(len(rows)), "kind": [k for k, _ in rows], "facts": [f for _, f in rows]})])
+    first = next(chat.handleInputRows((1,), turns(("message", 3), ("message", 0)), None)).iloc[0]
+    assert (first.stage, first.turns) == (2, 2)  # the fact of the third step was told too early to be heard
+    last = next(chat.handleInputRows((1,), turns(("message", 2), ("end_session", 0)), None)).iloc[0]
+    assert (last.stage, last.previous, last.ended) == (3, 2, True) and chat.state.value is None
+
+
+def test_a_stream_can_poll(spark, tmp_path):
+    import time
+
+    from forecourt.streaming import sessions
+
+    spark.range(5).write.parquet(str(tmp_path / "in" / "a.parquet"))
+    stream = spark.readStream.schema("id bigint").parquet(str(tmp_path / "in" / "*"))
+    running = sessions.start(stream, "append", str(tmp_path / "out"), "1 seconds")
+    try:
+        running.processAllAvailable()
+        spark.range(5, 8).write.parquet(str(tmp_path / "in" / "b.parquet"))
+        time.sleep(1)
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    assert spark.read.parquet(str(tmp_path / "out" / "out" / "*")).count() == 8
