@@ -32,7 +32,12 @@ def filled(c: Column | str) -> Column:
 
 def or_keep(new: Column | str, old: Column | str) -> Column:
     """The stripped new value if it is filled, else the old one."""
-    return F.when(filled(new), strip(new)).otherwise(col(old))
+    return F.coalesce(F.nullif(strip(new), F.lit("")), col(old))
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def any_of(conditions: list[Column]) -> Column:

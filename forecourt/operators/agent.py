@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from forecourt.functions.semantics import or_keep, truthy
+from forecourt.functions.semantics import let, or_keep, truthy
 from forecourt.functions.vocabulary import EXPLICIT_FIELDS, IMPLICIT_FIELDS, PROFILE_FIELDS, RESERVATION_FIELDS, STAGES
 from forecourt.operators import extraction, funnel
 from forecourt.operators.assembly import keep_unless_new
@@ -44,21 +44,18 @@ def extract_reservation(df: DataFrame, attempts: list[str]) -> DataFrame:
     return extract(df, attempts, RESERVATION_FIELDS)
 
 
-def combined_needs(answer: Column) -> dict[str, Column]:
-    """explicit and implicit answers of one payload; both null if it doesn't parse or a part isn't an object."""
-    whole = extraction.payload(answer)
-    part = lambda k: F.when(whole[k].isNull(), F.create_map().cast("map<string,string>")).otherwise(extraction.answers(whole[k]))
-    explicit, implicit = part("explicit"), part("implicit")
-    ok = whole.isNotNull() & explicit.isNotNull() & implicit.isNotNull()
-    return {"explicit": F.when(ok, explicit), "implicit": F.when(ok, implicit)}
+def combined_needs(answer: Column) -> Column:
+    """struct<explicit, implicit> of one payload's answers; null if it doesn't parse or a part isn't an object."""
+    part = lambda whole, k: F.when(whole[k].isNull(), F.create_map().cast("map<string,string>")).otherwise(extraction.answers(whole[k]))
+    both = lambda whole: F.when(whole.isNotNull(), F.struct(part(whole, "explicit").alias("explicit"), part(whole, "implicit").alias("implicit")))
+    return let(let(extraction.payload(answer), both), lambda x: F.when(x["explicit"].isNotNull() & x["implicit"].isNotNull(), x))
 
 
 def extract_needs(df: DataFrame, answer: str, when: Column | None = None) -> DataFrame:
     """Explicit and implicit needs from one answer, which isn't asked for again."""
-    both = combined_needs(F.col(answer))
-    df = df.withColumns({"_explicit": both["explicit"], "_implicit": both["implicit"]})
-    new = merged(F.col("_explicit"), EXPLICIT_FIELDS, when) | merged(F.col("_implicit"), IMPLICIT_FIELDS, when)
-    return df.withColumns(new).drop("_explicit", "_implicit")
+    df = df.withColumn("_needs_found", combined_needs(F.col(answer)))
+    new = merged(F.col("_needs_found.explicit"), EXPLICIT_FIELDS, when) | merged(F.col("_needs_found.implicit"), IMPLICIT_FIELDS, when)
+    return df.withColumns(new).drop("_needs_found")
 
 
 def _step(df: DataFrame, stage: str, cars: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from forecourt.functions.semantics import col, filled, or_keep, strip, truthy
+from forecourt.functions.semantics import col, filled, let, or_keep, strip, truthy
 
 MAP = "map<string,string>"
 
@@ -20,25 +20,28 @@ def unfenced(text: Column) -> Column:
 
 def payload(text: Column) -> Column:
     """map of the JSON object in a model's answer; null where there is none."""
-    return F.from_json(F.when(unfenced(text).startswith("{") & unfenced(text).endswith("}"), unfenced(text)), MAP)
+    return let(unfenced(text), lambda b: F.from_json(F.when(b.startswith("{") & b.endswith("}"), b), MAP))
 
 
 def value_text(v: Column) -> Column:
     """Text of a JSON value (a variant): null for what counts as empty (false, 0, "", [], {}, null), True for true."""
-    kind, text = F.schema_of_variant(v), v.try_cast("string") if hasattr(v, "try_cast") else v.cast("string")
-    number = kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    return (
-        F.when(kind == "BOOLEAN", F.when(text == "true", "True"))
-        .when(number, F.when(text.try_cast("double") != 0, text))
-        .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.when(~F.to_json(v).isin("[]", "{}"), F.to_json(v)))
-        .when(kind != "VOID", F.when(text != "", text))
-    )
+
+    def of(kind: Column) -> Column:
+        text = v.try_cast("string")
+        return (
+            F.when(kind == "BOOLEAN", F.when(text == "true", "True"))
+            .when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.when(text.try_cast("double") != 0, text))
+            .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.when(~F.to_json(v).isin("[]", "{}"), F.to_json(v)))
+            .when(kind != "VOID", F.when(text != "", text))
+        )
+
+    return let(F.schema_of_variant(v), of)
 
 
 def answers(text: Column) -> Column:
     """map<string,string> of the JSON object in a model's answer as value_text; null where there is none."""
-    body = F.when(unfenced(text).startswith("{") & unfenced(text).endswith("}"), unfenced(text))
-    return F.transform_values(F.from_json(body, "map<string,variant>"), lambda k, v: value_text(v))
+    typed = lambda b: F.from_json(F.when(b.startswith("{") & b.endswith("}"), b), "map<string,variant>")
+    return let(unfenced(text), lambda b: F.transform_values(typed(b), lambda k, v: value_text(v)))
 
 
 def first_answers(*attempts: Column) -> Column:
@@ -46,13 +49,6 @@ def first_answers(*attempts: Column) -> Column:
     return F.coalesce(*(answers(a) for a in attempts))
 
 
-def nested_answers(text: Column, part: str) -> Column:
-    """answers of an object inside the answer's object; empty if there is no such part, null if nothing parses."""
-    whole = payload(text)
-    none = F.create_map().cast("map<string,string>")
-    return F.when(whole.isNotNull(), F.coalesce(answers(whole[part]), none))
-
-
 def first_payload(*answers: Column) -> Column:
     """The first attempt that parses."""
     return F.coalesce(*(payload(a) for a in answers))
