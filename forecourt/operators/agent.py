@@ -14,7 +14,7 @@ from forecourt.operators.assembly import keep_unless_new
 
 #: Stages at whose turns each extractor runs.
 PROFILE_STAGES, NEEDS_STAGES, RESERVATION_STAGES = STAGES[:2], STAGES[2:4], STAGES[4:6]
-PAGE = 50
+PAGE, SHOWN = 50, 200
 
 
 def merged(found: Column, fields: list[str], when: Column | None = None) -> dict[str, Column]:
@@ -117,6 +117,12 @@ def prompts(df: DataFrame, templates: dict[str, str], values: dict[str, Column],
     return reduce(lambda t, kv: F.replace(t, F.lit("{" + kv[0] + "}"), F.coalesce(kv[1].cast("string"), F.lit(""))), values.items(), text)
 
 
+def turn_view(text: str, response: str, **milliseconds: Column) -> list[Column]:
+    """What a report shows of a turn: 200 characters of the message and of the response, times to two digits."""
+    cut = lambda c: F.left(F.coalesce(F.col(c), F.lit("")), F.lit(SHOWN)).alias(c)
+    return [cut(text), cut(response), *(F.round(c, 2).alias(k) for k, c in milliseconds.items())]
+
+
 def voice_events(turns: DataFrame, session: str, turn: str, text: str, answer: str) -> DataFrame:
     """What a client is sent for each closed turn, in order: its transcription, the response and the start of speech."""
     events = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(k).alias("event"), v.alias("payload")) for i, (k, v) in enumerate((("transcription", F.col(text)), ("response", F.col(answer)), ("tts_start", F.lit(None).cast("string"))))))

@@ -38,6 +38,15 @@ def line_order() -> list[Column]:
     return [F.col("section_ord"), F.desc("added"), F.col("ord")]
 
 
+def template_text(lines: DataFrame, file: str, label: str = "label", section: str = "section") -> DataFrame:
+    """(file, text): the lines of each file (section, line, label, value) as a template, with a head before each section."""
+    one = F.struct("line", section, label, "value")
+    rows = lines.groupBy(file).agg(F.array_sort(F.collect_list(one)).alias("rows"))  # a template's own lines
+    head = lambda x, i: F.when((i == 0) | (F.get("rows", i - 1)[section] != x[section]), F.concat(F.lit("["), x[section], F.lit("]\n"))).otherwise("")
+    text = F.array_join(F.transform("rows", lambda x, i: F.concat(head(x, i), x[label], F.lit(' = "'), F.coalesce(x["value"], F.lit("")), F.lit('"'))), "\n")
+    return rows.select(file, text.alias("text"))
+
+
 def comments_inserted(content: DataFrame, comments: DataFrame, label: str, order: str, suffix: str = "_comments") -> DataFrame:
     """Content lines with each comment line right after its label's line; comments of unknown labels are dropped."""
     base = comments.withColumn("_base", F.regexp_replace(label, f"{suffix}$", "")).select("_base", F.col(label).alias("_label"), F.col("value").alias("_value"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from forecourt.functions.vocabulary import EXPLICIT_FIELDS, IMPLICIT_FIELDS, PROFILE_FIELDS, RESERVATION_FIELDS, STAGES
-from forecourt.operators import agent, evaluation, records, retrieval, speech
+from forecourt.operators import agent, assembly, catalogue, evaluation, records, retrieval, speech
 from forecourt.plans.dialogue_queries import EVENT_STAGE_SQL, STAGE_LIST, event_stage
 from forecourt.plans.retrieval_queries import table
 from forecourt.sources import record_store
@@ -294,10 +294,46 @@ def model_lists(spark, sf_dir):
     p = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.concat(named(0), named(1)).alias("models"))  # a file's content
     folder = f"{record_store.shared_folder(spark)}/models-{uuid.uuid4().hex}"
     p.select("p_brand", agent.model_file(F.col("p_brand"), F.col("models")).alias("value")).write.partitionBy("p_brand").option("lineSep", "\x00").text(folder)
-    rows = spark.read.option("wholetext", True).text(folder)
+    rows = spark.read.text(folder, wholetext=True)
     return rows.select("p_brand", F.explode(agent.brand_models(F.col("value"))).alias("model"))
 
 
+@query(
+    """WITH l AS (SELECT p_brand, p_partkey AS line, 's' || CAST(p_size // 20 AS VARCHAR) AS section, 'l' || p_partkey AS label, p_type AS value FROM part)
+    SELECT p_brand, section, label, value FROM l"""
+)
+def template_files(spark, sf_dir):
+    """Templates written as a file a brand, their sections in order, and parsed again."""
+    from pyspark.sql import Window
+
+    p = table(spark, sf_dir, "part")
+    lines = p.select("p_brand", F.concat(F.lit("s"), F.floor(F.col("p_size") / 20).cast("string")).alias("section"), F.concat(F.lit("l"), F.col("p_partkey").cast("string")).alias("label"), F.col("p_type").alias("value"), "p_partkey")
+    lines = lines.withColumn("line", F.row_number().over(Window.partitionBy("p_brand").orderBy("section", "p_partkey")))  # the lines of one file
+    folder = f"{record_store.shared_folder(spark)}/templates-{uuid.uuid4().hex}"
+    text = assembly.template_text(lines, "p_brand")
+    text.withColumnRenamed("text", "value").write.partitionBy("p_brand").option("lineSep", "\x00").text(folder)
+    rows = spark.read.text(folder, wholetext=True)
+    return rows.select("p_brand", F.explode(catalogue.template_lines(F.replace("value", F.lit("\x00"), F.lit("")))).alias("r")).select("p_brand", "r.*")
+
+
+@query("SELECT conv_id, turn, left(coalesce(text, ''), 200) AS text, left('to ' || coalesce(text, ''), 200) AS response, round(length(coalesce(text, '')) / 7, 2) AS total_ms FROM conversations")
+def turn_view(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").withColumn("response", F.concat(F.lit("to "), F.coalesce("text", F.lit(""))))
+    return t.select("conv_id", "turn", *agent.turn_view("text", "response", total_ms=F.length(F.coalesce("text", F.lit(""))) / 7))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'No vehicles matched yet.' ELSE '1. ' || CASE WHEN c_custkey % 3 = 1 THEN c_name ELSE 'Unknown' END || ' (relevance: ' || CASE WHEN c_custkey % 2 = 0 THEN '0.5' ELSE 'N/A' END || ')' || chr(10) || '   ' || left(repeat(c_mktsegment, 30), 200)
+    || chr(10) || '2. second (relevance: 0.25)' || chr(10) || '   ' END AS cars FROM customer"""
+)
+def matched_cars_text(spark, sf_dir):
+    k = F.col("c_custkey")
+    car = lambda name, score, text: F.struct(name.alias("car_model"), score.cast("double").alias("score"), text.alias("text_snippet"))
+    first = car(F.when(k % 3 == 1, F.col("c_name")), F.when(k % 2 == 0, 0.5), F.repeat("c_mktsegment", F.lit(30)))
+    cars = F.when(k % 3 != 0, F.array(first, car(F.lit("second"), F.lit(0.25), F.lit(None).cast("string"))))
+    return table(spark, sf_dir, "customer").select("c_custkey", retrieval.matched_cars_text(cars).alias("cars"))
+
+
 WORDS_SQL = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> '')"
 BUCKETS_SQL = f"list_transform({WORDS_SQL}, lambda w: ('0x' || left(md5(w), 6))::INT % 64)"
 

@@ -206,7 +206,10 @@ def dedupe_first_occurrence(spark, sf_dir):
     return catalogue.first_occurrences(rows, "text_sha256", "doc_id")
 
 
-@query()
+@query(
+    """SELECT p_brand || '-' || p_partkey AS car_model, 'Vehicle: ' || p_brand || '-' || p_partkey || chr(10) || 'Overview: ' || p_name || chr(10) || 'Brand: A ' || p_type || ' car' AS text, CAST(3 AS INTEGER) AS n_fields,
+    CAST(13 AS INTEGER) AS n_filters FROM part"""
+)
 def toml_ingest(spark, sf_dir):
     """Writes a catalogue file for each part to the shared folder, from the tasks, and reads all back as documents."""
     folder = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"

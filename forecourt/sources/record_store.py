@@ -54,7 +54,7 @@ def read_profiles(spark: SparkSession, folder: str, key: str | None = None) -> D
 
 def read_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions as key and state (a variant of whatever the file holds; null where it is corrupt)."""
-    rows = spark.read.option("wholetext", True).text(folder)
+    rows = spark.read.text(folder, wholetext=True)
     return rows.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("key"), F.try_parse_json("value").alias("state"))
 
 
