@@ -33,6 +33,8 @@ from forecourt.llm.ngrams import blocks, code_points, hashed
 BITS = 15
 ORDERS = (1, 2, 3)
 PER_LANG, MAX_ROWS = 600, 6000
+#: Parts that a language's rows are dealt to before its first PER_LANG are taken.
+SALTS = 64
 EPOCHS = 4
 #: Lead in weighted loss, per unit of weight, under which a prediction is ambiguous.
 LEAD = 0.1
@@ -115,8 +117,10 @@ def decode(m: np.ndarray, code: np.ndarray, reliability: np.ndarray) -> tuple[in
 def fit(docs: DataFrame, keep: Column) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Languages, their code, weights and reliabilities, from a bounded sample of the rows that `keep` admits."""
     rows = docs.where(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("rank"))
-    own = Window.partitionBy("lang").orderBy("rank", "doc_id")  # each task keeps PER_LANG rows of a language before the shuffle
-    first = rows.withColumn("k", F.row_number().over(own)).where(F.col("k") <= PER_LANG)
+    # Of each language first within SALTS parts of the hash, so that no task meets more than a part of what all tasks keep.
+    part = Window.partitionBy("lang", "salt").orderBy("rank", "doc_id")
+    first = rows.withColumn("salt", F.col("rank") % SALTS).withColumn("k", F.row_number().over(part)).where(F.col("k") <= PER_LANG)
+    first = first.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))).where(F.col("k") <= PER_LANG)
     ids = first.join(rows.groupBy("lang").agg(F.count("*").alias("n")), "lang").orderBy("k", F.desc("n"), "lang").limit(MAX_ROWS)
     ids = ids.groupBy("doc_id").agg(F.min("lang").alias("learned"))
     sample = materialize(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id").select("text", "learned"), "lang_sample")
