@@ -3,7 +3,11 @@
 Each stage works on all rows that the stage before it has kept, and its decisions take effect: toxic documents
 go, one document of each near-duplicate class stays, contaminated documents go, secrets are replaced in the
 texts (n_chars follows), and what is left is tokenized and packed. All stages but the last return the columns
-that they were given.
+that they were given, and a stage's table is deleted when the next one is written.
+
+Rows without a text pass through all stages: they are clean, have no words that could be copied or contaminated,
+and pack as their end id. Rows without an id but with words take part as any other (see near_dup). Extra columns stay as
+they are until packing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from forecourt.llm import decontaminate, near_dup, packing, secrets, toxicity
-from forecourt.llm.common import materialize, table
+from forecourt.llm.common import discard, materialize, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +47,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)  # of a stage; the corpus itself stays
     return docs
