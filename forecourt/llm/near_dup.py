@@ -14,11 +14,12 @@ the band loses nothing. Words are compared by 32 bits of their hash.
 Work on Spark:
 1. one pass over the texts writes, per row, a digest of its words, the words' hashes and its bucket keys;
 2. exact copies (equal words) are one node, found by a partial aggregate;
-3. in every bucket all members meet the member that shares most bucket places (a hub); small buckets compare
-   all their members. Links become components by repeated minimum labels and pointer jumps, on written tables;
-4. members of larger buckets that still span several components are compared by an exact join: a text's words in
-   order of rarity, of which the rarest fifth and one more must hold a word in common for two texts to reach 0.8.
-   So no link of a bucket is lost, no bucket is compared as a whole, and no task holds one.
+3. every bucket has a hub, the member that shares most bucket places, and a text meets the greatest of its hubs.
+   Links become components by repeated minimum labels and pointer jumps, on written tables. A text then meets one
+   more of its hubs in each other component;
+4. members of buckets that still span several components are compared by an exact join: a text's words in order of
+   rarity, of which the rarest fifth and one more must hold a word in common for two texts to reach 0.8. So no link
+   of a bucket is lost, no bucket is compared as a whole, and no task holds one.
 
 Defined cases: texts without a word are never duplicates and have their own id as class; rows that repeat are each
 returned with the same class, as are rows of one id with different texts; rows with a null id take part, and a
@@ -44,8 +45,8 @@ WORDS, SIMILARITY = 5, 0.8
 ELL, SKETCHES = 3, 32
 #: Texts of so many words at most have keys without each one of their words.
 SHORT = 17
-#: Buckets of so many members compare all of them at once.
-SMALL = 8
+#: Slots of the hash by which the rarity of words is counted.
+LOADS = 1 << 17
 #: Characters tokenized at once, to the end of a word.
 BLOCK = 1 << 18
 
@@ -270,37 +271,84 @@ def components(links: DataFrame) -> DataFrame:
             return after.select("node", "class")
 
 
-def across_components(places: DataFrame, parts: DataFrame, seqs: DataFrame) -> DataFrame:
-    """Written links (a, b) between different components, of nodes of buckets that span several of them.
+def with_classes(rows: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:
+    """Adds the class of the column node; a node without a link is its own."""
+    of = parts.select(F.col("node").alias("_of"), F.col("class").alias("_class"))
+    return rows.hint("merge").join(of, F.col(node) == F.col("_of"), "left").withColumn(name, F.coalesce("_class", node)).drop("_of", "_class")
+
+
+def word_loads(seqs: DataFrame) -> np.ndarray:
+    """How many words (each with how often it has occurred before) of the texts fall to each of LOADS slots of a hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(LOADS, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.bincount(slots_of(with_occurrences(np.frombuffer(x, "<u4"))), minlength=LOADS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["slot", "n"])
+
+    found = map_batches(seqs.select("seq"), run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # LOADS rows at most
+    loads = np.zeros(LOADS, np.int64)
+    loads[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return loads
+
+
+def slots_of(tokens: np.ndarray) -> np.ndarray:
+    return (_mix(tokens.view(np.uint64)) >> np.uint64(64 - LOADS.bit_length() + 1)).astype(np.int64)
 
-    Two texts of n1 <= n2 words that reach the similarity s have s * n2 words in common at least. So, whatever the
-    order of all words, the first n - ceil(s * n) + 1 words of both hold one in common. Words (each with how often it
-    has occurred before) are ordered by in how few of these texts they are, so that those of passages or phrases
-    that many texts share come last and hardly ever make a pair.
+
+def rare_words(seqs: DataFrame, loads: np.ndarray) -> DataFrame:
+    """node, n (words), i (place), token: of each text the first n - ceil(s n) + 1 words in the order of their slots' loads and then their hash.
+
+    A word that is alone in its slot is in no other text, so that it makes no row.
     """
-    placed = places.join(parts, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
-    split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key")
-    members = placed.join(split, "key", "left_semi").select("node", "class").distinct()
+    shared = seqs.sparkSession.sparkContext.broadcast(loads)  # 8 * LOADS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [np.frombuffer(x, "<u4") for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in words], pa.int32()), pa.array([with_occurrences(x) for x in words], pa.list_(pa.int64()))], names=["node", "class", "n", "tokens"])
-
-    of = map_batches(members.hint("merge").join(seqs, "node").select("node", "class", "seq"), run, "node binary, class binary, n int, tokens array<bigint>")
-    tokens = materialize(of.select("node", "class", "n", F.explode("tokens").alias("token")), "tokens")
-    known = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    first = F.col("n") - F.ceil(F.lit(SIMILARITY) * F.col("n") - 1e-9).cast("int") + 1
-    rare = tokens.join(known, "token").groupBy("node", "class", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("all"))  # a text's own words
-    rare = rare.select("node", "class", "n", F.explode(F.slice("all", F.lit(1), first)).alias("t")).where("t.df > 1").select("node", "class", "n", F.col("t.token").alias("token"))
-    rare = materialize(rare, "rare_words")
-    shared = rare.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("token")
-    rare = rare.join(shared, "token", "left_semi")
-    other = rare.select("token", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"))
-    lengths = (F.col("n_b") >= SIMILARITY * F.col("n") - 1e-9) & (F.col("n") >= SIMILARITY * F.col("n_b") - 1e-9)
-    pairs = rare.join(other, "token").where((F.col("class") < F.col("class_b")) & lengths).select(F.col("node").alias("a"), "b").distinct()
-    found = verified(pairs, seqs)
-    discard(tokens, rare)
+            nodes, counts, places, tokens = [], [], [], []
+            for node, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = with_occurrences(np.frombuffer(x, "<u4"))
+                load, n = shared.value[slots_of(own)], len(own)
+                first = np.lexsort((own, load))[: n - math.ceil(SIMILARITY * n - 1e-9) + 1]
+                kept = np.flatnonzero(load[first] > 1)
+                nodes += [node] * len(kept)
+                counts += [n] * len(kept)
+                places.append(kept)
+                tokens.append(own[first[kept]])
+            columns = [pa.array(nodes, pa.binary()), pa.array(counts, pa.int32())]
+            columns += [pa.array(np.concatenate(x) if x else [], t) for x, t in ((places, pa.int32()), (tokens, pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "i", "token"])
+
+    return map_batches(seqs.select("node", "seq"), run, "node binary, n int, i int, token bigint")
+
+
+def across_components(places: DataFrame, parts: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Written links (a, b) between different components, of nodes that share a bucket which spans several of them.
+
+    Two texts of n1 <= n2 words that reach the similarity s have m = s / (1 + s) * (n1 + n2) words in common at least,
+    which is s * n2 or more. So, whatever the order of all words, the first n - ceil(s * n) + 1 words of both hold one
+    in common, and behind the first such word enough are left in both to make up m. Words (each with how often it
+    has occurred before) are ordered by how few of these texts' words share their slot of a hash, so that those of
+    passages or phrases that many texts share come last and hardly ever make a pair.
+    """
+    placed = with_classes(places.select("key", "node"), parts, "node", "class")
+    split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key", "low")
+    placed = materialize(placed.hint("merge").join(split, "key").select("node", "class", "low").distinct(), "split")
+    # Components that such buckets connect are a group; only within groups can there be a pair.
+    groups = components(placed.where("class != low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct())
+    groups = groups.select(F.col("node").alias("class"), F.col("class").alias("group"))
+    members = materialize(placed.select("node", "class").distinct().hint("merge").join(groups, "class"), "members")
+    own = materialize(seqs.hint("merge").join(members.select("node"), "node", "left_semi"), "split_words")
+    rare = materialize(members.hint("merge").join(rare_words(own, word_loads(own)), "node"), "rare_words")
+    shared = rare.groupBy("group", "token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("group", "token")
+    kept = materialize(rare.hint("merge").join(shared, ["group", "token"], "left_semi"), "shared_words")
+    other = kept.select("group", "token", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
+    enough = F.least(F.col("n") - F.col("i"), F.col("n_b") - F.col("i_b")) * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + F.col("n_b")) - 1e-6
+    pairs = kept.hint("merge").join(other, ["group", "token"]).where((F.col("class") < F.col("class_b")) & enough).select(F.col("node").alias("a"), "b").distinct()
+    found = verified(pairs, own)
+    discard(placed, members, own, rare, kept)
     return found
 
 
@@ -308,22 +356,25 @@ def find_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Written rows (id, text_hash, node), links (a, b, similarity) between different nodes, and classes (node, class)."""
     rows = materialize(sketches(docs, id_col, text_col), "sketches")
     nodes = rows.where("node is not null").groupBy("node").agg(F.first("keys").alias("keys"))
-    places = materialize(nodes.select("node", F.explode(F.array_distinct("keys")).alias("key")), "all_places")
-    counted = places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met_places = materialize(places.hint("merge").join(counted, "key"), "places")
-    discard(places)
-    places = met_places
+    all_places = materialize(nodes.select("node", F.explode(F.array_distinct("keys")).alias("key")), "all_places")
+    counted = all_places.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    places = materialize(all_places.hint("merge").join(counted, "key"), "places")
+    discard(all_places)
     degree = places.groupBy("node").agg(F.sum("n").alias("degree"))
-    seqs = rows.where("node is not null").select("node", "seq").join(degree.select("node").hint("merge"), "node", "left_semi")
-    seqs = materialize(seqs.dropDuplicates(["node"]), "words")
-    hubs = places.join(degree, "node").groupBy("key").agg(F.max_by("node", F.struct("degree", "node")).alias("hub"))
-    met = places.join(hubs, "key").where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    small = places.where(F.col("n") <= SMALL)
-    met = met.unionByName(small.join(small.select("key", F.col("node").alias("a")), "key").where("a < node").select("a", F.col("node").alias("b")))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = verified(met, seqs)
+    seqs = rows.where("node is not null").select("node", "seq").dropDuplicates(["node"])
+    seqs = materialize(seqs.hint("merge").join(degree.select("node"), "node", "left_semi"), "words")
+    hubs = places.hint("merge").join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"))
+    met = materialize(places.hint("merge").join(hubs, "key").where("node != hub.node").select("node", "hub").distinct(), "met")
+    pair = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+    links = verified(met.groupBy("node").agg(F.max("hub").alias("hub")).select(*pair("node", "hub.node")).distinct(), seqs)
+    parts = components(links)
+    apart = with_classes(with_classes(met.select("node", F.col("hub.node").alias("hub")), parts, "node", "class"), parts, "hub", "hub_class")
+    # Then it meets one of its hubs in each other class; whatever else there is to find is left to the exact join.
+    apart = apart.where("class != hub_class").groupBy("node", "hub_class").agg(F.max("hub").alias("hub"))
+    links = links.unionByName(verified(apart.select(*pair("node", "hub")).distinct(), seqs))
     parts = components(links)
-    more = across_components(places.where(F.col("n") > SMALL), parts, seqs)
+    discard(met)
+    more = across_components(places, parts, seqs)
     if not more.isEmpty():
         links = links.unionByName(more)
         parts = components(links)
