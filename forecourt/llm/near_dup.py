@@ -252,23 +252,32 @@ def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """Written (node, class): the least node of each connected component of links (a, b), for nodes that have a link.
+    """Written (node, class): a node of each connected component of links (a, b) as its class, for nodes that have a link.
 
-    Each round lowers every node's class to the least among its neighbours' and then to that class's own class
-    (a pointer jump), until no node changes.
+    Each round gives every node its least neighbour's least neighbour (itself where it is less) as class. Then links go
+    between classes, and those within one are gone, so that rounds get smaller. Nodes are digests, whose order has
+    nothing to do with the links, so that a share of them is left over each time however the links run.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("class")), "classes")
+    edges = materialize(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    label = None
     while True:
-        near = both.join(label.select(F.col("node").alias("b"), "class"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("near"))
-        lower = label.join(near, "node").select("node", F.col("class").alias("was"), F.least("class", "near").alias("class"))
-        jump = lower.select(F.col("node").alias("class"), F.col("class").alias("up"))
-        after = materialize(lower.join(jump, "class", "left").select("node", "was", F.least("class", F.coalesce("up", "class")).alias("class")), "classes")
-        discard(label)
-        label = after
-        if after.where(F.col("class") != F.col("was")).isEmpty():
-            discard(both)
-            return after.select("node", "class")
+        ends = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        near = materialize(ends.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("class")), "nearest")
+        up = near.select(F.col("node").alias("class"), F.col("class").alias("up"))
+        step = materialize(near.join(up, "class").select("node", F.col("up").alias("class")), "step")
+        to = lambda c: step.select(F.col("node").alias(c), F.col("class").alias(f"to_{c}"))  # noqa: B023, E731
+        moved = edges.join(to("a"), "a").join(to("b"), "b").where("to_a != to_b")
+        rest = materialize(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        before, label = label, step
+        if before is not None:
+            again = step.select(F.col("node").alias("class"), F.col("class").alias("to"))
+            label = materialize(before.join(again, "class", "left").select("node", F.coalesce("to", "class").alias("class")), "classes")
+            discard(before, step)
+        discard(near, edges)
+        edges = rest
+        if edges.isEmpty():
+            discard(edges)
+            return label
 
 
 def with_classes(rows: DataFrame, parts: DataFrame, node: str, name: str) -> DataFrame:

@@ -573,6 +573,27 @@ def test_near_classes_against_brute_force(spark):
     assert found[211]["n_links"] >= 1 and found[202]["n_links"] == 0 and found[205]["rep"] == 204
 
 
+def test_components_of_paths_stars_and_cycles(spark):
+    rng = random.Random(2)
+    digest = lambda x: bytearray(hashlib.md5(str(x).encode()).digest())
+    pairs = [(i, i + 1) for i in range(150)] + [(1000, 1000 + i) for i in range(1, 60)] + [(2000 + i, 2000 + (i + 1) % 40) for i in range(40)] + [(rng.randint(3000, 3200), rng.randint(3000, 3200)) for _ in range(150)]
+    found = {bytes(r["node"]): bytes(r["class"]) for r in near_dup.components(spark.createDataFrame([(digest(a), digest(b)) for a, b in pairs], "a binary, b binary")).collect()}
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        parent[find(a)] = find(b)
+    groups = collections.defaultdict(set)
+    for x in {x for p in pairs if p[0] != p[1] for x in p}:
+        groups[find(x)].add(found[bytes(digest(x))])
+    assert all(len(x) == 1 for x in groups.values()) and len({next(iter(x)) for x in groups.values()}) == len(groups)
+    assert near_dup.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
 def test_planted_near_copies_are_found(spark):
     """Copies of which up to a tenth of the words are replaced, left out or added: nearly all meet, and nothing else does."""
     rng = random.Random(5)
