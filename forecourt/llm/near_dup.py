@@ -67,7 +67,7 @@ KINDS = _kinds()
 BREAK = re.compile(r"\s")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
+def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads all bits."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -101,9 +101,9 @@ def _block_hashes(points: np.ndarray, powers: Powers) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     powers.need(len(points))
-    values = _mix((points.astype(np.uint64) + np.uint64(1)) * GOLDEN)
+    values = mix((points.astype(np.uint64) + np.uint64(1)) * GOLDEN)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * powers.up[: len(points)], dtype=np.uint64)))
-    return _mix((total[ends] - total[starts]) * powers.down[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * powers.down[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(text: str, powers: Powers) -> np.ndarray:
@@ -125,7 +125,7 @@ def shingles(words: np.ndarray, k: int = WORDS) -> np.ndarray:
     k = min(k, len(words))
     h = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
-        h = _mix(h ^ words[i : len(words) - k + 1 + i]) + GOLDEN
+        h = mix(h ^ words[i : len(words) - k + 1 + i]) + GOLDEN
     return h
 
 
@@ -142,10 +142,10 @@ def occurrence_labels(xs: np.ndarray) -> np.ndarray:
 
 def _labelled(xs: np.ndarray) -> np.ndarray:
     """One hash for each shingle and how many times it has occurred before."""
-    return _mix(xs + occurrence_labels(xs).astype(np.uint64) * GOLDEN)
+    return mix(xs + occurrence_labels(xs).astype(np.uint64) * GOLDEN)
 
 
-SEEDS = _mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
 def sketch(xs: np.ndarray) -> np.ndarray:
@@ -304,7 +304,7 @@ def word_loads(seqs: DataFrame) -> np.ndarray:
 
 
 def slots_of(tokens: np.ndarray) -> np.ndarray:
-    return (_mix(tokens.view(np.uint64)) >> np.uint64(64 - LOADS.bit_length() + 1)).astype(np.int64)
+    return (mix(tokens.view(np.uint64)) >> np.uint64(64 - LOADS.bit_length() + 1)).astype(np.int64)
 
 
 def rare_words(seqs: DataFrame, loads: np.ndarray) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from forecourt.llm import decontaminate, lang_id, license_scan, merkle, near_dup, packing, quality, secrets, toxicity, warc_zip
+from forecourt.llm import collocations, decontaminate, lang_id, license_scan, merkle, near_dup, packing, quality, runs, secrets, substring_dedup, toxicity, warc_zip
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality_nbsvm": quality.op8_quality_nbsvm,
     "op9_order_minhash": near_dup.op9_order_minhash,
     "op10_secret_grammar": secrets.op10_secret_grammar,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_periodic_runs": runs.op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op4_winnow_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {"op4_winnow_decontaminate": decontaminate.ORACLE, "op11_substring_dedup": substring_dedup.ORACLE, "op12_phrase_collocations": collocations.ORACLE}
