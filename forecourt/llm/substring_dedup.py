@@ -5,7 +5,7 @@ document with a smaller id. Windows repeated at one length alone are looked at a
 
 1. half: every window of 13 words holds seven windows of seven; the one with the least hash stands for it. Only these
    (a quarter of all places) are shuffled, and only those that two documents share survive;
-2. whole: the windows of 13 words whose half survived, compared by 96 bits of their hash over all documents. They
+2. whole: the windows of 13 words whose half survived, compared by 80 bits of their hash over all documents. They
    say which words go;
 3. doubled: a window of twice the length is two repeated windows that follow each other, so that 26, 52, 104 ...
    words are told from the names of the level before, until no candidate survives. They say how far repetitions go.
@@ -22,6 +22,7 @@ no rows; texts of any length are read whole; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,7 +89,7 @@ def comes_after(least: str = "least") -> Column:
 
 
 def whole_windows(texts: DataFrame, length: int) -> DataFrame:
-    """a, b (96 bits of hash), id, th, pos of the windows whose half begins at one of the row's places `at`. texts: id, th, text, at."""
+    """a, b (80 bits of hash), id, th, pos of the windows whose half begins at one of the row's places `at`. texts: id, th, text, at."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +109,10 @@ def whole_windows(texts: DataFrame, length: int) -> DataFrame:
                 other = other * np.uint64(ODD) + hashes[i : n + i]
             rows = words.of[starts]
             take = pa.array(rows)
-            columns = [pa.array(grams(hashes, length)[starts].view(np.int64)), pa.array((mix(other[starts]) >> np.uint64(32)).astype(np.uint32).view(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array((starts - words.first[rows]).astype(np.int32))]
+            columns = [pa.array(grams(hashes, length)[starts].view(np.int64)), pa.array((mix(other[starts]) >> np.uint64(48)).astype(np.uint16).view(np.int16)), batch.column(0).take(take), batch.column(1).take(take), pa.array((starts - words.first[rows]).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "id", "th", "pos"])
 
-    return map_batches(texts.select("id", "th", "text", "at"), run, f"a bigint, b int, id {kind}, th int, pos int")
+    return map_batches(texts.select("id", "th", "text", "at"), run, f"a bigint, b smallint, id {kind}, th int, pos int")
 
 
 def doubled(repeated: DataFrame, length: int) -> DataFrame:
@@ -120,29 +121,29 @@ def doubled(repeated: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos, a, b = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            pos, a, b = (x.to_numpy(zero_copy_only=False) for x in batch.column(2).flatten().flatten())
             rows = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
-            place = (rows.astype(np.int64) << 32) + pos  # in order, as each row's places are
+            place = (rows.astype(np.int64) << 32) + pos
+            order = np.argsort(place)
+            place, pos, a, b, rows = place[order], pos[order], a[order], b[order], rows[order]
             to = np.minimum(np.searchsorted(place, place + length), max(0, len(place) - 1))
             first = np.flatnonzero(place[to] == place + length) if len(place) else np.zeros(0, np.int64)
             to = to[first]
-            a, b = a.astype(np.int64).view(np.uint64), b.astype(np.int32).view(np.uint32).astype(np.uint64)
-            new_a, new_b = mix(mix(a[first]) + a[to] * np.uint64(ODD)), mix(mix(b[first] + a[first]) * np.uint64(ODD) + b[to] + a[to]) >> np.uint64(32)
+            a, b = a.astype(np.int64).view(np.uint64), b.astype(np.int16).view(np.uint16).astype(np.uint64)
+            new_a, new_b = mix(mix(a[first]) + a[to] * np.uint64(ODD)), mix(mix(b[first] + a[first]) * np.uint64(ODD) + b[to] + a[to]) >> np.uint64(48)
             take = pa.array(rows[first])
-            columns = [pa.array(new_a.view(np.int64)), pa.array(new_b.astype(np.uint32).view(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos[first].astype(np.int32))]
+            columns = [pa.array(new_a.view(np.int64)), pa.array(new_b.astype(np.uint16).view(np.int16)), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos[first].astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "id", "th", "pos"])
 
-    return map_batches(repeated.select("id", "th", "pos", "a", "b"), run, f"a bigint, b int, id {kind}, th int, pos int")
+    return map_batches(repeated.select("id", "th", "w"), run, f"a bigint, b smallint, id {kind}, th int, pos int")
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
-    """Written id, th, pos, a, b (arrays by place), late (places of windows that a smaller document also has)."""
+    """Written id, th, w (array of pos, a, b of windows that several documents have), late (places of those that a smaller one has)."""
     shared = materialize(in_several(windows, "a", "b"), "shared")
-    kept = windows.hint("merge").join(shared, ["a", "b"]).withColumn("late", comes_after())
-    lists = kept.groupBy("id", "th").agg(F.array_sort(F.collect_list(F.struct("pos", "a", "b", "late"))).alias("w"))
-    field = lambda c: F.col(f"w.{c}").alias(c)
-    late = F.transform(F.filter("w", lambda x: x["late"]), lambda x: x["pos"]).alias("late")
-    found = materialize(lists.select("id", "th", field("pos"), field("a"), field("b"), late), "repeated")
+    kept = windows.join(shared.hint("shuffle_hash"), ["a", "b"])  # a row for each window, a part of which is in a task
+    lists = kept.groupBy("id", "th").agg(F.collect_list(F.struct("pos", "a", "b")).alias("w"), F.collect_list(F.when(comes_after(), F.col("pos"))).alias("late"))
+    found = materialize(lists, "repeated")
     discard(shared)
     return found
 
@@ -170,7 +171,7 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     copies = materialize(equal_texts(docs, id_col, text_col), "copies")
     places = anchors(docs, id_col, text_col, length)
     shared = materialize(in_several(places.select("h", "id"), "h").select("h"), "halves")
-    found = materialize(places.hint("merge").join(shared, "h").groupBy("id").agg(F.collect_set("pos").alias("at")), "places")
+    found = materialize(places.join(shared.hint("shuffle_hash"), "h").groupBy("id").agg(F.collect_set("pos").alias("at")), "places")
     discard(shared)
     texts = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("th"), F.col(text_col).alias("text"))
     same = lambda a, b: a["id"].eqNullSafe(b["id"])
@@ -180,19 +181,19 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     discard(found)
     level = repeated_windows(windows)
     discard(windows)
-    first, reached, n = level, level.where(F.size("late") > 0).select("id", "th", F.lit(length).alias("longest")), length
-    levels = [level]
+    late = materialize(level.where(F.size("late") > 0).select("id", "th", "late"), "late")
+    reached, n = [materialize(late.select("id", "th", F.lit(length).alias("longest")), "reached")], length
     while not level.isEmpty():
-        level, n = repeated_windows(doubled(level, n)), 2 * n
-        levels.append(level)
-        reached = reached.unionByName(level.where(F.size("late") > 0).select("id", "th", F.lit(n).alias("longest")))
-    longest = reached.groupBy("id", "th").agg(F.max("longest").alias("longest"))
-    late = first.where(F.size("late") > 0).select("id", "th", "late")
+        before, level, n = level, repeated_windows(doubled(level, n)), 2 * n
+        discard(before)
+        reached.append(materialize(level.where(F.size("late") > 0).select("id", "th", F.lit(n).alias("longest")), "reached"))
+    discard(level)
+    longest = functools.reduce(DataFrame.unionByName, reached).groupBy("id", "th").agg(F.max("longest").alias("longest"))
     on = lambda a, b: same(a, b) & (a["th"] == b["th"])
     marks = late.join(longest, on(late, longest)).select(late["id"], late["th"], "late", "longest", F.lit(False).alias("copy"))
     marks = marks.unionByName(copies.select("id", "th", F.expr("cast(null as array<int>)").alias("late"), F.lit(0).alias("longest"), F.lit(True).alias("copy")))
     marks = materialize(marks, "marks")
-    discard(*levels, copies)
+    discard(*reached, late, copies)
     marked = texts.hint("merge").join(marks, on(texts, marks), "left").select(texts["id"], "text", "late", "longest", F.coalesce("copy", F.lit(False)).alias("copy"))
     return cut(marked, length).withColumnRenamed("id", id_col)
 
