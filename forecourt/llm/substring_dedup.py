@@ -7,8 +7,9 @@ document with a smaller id. Windows repeated at one length alone are looked at a
    (a quarter of all places) are shuffled, and only those that two documents share survive;
 2. whole: the windows of 13 words whose half survived, compared by 80 bits of their hash over all documents. They
    say which words go;
-3. doubled: a window of twice the length is two repeated windows that follow each other, so that 26, 52, 104 ...
-   words are told from the names of the level before, until no candidate survives. They say how far repetitions go.
+3. doubled: a window of twice the length is two repeated windows that follow each other, named by their names, and only
+   where the first was repeated at half the length: 26, 52, 104 ... words, until no candidate survives. They say how far
+   repetitions go; of these lengths one window in seven is looked at, at places that equal passages agree on.
 
 Equal texts are settled first by a digest: all but those of the least id go as a whole (from `length` words on) and take part
 in no level after the first. Every level groups by partial aggregates and joins the places back, which the adaptive
@@ -115,8 +116,12 @@ def whole_windows(texts: DataFrame, length: int) -> DataFrame:
     return map_batches(texts.select("id", "th", "text", "at"), run, f"a bigint, b smallint, id {kind}, th int, pos int")
 
 
-def doubled(repeated: DataFrame, length: int) -> DataFrame:
-    """The windows of twice the length that are two repeated ones, the second where the first ends."""
+def chains(repeated: DataFrame, length: int) -> DataFrame:
+    """n, a, b, id, th, pos of windows of n = 2 length, 4 length ... words that are made of repeated ones, named by the names of their halves.
+
+    They begin where of `length` repeated windows that begin one after another the one with the least name begins, so that a
+    passage that two documents share has its windows at the same places in both.
+    """
     kind = repeated.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +129,52 @@ def doubled(repeated: DataFrame, length: int) -> DataFrame:
             pos, a, b = (x.to_numpy(zero_copy_only=False) for x in batch.column(2).flatten().flatten())
             rows = np.repeat(np.arange(len(batch)), batch.column(2).value_lengths().to_numpy(zero_copy_only=False))
             place = (rows.astype(np.int64) << 32) + pos
-            order = np.argsort(place)
-            place, pos, a, b, rows = place[order], pos[order], a[order], b[order], rows[order]
-            to = np.minimum(np.searchsorted(place, place + length), max(0, len(place) - 1))
-            first = np.flatnonzero(place[to] == place + length) if len(place) else np.zeros(0, np.int64)
-            to = to[first]
-            a, b = a.astype(np.int64).view(np.uint64), b.astype(np.int16).view(np.uint16).astype(np.uint64)
-            new_a, new_b = mix(mix(a[first]) + a[to] * np.uint64(ODD)), mix(mix(b[first] + a[first]) * np.uint64(ODD) + b[to] + a[to]) >> np.uint64(48)
-            take = pa.array(rows[first])
-            columns = [pa.array(new_a.view(np.int64)), pa.array(new_b.astype(np.uint16).view(np.int16)), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos[first].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "id", "th", "pos"])
-
-    return map_batches(repeated.select("id", "th", "w"), run, f"a bigint, b smallint, id {kind}, th int, pos int")
+            place, order = np.unique(place, return_index=True)  # rows that repeat have each place as often
+            pos, rows = pos[order], rows[order]
+            a, b = a[order].astype(np.int64).view(np.uint64), b[order].astype(np.int16).view(np.uint16).astype(np.uint64)
+            m = max(0, len(place) - length + 1)
+            chosen = np.zeros(len(place), bool)
+            if m:
+                chosen[least_places(a, length)[place[length - 1 :] == place[:m] + length - 1]] = True
+            at, n = np.arange(len(place)), length  # where windows of n words begin, all of whose parts are repeated
+            while len(at):
+                own = place[at]
+                to = np.minimum(np.searchsorted(own, own + n), len(at) - 1)
+                first = np.flatnonzero(own[to] == own + n)
+                to = to[first]
+                a, b = mix(mix(a[first]) + a[to] * np.uint64(ODD)), mix(mix(b[first] + a[first]) * np.uint64(ODD) + b[to] + a[to]) >> np.uint64(48)
+                at, n = at[first], 2 * n
+                kept = chosen[at]
+                places = at[kept]
+                take = pa.array(rows[places])
+                columns = [pa.array(np.full(len(places), n, np.int32)), pa.array(a[kept].view(np.int64)), pa.array(b[kept].astype(np.uint16).view(np.int16)), batch.column(0).take(take), batch.column(1).take(take), pa.array(pos[places].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["n", "a", "b", "id", "th", "pos"])
+
+    return map_batches(repeated.select("id", "th", "w"), run, f"n int, a bigint, b smallint, id {kind}, th int, pos int")
+
+
+def extended(level: DataFrame, length: int) -> DataFrame:
+    """Written (id, th, longest): the greatest of 2 length, 4 length ... at which a window of a row is also in a smaller document."""
+    longer = materialize(chains(level, length), "chains")
+    n, found, alive = 2 * length, [], None
+    while True:
+        windows = longer.where(F.col("n") == n).drop("n")
+        if alive is not None:  # only what was repeated at half the length
+            windows = windows.join(alive, windows["id"].eqNullSafe(alive["id"]) & (windows["th"] == alive["th"]) & (windows["pos"] == alive["pos"]), "left_semi")
+        shared = materialize(in_several(windows, "a", "b"), "shared")
+        kept = materialize(windows.join(shared.hint("shuffle_hash"), ["a", "b"]).select("id", "th", "pos", comes_after().alias("late")), "alive")
+        discard(shared, *([alive] if alive is not None else []))
+        alive = kept
+        if alive.isEmpty():
+            break
+        found.append(materialize(alive.where("late").select("id", "th", F.lit(n).alias("longest")).distinct(), "reached"))
+        n *= 2
+    discard(longer, alive)
+    if not found:
+        return level.select("id", "th", F.lit(0).alias("longest")).limit(0)
+    longest = materialize(functools.reduce(DataFrame.unionByName, found).groupBy("id", "th").agg(F.max("longest").alias("longest")), "longest")
+    discard(*found)
+    return longest
 
 
 def repeated_windows(windows: DataFrame) -> DataFrame:
@@ -163,8 +202,9 @@ def equal_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every row: id_col, n_words, n_removed, removed (array<struct<start, end>> of word numbers), text (what is kept, words joined by one space), longest.
 
-    longest is the greatest length among `length`, twice, four times ... of which a window of the row also starts in a
-    document with a smaller id; 0 without one. For a text that a smaller document has as a whole it is its number of words.
+    longest is the greatest length L among `length`, twice, four times ... at which a window of the row was found to start also in
+    a document with a smaller id (0 without one): exact for `length`, and never missed where both share L + length - 1
+    words in a row. For a text that a smaller document has as a whole it is its number of words.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.shuffleDependency.fileCleanup.enabled", "true")
@@ -182,18 +222,13 @@ def remove_repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     level = repeated_windows(windows)
     discard(windows)
     late = materialize(level.where(F.size("late") > 0).select("id", "th", "late"), "late")
-    reached, n = [materialize(late.select("id", "th", F.lit(length).alias("longest")), "reached")], length
-    while not level.isEmpty():
-        before, level, n = level, repeated_windows(doubled(level, n)), 2 * n
-        discard(before)
-        reached.append(materialize(level.where(F.size("late") > 0).select("id", "th", F.lit(n).alias("longest")), "reached"))
+    longest = extended(level, length)
     discard(level)
-    longest = functools.reduce(DataFrame.unionByName, reached).groupBy("id", "th").agg(F.max("longest").alias("longest"))
     on = lambda a, b: same(a, b) & (a["th"] == b["th"])
-    marks = late.join(longest, on(late, longest)).select(late["id"], late["th"], "late", "longest", F.lit(False).alias("copy"))
+    marks = late.join(longest, on(late, longest), "left").select(late["id"], late["th"], "late", F.coalesce("longest", F.lit(length)).alias("longest"), F.lit(False).alias("copy"))
     marks = marks.unionByName(copies.select("id", "th", F.expr("cast(null as array<int>)").alias("late"), F.lit(0).alias("longest"), F.lit(True).alias("copy")))
     marks = materialize(marks, "marks")
-    discard(*reached, late, copies)
+    discard(late, longest, copies)
     marked = texts.hint("merge").join(marks, on(texts, marks), "left").select(texts["id"], "text", "late", "longest", F.coalesce("copy", F.lit(False)).alias("copy"))
     return cut(marked, length).withColumnRenamed("id", id_col)
 
@@ -230,29 +265,19 @@ def cut(marked: DataFrame, length: int) -> DataFrame:
 
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), F.size("removed").alias("n_spans"), "longest")
-
-
-def _level(n: int, before: str) -> str:
-    """Windows of n words as pairs of those of half as many, of the documents that share them."""
-    pairs = f"SELECT x.doc_id, x.i, hash(x.k, y.k) AS k FROM {before} x JOIN {before} y ON x.doc_id = y.doc_id AND y.i = x.i + {n // 2}"
-    return f"w{n} AS (SELECT doc_id, i, k, min(doc_id) OVER (PARTITION BY k) AS least FROM ({pairs}) QUALIFY least <> max(doc_id) OVER (PARTITION BY k))"
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), F.size("removed").alias("n_spans"))
 
 
-LEVELS = [LENGTH << i for i in range(1, 12)]
 ORACLE = rf"""
-WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, text IS NOT NULL AND min(doc_id) OVER (PARTITION BY text) < doc_id AS same FROM documents),
-d AS (SELECT doc_id, ws, len(ws) AS n, same AND len(ws) >= {LENGTH} AS same FROM docs),
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+d AS (SELECT doc_id, ws, len(ws) AS n FROM docs),
 places AS (SELECT doc_id, ws, unnest(range(1, n - {LENGTH - 2})) AS i FROM d WHERE n >= {LENGTH}),
 keys AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + {LENGTH - 1}], ' ')) AS k FROM places),
-w{LENGTH} AS (SELECT doc_id, i, hash(k) AS k, min(doc_id) OVER (PARTITION BY k) AS least FROM keys QUALIFY least <> max(doc_id) OVER (PARTITION BY k)),
-{", ".join(_level(n, f"w{n // 2}") for n in LEVELS)},
-late AS ({" UNION ALL ".join(f"SELECT doc_id, {n} AS n FROM w{n} WHERE doc_id > least" for n in [LENGTH, *LEVELS])}),
-reached AS (SELECT doc_id, max(n) AS longest FROM late GROUP BY doc_id),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {LENGTH})) AS i FROM w{LENGTH} WHERE doc_id > least),
+late AS (SELECT doc_id, i FROM keys QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + {LENGTH})) AS i FROM late),
 spans AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE b IS DISTINCT FROM i - 1) AS n_spans FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM gone) GROUP BY doc_id),
 words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, n + 1)) AS i FROM d),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
-SELECT doc_id, n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans, CASE WHEN same THEN n ELSE coalesce(longest, 0) END AS longest
-FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN reached USING (doc_id)
+SELECT doc_id, n AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(n_spans, 0) AS n_spans
+FROM d LEFT JOIN spans USING (doc_id) LEFT JOIN kept USING (doc_id)
 """

@@ -11,6 +11,8 @@ from forecourt.llm.near_dup import GOLDEN, Powers, mix
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes hashed at once; a longer word is hashed as a whole.
 BLOCK = 1 << 20
+#: A-Z to a-z.
+LOWER = np.array([i | 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
 
 
 def byte_table(chars: bytes) -> np.ndarray:
@@ -32,7 +34,7 @@ class Words:
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[bounds[0] : bounds[-1]] if raw is not None and len(bounds) else np.zeros(0, np.uint8)
         if lower:
-            data = np.where((data >= 65) & (data <= 90), data | 32, data)
+            data = LOWER[data]
         bounds = bounds - bounds[0]
         if texts.null_count:  # what a null row may hold is no text
             gone = np.zeros(len(data) + 1, np.int8)
@@ -54,8 +56,7 @@ class Words:
         self.first = np.searchsorted(self.starts, bounds)
         self.of = np.repeat(np.arange(self.n_rows), np.diff(self.first))
         if breaks:
-            cut = np.concatenate(([0], np.cumsum(byte_table(breaks)[data])))
-            self.piece = cut[self.starts] + self.of  # neither ever falls
+            self.piece = np.searchsorted(np.flatnonzero(byte_table(breaks)[data]), self.starts) + self.of  # neither ever falls
 
     def hashes(self, powers: Powers) -> np.ndarray:
         """64-bit hash of the bytes of each word."""
