@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.semantics import any_of, col, filled, strip, truthy
 from forecourt.functions.vocabulary import RESERVATION_FIELDS
+from forecourt.sources.record_store import materialize
 
 
 def one_change_per_key(changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
@@ -98,12 +99,25 @@ def dealer_rows(df: DataFrame, order: list, info: str = "test_drive_info") -> Da
 
 
 def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """Adds a 1-based number in the given total order, by ranges and the counts before them."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    own = ranged.withColumn("_part", F.shiftright("_at", 33)).withColumn("_place", F.col("_at").bitwiseAND((1 << 33) - 1))
-    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-    counts = own.groupBy("_part").count().select("_part", before.alias("_before"))
-    return own.join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_at", "_part", "_place", "_before")
+    """Adds a 1-based number in the given total order, by ranges and the counts before them.
+
+    The ordered ranges are written once with each row's range and place, so that counts and rows are of the same ranges
+    whatever an adaptive plan would make of them when it runs again.
+    """
+    part, place, before = (new_name(df, x) for x in ("_part", "_place", "_before"))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id())
+    own = materialize(ranged.withColumn(part, F.shiftright(place, 33)).withColumn(place, F.col(place).bitwiseAND((1 << 33) - 1)), "numbered")
+    earlier = F.coalesce(F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    counts = own.groupBy(part).count().select(part, earlier.alias(before))
+    return own.join(F.broadcast(counts), part).withColumn(name, F.col(before) + F.col(place) + 1).drop(part, place, before)
+
+
+def new_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, that no column of df has in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def split_model(name: Column | str) -> Column:

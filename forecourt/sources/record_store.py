@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,14 +18,22 @@ SCHEMA = f"phone_number string, car_model string, created_at string, updated_at
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, which all executors share. Only a local session may do without: it gets one of its own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='forecourt-')}"
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Writes df once to the shared folder and reads it back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_json(spark: SparkSession, folder: str, schema: str, key: str | None = None) -> DataFrame:
     """Records of a folder by key: the file's name without its ending for a file each, else a field of lines. Corrupt ones are null but for a file's key."""
     reader = spark.read.schema(f"{schema}, corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "corrupt")

@@ -13,12 +13,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from forecourt.sources.record_store import shared_folder
 
+#: What a batch of a stream reads at most, about; a session's rows of one batch are sorted in memory.
+BATCH = 64 << 20
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def in_order(rows: Iterator[pd.DataFrame], order: str, *columns: str) -> list[tuple]:
     """A batch's rows of one key as plain tuples, sorted. How many there are at most is bounded by the stream's read limit."""
-    return sorted(x for part in rows for x in zip(part[order], *(part[c] for c in columns), strict=True))
+    return sorted((x for part in rows for x in zip(part[order], *(part[c] for c in columns), strict=True)), key=lambda x: x[0])
 
 
 class TurnBuffer(StatefulProcessor):
@@ -101,9 +103,13 @@ class ChatState(StatefulProcessor):
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of a folder as a stream of its files, a file a batch at most."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1).load(folder, format="parquet")
+    """A table of a folder as a stream of its files, about BATCH of them at a time."""
+    path = f"{folder}/{name}.parquet"
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", BATCH)
+    if found.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(found).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)  # a stream reads folders only
 
 
 def start(df: DataFrame, mode: str, folder: str, every: str | None = None):
