@@ -16,6 +16,8 @@ from forecourt.streaming.sessions import ROCKS, in_order
 
 #: What a reply is where none could be made.
 APOLOGY = "Sorry, something went wrong. Could you say that again?"
+#: How much longer than its timer a state lives at most.
+GUARD_MS = 3_600_000
 #: The parts of a turn's answers that are heard, by its entry stage, with their fields.
 HEARD = [["profile"], ["profile"], ["explicit", "implicit"], ["explicit", "implicit"], ["reservation"], ["reservation"], []]
 FIELDS = {"profile": PROFILE_FIELDS, "explicit": EXPLICIT_FIELDS, "implicit": IMPLICIT_FIELDS, "reservation": RESERVATION_FIELDS}
@@ -142,7 +144,7 @@ class RunningMetrics(StatefulProcessor):
     """A row a turn: turns so far, total and mean latency, languages in the order of their first turn.
 
     With keep_ms the state of a session goes so long after its last turn: a timer then gives a last row with ended, and as a
-    second guard the state has twice that time to live. Without it, it stays. Timers need a stream that goes on
+    second guard the state lives GUARD_MS longer at most. Without it, it stays. Timers need a stream that goes on
     (processingTime): one over what is available would wait for them forever.
     """
 
@@ -151,7 +153,7 @@ class RunningMetrics(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        live = 2 * self.keep_ms if self.keep_ms else None
+        live = self.keep_ms + GUARD_MS if self.keep_ms else None
         self.totals = handle.getValueState("totals", "turns bigint, total double, due bigint", live)
         self.languages = handle.getListState("languages", "language string", live)
 
