@@ -4,9 +4,10 @@ The packing itself works on the histogram of piece lengths (at most `capacity` c
 thing that reaches the driver. Lengths are taken from the longest down. The gap that a piece leaves is
 looked up among single, pair and triple length sums; a combination that fills it exactly is used as many
 times as all its lengths are available. Of several combinations the one whose shortest length is longest is taken,
-so that short pieces stay for the end. What has no exact complement is packed best-fit in the same way: a gap takes
-the largest sum of up to three lengths that it holds. The result is a short list of patterns with multiplicities; a
-piece finds its place from its length and its rank among the pieces of that length.
+so that short pieces stay for the end. What has no exact complement takes, in the same pass, the largest sum of up to
+three lengths that its gap holds. (Exact gaps ahead of all others would use up the short lengths that the rest needs.) Plain
+best-fit is kept for histograms on which it needs fewer sequences. The result is a short list of patterns with
+multiplicities; a piece finds its place from its length and its rank among the pieces of that length.
 
 Ranks need no group of all pieces of one length: pieces are spread over buckets within each length, and a
 bucket's ranks begin after the counts of the buckets before it.
@@ -149,35 +150,61 @@ class Sums:
         return None
 
 
-def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns (number of sequences, [(length, how many of it)]) that place every piece of the histogram.
+Patterns = list[tuple[int, list[tuple[int, int]]]]
+
 
-    First, from the longest length down, gaps that one, two or three available lengths fill exactly. Then best-fit of
-    what is left, again from the longest down: what fits a gap best is the largest sum of up to three lengths, until
-    nothing fits. A pattern is used as often as all its lengths are available, so that each uses up a length.
+def complements(counts: dict[int, int], capacity: int) -> Patterns:
+    """From the longest length down, each gap is filled by the one, two or three available lengths that sum to it, or else to the most that fits, until nothing fits.
+
+    A pattern is used as often as all its lengths are available, so that each uses up a length.
     """
     sums = Sums(counts, capacity)
-    patterns: list[tuple[int, list[tuple[int, int]]]] = []
-    for fill, whole in ((sums.exact, True), (sums.nearest, False)):
-        for length in range(capacity, 0, -1):
-            while sums.free[length] > 0:
-                need, gap = {length: 1}, capacity - length
-                sums.add({length: 1}, -1)
-                while gap and (more := fill(gap)):
-                    for x in more:
-                        need[x] = need.get(x, 0) + 1
-                        sums.add({x: 1}, -1)
-                    gap -= sum(more)
-                sums.add(need, 1)
-                if gap and whole:
-                    break
-                times = int(min(sums.free[x] // k for x, k in need.items()))
-                sums.add(need, -times)
-                patterns.append((times, sorted(need.items(), reverse=True)))
+    patterns: Patterns = []
+    for length in range(capacity, 0, -1):
+        while sums.free[length] > 0:
+            need, gap = {length: 1}, capacity - length
+            sums.add({length: 1}, -1)
+            while gap and (more := sums.nearest(gap)):
+                for x in more:
+                    need[x] = need.get(x, 0) + 1
+                    sums.add({x: 1}, -1)
+                gap -= sum(more)
+            sums.add(need, 1)
+            times = int(min(sums.free[x] // k for x, k in need.items()))
+            sums.add(need, -times)
+            patterns.append((times, sorted(need.items(), reverse=True)))
     return patterns
 
 
-def place_table(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np.ndarray, ...]]:
+def best_fit(counts: dict[int, int], capacity: int) -> Patterns:
+    """Best-fit decreasing: from the longest length down, each piece goes to the sequence with the smallest gap that holds it."""
+    gaps: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = {}  # by gap, how many sequences of which pieces
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            gap = min((g for g in gaps if g >= length), default=capacity)
+            many, items = gaps[gap].pop() if gap in gaps else (left, ())
+            if gap in gaps and not gaps[gap]:
+                del gaps[gap]
+            each = min(gap // length, left)
+            used = min(many, left // each)
+            gaps.setdefault(gap - each * length, []).append((used, (*items, (length, each))))
+            if items and used < many:
+                gaps.setdefault(gap, []).append((many - used, items))
+            left -= used * each
+    return [(many, list(items)) for own in gaps.values() for many, items in own]
+
+
+def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Patterns:
+    """Patterns (number of sequences, [(length, how many of it)]) that place every piece of the histogram.
+
+    Of the plan by exact complements and plain best-fit decreasing the one with fewer sequences (the first if they are equal), so that
+    there are never more than best-fit needs.
+    """
+    return min(complements(counts, capacity), best_fit(counts, capacity), key=lambda plan: sum(many for many, _ in plan))
+
+
+def place_table(patterns: Patterns) -> dict[int, tuple[np.ndarray, ...]]:
     """By length, arrays over intervals of ranks: first rank, first sequence, pieces of it per sequence, offset."""
     found: dict[int, list[tuple[int, int, int, int]]] = {}
     used: dict[int, int] = {}

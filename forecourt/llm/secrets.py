@@ -244,7 +244,7 @@ class Grammar:
         return found
 
     def spans(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Base spans, and those of runs (or of their parts) that look like a format and that no base span holds."""
+        """Base spans, and those of runs (or of their disjoint parts, the longest first) that look like a format and that no base span holds."""
         if not self.formats:
             return base
         more, k, held = [], 0, (0, -1)
@@ -253,10 +253,11 @@ class Grammar:
                 if base[k][1] > held[1]:
                     held = base[k][:2]
                 k += 1
+            own: list[tuple[int, int, str]] = []
             for a, b in candidates(text, m.start(), m.end()):
-                if not (held[0] <= a and b <= held[1]) and self.lead(text[a:b])[1]:
-                    more.append((a, b, "grammar"))
-                    break
+                if not (held[0] <= a and b <= held[1]) and all(b <= x or y <= a for x, y, _ in own) and self.lead(text[a:b])[1]:
+                    own.append((a, b, "grammar"))
+            more += own
         return sorted(base + more, key=lambda x: (x[0], KINDS.index(x[2]))) if more else base
 
 
