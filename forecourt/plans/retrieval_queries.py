@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from forecourt.functions.vocabulary import FILTER_FIELDS
 from forecourt.operators import catalogue, retrieval
+from forecourt.sources import vector_index
 from forecourt.sources.record_store import shared_folder
 from forecourt.sources.toml_source import read_catalogue, write_catalogue, write_text
 
@@ -227,3 +228,13 @@ def toml_ingest(spark, sf_dir):
     rows = read_catalogue(spark, folder)
     meta = catalogue.metadata(F.col("car_model"), F.col("entries"))
     return rows.select("car_model", catalogue.document_text(F.col("car_model"), F.col("key_details"), F.col("key_details_comments"), F.col("entries")).alias("text"), F.size(meta).alias("n_fields"), F.lit(len(FILTER_FIELDS)).alias("n_filters"))
+
+
+@query()
+def index_probe_topk(spark, sf_dir):
+    """Every row whose id is divisible by 20 against the inverted lists of all vectors that are nearest to it."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    vector_index.build_index(vectors, folder)
+    found = vector_index.search_index(vectors.where("vec_id % 20 = 0"), folder, 5)
+    return found.select("query_id", "vec_id", F.round("score", 4).alias("score"), "rank")
