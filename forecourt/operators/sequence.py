@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from forecourt.functions.semantics import col
+from forecourt.operators.records import new_name
 
 
 def turns_of(session: str, *order) -> WindowSpec:
@@ -44,6 +45,18 @@ def closed_turns(df: DataFrame, session: str, order: list, is_end: Column, size:
     return found.where("closed and n_frames > 0").drop("closed")
 
 
+def latest_within(df: DataFrame, session: str, order: list[str], tokens: str, limit: int | None) -> DataFrame:
+    """The latest messages of each session whose tokens add up to limit at most; all without one.
+
+    Where even the last message is longer, none is kept. A message counts as its number in the column tokens (null: 0).
+    """
+    if limit is None:
+        return df
+    later = Window.partitionBy(session).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = new_name(df, "_total")
+    return df.withColumn(total, F.sum(F.coalesce(F.col(tokens), F.lit(0))).over(later)).where(F.col(total) <= limit).drop(total)
+
+
 def session_metrics(df: DataFrame, session: str, order: str, latency: str, language: str) -> DataFrame:
     """Turns, total and mean latency, and languages in the order of their first turn."""
     firsts = df.where((F.col(language) != "") & F.col(language).isNotNull()).groupBy(session, language).agg(F.min(order).alias("_at"))

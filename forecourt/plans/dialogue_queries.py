@@ -175,3 +175,14 @@ def voice_running_metrics(spark, sf_dir):
 @query("SELECT role, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN trim(coalesce(text, '')) <> '' THEN 1.0 ELSE 0.0 END), 6) AS response_rate FROM conversations GROUP BY role")
 def response_rate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(filled("text").cast("double")), 6).alias("response_rate"))
+
+
+@query(
+    """SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) FILTER (WHERE role IN ('user', 'assistant')) AS history, CAST(sum(n) AS BIGINT) AS n_tokens FROM (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS later
+    FROM (SELECT *, len(regexp_extract_all(coalesce(text, ''), '[^ \\n]+')) AS n FROM conversations)) WHERE later <= 60 GROUP BY conv_id HAVING bool_or(role IN ('user', 'assistant'))"""
+)
+def history_within_limit(spark, sf_dir):
+    """The latest messages of sixty tokens at most, as a history text; a token is what spaces and line ends separate."""
+    t = table(spark, sf_dir, "conversations").withColumn("n", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[^ \\n]+"), F.lit(0))))
+    kept = sequence.latest_within(t, "conv_id", ["turn"], "n", 60)
+    return sequence.history(kept, "conv_id", "turn", "role", "text").join(kept.groupBy("conv_id").agg(F.sum("n").alias("n_tokens")), "conv_id")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from forecourt.functions.vocabulary import PROFILE_FIELDS
 from forecourt.operators import extraction, records
 from forecourt.plans.retrieval_queries import table
+from forecourt.sources import versioned_store
+from forecourt.sources.record_store import shared_folder
 
 QUERIES, ORACLES = {}, {}
 
@@ -97,3 +101,18 @@ def form_errors(spark, sf_dir):
 def model_name_split(spark, sf_dir):
     name = F.when(F.col("p_partkey") % 4 == 0, F.lit("nohyphen")).otherwise(F.concat(F.translate("p_brand", "-", "_"), F.lit("-"), F.col("p_partkey").cast("string"), F.lit("-x")))
     return table(spark, sf_dir, "part").select("p_partkey", records.split_model(name).alias("m")).where("m is not null").select("p_partkey", "m.brand", "m.model")
+
+
+@query(
+    """SELECT c_custkey AS key, CASE WHEN o_custkey IS NULL THEN c_name ELSE 'ordered ' || n END AS name, c_mktsegment AS segment
+    FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey WHERE c_custkey % 50 = 0"""
+)
+def store_lookup(spark, sf_dir):
+    """A store of all customers, a second version of it with changes from their orders, and point reads of every 50th key."""
+    folder = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    versioned_store.commit(customers, folder, 0, buckets=64)
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.concat(F.lit("ordered "), F.count("*").cast("string")).alias("name"))
+    known = counts.join(customers.select("key"), "key", "left_semi")
+    versioned_store.change(spark, folder, lambda rows: records.upsert(rows, known, "key"))
+    return versioned_store.lookup(customers.where("key % 50 = 0").select("key"), folder)

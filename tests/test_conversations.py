@@ -111,3 +111,12 @@ def test_numbers_of_wide_rows_are_whole(spark, size):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+def test_histories_within_a_limit(spark):
+    from forecourt.operators import sequence
+
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 3, 4), ("b", 1, 11), ("c", 1, 10)], "s string, t int, n int")
+    kept = lambda limit: sorted((r["s"], r["t"]) for r in sequence.latest_within(df, "s", ["t"], "n", limit).collect())
+    assert kept(None) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("c", 1)]
+    assert kept(8) == [("a", 2), ("a", 3)] and kept(10) == [("a", 1), ("a", 2), ("a", 3), ("c", 1)]
