@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forecourt.operators import retrieval
-from forecourt.plans import agent_queries, assembly_queries, dialogue_queries, evaluation_queries, record_queries, retrieval_queries, stream_queries
+from forecourt.plans import agent_queries, assembly_queries, dialogue_queries, evaluation_queries, ingest_queries, record_queries, retrieval_queries, stream_queries
 
-MODULES = (retrieval_queries, dialogue_queries, evaluation_queries, record_queries, assembly_queries, agent_queries, stream_queries)
+MODULES = (retrieval_queries, dialogue_queries, evaluation_queries, record_queries, assembly_queries, agent_queries, stream_queries, ingest_queries)
 QUERIES = {k: q for m in MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in MODULES for k, q in m.ORACLES.items()}
 

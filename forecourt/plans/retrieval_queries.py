@@ -207,12 +207,8 @@ def dedupe_first_occurrence(spark, sf_dir):
     return catalogue.first_occurrences(rows, "text_sha256", "doc_id")
 
 
-@query(
-    """SELECT p_brand || '-' || p_partkey AS car_model, 'Vehicle: ' || p_brand || '-' || p_partkey || chr(10) || 'Overview: ' || p_name || chr(10) || 'Brand: A ' || p_type || ' car' AS text, CAST(3 AS INTEGER) AS n_fields,
-    CAST(13 AS INTEGER) AS n_filters FROM part"""
-)
-def toml_ingest(spark, sf_dir):
-    """Writes a catalogue file for each part to the shared folder, from the tasks, and reads all back as documents."""
+def part_catalogue(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a catalogue file for each part, written from the tasks, beside a template and a broken file."""
     folder = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
     part = table(spark, sf_dir, "part")
     car = F.struct(
@@ -225,11 +221,24 @@ def toml_ingest(spark, sf_dir):
     write_catalogue(part.select(F.col("p_partkey").cast("string").alias("name"), car.alias("car")), f"{folder}/nested")
     write_text(spark, f"{folder}/CarLabels.toml", 'title = "CarLabels"\ncar_model = "x"\n')
     write_text(spark, f"{folder}/broken.toml", "= nothing")
-    rows = read_catalogue(spark, folder)
+    return folder
+
+
+def car_documents(rows: DataFrame) -> DataFrame:
     meta = catalogue.metadata(F.col("car_model"), F.col("entries"))
     return rows.select("car_model", catalogue.document_text(F.col("car_model"), F.col("key_details"), F.col("key_details_comments"), F.col("entries")).alias("text"), F.size(meta).alias("n_fields"), F.lit(len(FILTER_FIELDS)).alias("n_filters"))
 
 
+TOML_SQL = """SELECT p_brand || '-' || p_partkey AS car_model, 'Vehicle: ' || p_brand || '-' || p_partkey || chr(10) || 'Overview: ' || p_name || chr(10) || 'Brand: A ' || p_type || ' car' AS text, CAST(3 AS INTEGER) AS n_fields,
+    CAST(13 AS INTEGER) AS n_filters FROM part"""
+
+
+@query(TOML_SQL)
+def toml_ingest(spark, sf_dir):
+    """Writes a catalogue file for each part to the shared folder, from the tasks, and reads all back as documents."""
+    return car_documents(read_catalogue(spark, part_catalogue(spark, sf_dir)))
+
+
 @query()
 def index_probe_topk(spark, sf_dir):
     """Every row whose id is divisible by 20 against the inverted lists of all vectors that are nearest to it."""

@@ -19,6 +19,9 @@ TEMPLATE = "CarLabels.toml"
 TASK_PARTS, FOLDERS = 256, 256
 ENTRY = "struct<section: string, ord: int, key: string, value: string>"
 SCHEMA = f"source_file string, car_model string, title string, key_details string, key_details_comments string, entries array<{ENTRY}>, corrupt string"
+NAMES = ["source_file", "car_model", "title", "key_details", "key_details_comments", "entries", "corrupt"]
+# Schemes of Spark's file systems whose names differ in pyarrow.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
 
 
 def as_text(value) -> str | None:
@@ -37,23 +40,35 @@ def parse(path: str, raw: bytes) -> dict:
     return row | {k: as_text(data.get(k)) for k in ("car_model", "title")} | {k: as_text(details.get(k)) for k in ("key_details", "key_details_comments")} | {"entries": entries}
 
 
+def rows_batch(rows: list[dict]) -> pa.RecordBatch:
+    entry = pa.struct([("section", pa.string()), ("ord", pa.int32()), ("key", pa.string()), ("value", pa.string())])
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.list_(entry) if n == "entries" else pa.string()) for n in NAMES], names=NAMES)
+
+
+def few_tasks(files: DataFrame) -> DataFrame:
+    """Small files in fewer tasks than Spark plans, which puts few of them to one."""
+    parts, cores = files.rdd.getNumPartitions(), files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(1, min(parts, max(4 * cores, -(-parts // TASK_PARTS)))))
+
+
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """pyarrow's file system and path of a folder as Spark names it."""
+    scheme, found, rest = folder.partition(":")
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}" if found else f"file://{folder}")
+
+
 def read_catalogue(spark: SparkSession, folder: str, permissive: bool = False, ordered: bool = False) -> DataFrame:
     """All *.toml below folder but the template, without files that are corrupt or name no model; a missing folder is empty. In the order of paths if ordered."""
-    entry = pa.struct([("section", pa.string()), ("ord", pa.int32()), ("key", pa.string()), ("value", pa.string())])
-    names = ["source_file", "car_model", "title", "key_details", "key_details_comments", "entries", "corrupt"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [parse(p, c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], pa.list_(entry) if n == "entries" else pa.string()) for n in names], names=names)
+            yield rows_batch([parse(p, c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
 
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], SCHEMA)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.toml").load(folder)
-    parts, cores = files.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism
-    few = files.coalesce(max(1, min(parts, max(4 * cores, -(-parts // TASK_PARTS)))))  # Spark plans few small files to a task
-    rows = few.where(~F.col("path").endswith(f"/{TEMPLATE}")).select("path", "content").mapInArrow(run, SCHEMA)
+    rows = few_tasks(files).where(~F.col("path").endswith(f"/{TEMPLATE}")).select("path", "content").mapInArrow(run, SCHEMA)
     rows = rows if permissive else rows.where(F.col("corrupt").isNull() & truthy("car_model"))
     return rows.orderBy("source_file") if ordered else rows
 
@@ -81,7 +96,7 @@ def write_catalogue(cars: DataFrame, folder: str) -> int:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pafs.FileSystem.from_uri(folder)
+        files, root = file_system(folder)
         for batch in batches:
             for name, car in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = f"{root}/{sum(name.encode()) % FOLDERS:03d}"
