@@ -42,8 +42,9 @@ def document_chunks(spark, sf_dir):
 
 
 @query(
-    f"""{CHUNKS_SQL}, v AS (SELECT doc_id, lang, chunk, list_transform(range(64), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS e FROM (SELECT *, {BUCKETS_SQL} AS b FROM chunked)),
-    q AS (SELECT e FROM v WHERE lang = 'en' ORDER BY doc_id, chunk LIMIT 1), s AS (SELECT doc_id, chunk, round(list_cosine_similarity(v.e, q.e), 12) AS s FROM v, q),
+    f"""{CHUNKS_SQL}, v AS (SELECT doc_id, lang, chunk, b, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, lang, chunk, unnest({BUCKETS_SQL}) AS b FROM chunked) GROUP BY ALL),
+    q AS (SELECT b, n FROM v WHERE (doc_id, chunk) = (SELECT (doc_id, chunk) FROM chunked WHERE lang = 'en' ORDER BY doc_id, chunk LIMIT 1)),
+    s AS (SELECT doc_id, chunk, round(coalesce(sum(v.n * q.n), 0) / sqrt(sum(v.n * v.n)) / (SELECT sqrt(sum(n * n)) FROM q), 12) AS s FROM v LEFT JOIN q USING (b) GROUP BY doc_id, chunk),
     best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, chunk) AS r FROM s WHERE s IS NOT NULL AND NOT isnan(s))
     SELECT doc_id, chunk, round(s, 4) AS score FROM best WHERE r = 1 ORDER BY s DESC, doc_id LIMIT 10"""
 )
