@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +76,33 @@ def load_index(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
+class IndexHandles:
+    """Opened indexes of a session by folder: a folder is listed and checked once, until it is reloaded or reset.
+
+    Queries over a handle see the files that were there when it was opened. A rebuilt index is seen after get(reload=True),
+    which also drops what Spark has cached of the folder. A folder that can't be opened is an error and leaves no handle.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.opened = spark, {}
+
+    def get(self, folder: str, reload: bool = False) -> DataFrame:
+        if reload:
+            self.reset(folder)
+        if folder not in self.opened:
+            try:
+                self.opened[folder] = load_index(self.spark, folder)
+            except AnalysisException as e:
+                raise ValueError(f"there is no index in {folder}") from e
+        return self.opened[folder]
+
+    def reset(self, folder: str | None = None) -> None:
+        """Forgets one folder, or all."""
+        for own in [folder] if folder else list(self.opened):
+            self.opened.pop(own, None)
+            self.spark.catalog.refreshByPath(own)
+
+
 def build_index(docs: DataFrame, folder: str, text: str, size: int = 64, partition: str | None = None) -> None:
     """Embeds the texts and replaces the index; no documents are an error."""
     if docs.isEmpty():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from forecourt.operators import chunks as ch
 from forecourt.operators import speech
-from forecourt.sources import toml_data_source, toml_source, wav_source
+from forecourt.sources import record_store, toml_data_source, toml_source, wav_source
 
 
 def plain_chunks(text, limit, overlap):
@@ -147,3 +147,23 @@ def test_toml_writer_commits_whole_jobs(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"{i}.toml" for i in range(20))
     with pytest.raises(Exception, match="append"):
         cars.write.format("toml").mode("overwrite").save(folder)
+
+
+def test_index_handles_are_opened_once_until_reloaded(spark, tmp_path):
+    folder, handles = tmp_path.as_uri() + "/index", record_store.IndexHandles(spark)
+    with pytest.raises(ValueError, match="no index"):
+        handles.get(folder)
+    build = lambda n: record_store.build_index(spark.range(n).selectExpr("id as doc_id", "concat('car ', id) as text"), folder, "text")
+    build(3)
+    first = handles.get(folder)
+    assert first.count() == 3 and handles.get(folder) is first
+    build(5)
+    assert handles.get(folder) is first
+    again = handles.get(folder, reload=True)
+    assert again is not first and again.count() == 5 and handles.get(folder) is again
+    handles.reset()
+    assert not handles.opened and handles.get(folder).count() == 5
+    spark.range(0).selectExpr("id as doc_id").write.parquet(f"{folder}-empty")
+    with pytest.raises(ValueError, match="empty"):
+        handles.get(f"{folder}-empty")
+    assert f"{folder}-empty" not in handles.opened
