@@ -34,6 +34,8 @@ PHRASE = r"(?<=[^\p{L}\p{N}\s]\s|[sd]\s|\n|[。！？])"
 ROOT_DIGITS, NODE_DIGITS, PHRASE_DIGITS = 32, 8, 6
 #: About so many documents are in one range of ids, until there are about MAX_RANGES; so many quantiles are asked for.
 RANGE_ROWS, MAX_RANGES, QUANTILES = 1000, 1 << 16, 256
+#: About so many string ids are sampled for quantiles; others have an approximate percentile.
+SAMPLE = 1 << 14
 
 
 def phrase_hashes(text: Column) -> Column:
@@ -83,43 +85,68 @@ def likeness(a: Column, b: Column) -> Column:
     return 2 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)).cast("double")
 
 
-def ordinal(docs: DataFrame, id_col: str) -> Column:
-    """A number that grows, if not always strictly, with the id. Of strings it is six bytes after what the least and the greatest share."""
-    kind, own = docs.schema[id_col].dataType, F.col(id_col)
+def ordinal(kind: T.DataType, own: Column) -> Column:
+    """A number that grows, if not always strictly, with the id, which isn't a string."""
     if isinstance(kind, (T.IntegralType, T.BooleanType)):
         return own.cast("bigint")
     if isinstance(kind, T.NumericType):
         return own.cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return own.cast("timestamp").cast("double")
-    if isinstance(kind, T.StringType):
-        low, high = docs.agg(F.min(own), F.max(own)).first()
-        shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
-        return F.conv(F.rpad(F.hex(F.substring(own.cast("binary"), shared + 1, 6)), 12, "0"), 16, 10).cast("bigint")
     raise TypeError(f"ids of type {kind.simpleString()} have no order here")
 
 
+def string_cuts(docs: DataFrame, n: int) -> list[str]:
+    """About QUANTILES quantiles of string ids, from a sample of about SAMPLE of them, with the least and the greatest id."""
+    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    if low is None:
+        return []
+    sample = docs.where(F.col("doc_id").isNotNull() & (F.rand(0) < SAMPLE / n)).select("doc_id")
+    found = sorted((r[0] for r in sample.collect()), key=str.encode)
+    return [low, *(found[i * len(found) // QUANTILES] for i in range(1, QUANTILES) if found), high]
+
+
+def string_shares(cuts: list[str], k: Column) -> tuple[Column, Column, Column]:
+    """Numbers of the id and of the cuts around it: the six bytes after what both cuts, and so all ids between them, begin with."""
+    encoded = [x.encode() for x in cuts]
+    around = list(zip(encoded, encoded[1:], strict=False))
+    shared = [len(os.path.commonprefix(x)) for x in around]
+    number = lambda x, at: int.from_bytes(x[at : at + 6].ljust(6, b"\0"), "big")
+    of = lambda xs, kind: F.get(F.array(*map(F.lit, xs)).cast(f"array<{kind}>"), k - 1)
+    bytes_ = F.substring(F.col("doc_id").cast("binary"), of(shared, "int") + 1, F.lit(6))
+    low, high = (of([number(x[i], at) for x, at in zip(around, shared, strict=True)], "bigint") for i in (0, 1))
+    return F.conv(F.rpad(F.hex(bytes_), 12, "0"), 16, 10).cast("bigint"), low, high
+
+
 def with_ranges(docs: DataFrame) -> DataFrame:
     """Adds range: a number that falls as rows follow each other by descending doc_id and then descending text_hash.
 
     Ids are dealt by quantiles and, between two quantiles, in proportion. An id that makes up several quantiles, and
     rows without an id, are dealt by the hash of the text. Any deal gives the same result.
     """
-    docs = docs.withColumn("at", ordinal(docs, "doc_id"))
-    n, missing, cuts = docs.agg(F.count("*"), F.count_if(F.col("at").isNull()), F.percentile_approx("at", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000)).first()
+    kind = docs.schema["doc_id"].dataType
+    text = isinstance(kind, T.StringType)
+    docs = docs.withColumn("at", F.col("doc_id") if text else ordinal(kind, F.col("doc_id")))
+    of_numbers = [] if text else [F.percentile_approx("at", [i / QUANTILES for i in range(QUANTILES + 1)], 10_000)]
+    n, missing, *cuts = docs.agg(F.count("*"), F.count_if(F.col("at").isNull()), *of_numbers).first()
+    cuts = string_cuts(docs, n) if text else cuts[0] or []
     parts = min(max(1, -(-n // (RANGE_ROWS * QUANTILES))), MAX_RANGES // QUANTILES)
-    often = sorted({x for x, y in zip(cuts or [], (cuts or [])[1:], strict=False) if x == y})
+    often = {x for x, y in zip(cuts, cuts[1:], strict=False) if x == y}
     if often:  # of those that are one id each, how many rows there are; QUANTILES of them at most
-        found = docs.where(F.col("at").isin(often)).groupBy("at").agg(F.count("*").alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one")).where("one").collect()
-        often = sorted(r["at"] for r in found)
-    cuts = sorted(set(cuts or [0]))
+        found = docs.where(F.col("at").isin(sorted(often))).groupBy("at").agg(F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one")).where("one").collect()
+        often = {r["at"] for r in found}
+    cuts = sorted(set(cuts), key=str.encode if text else None) or ["" if text else 0]
     splits = F.array(*(F.lit(x) for x in cuts))
     k = F.size(F.filter(splits, lambda s: s <= F.col("at")))
-    low, high = F.get(splits, F.col("k") - 1), F.get(splits, F.col("k"))
-    share = F.coalesce(F.floor((F.col("at") - low) / (high - low) * parts), F.lit(0))
+    if text:
+        at, low, high = string_shares(cuts, F.col("k"))
+    else:
+        at, low, high = F.col("at"), F.get(splits, F.col("k") - 1), F.get(splits, F.col("k"))
+    share = F.when(low < high, F.least(F.floor((at - low) / F.nullif(high - low, F.lit(0)) * parts), F.lit(parts - 1)))
+    share = F.coalesce(share, F.lit(0))
     wide = 2 * max(parts, QUANTILES)
     by_hash = lambda many: F.least(F.floor((F.col("text_hash") / 2.0**64 + 0.5) * many), F.lit(many - 1))
-    hot = functools.reduce(operator.or_, (F.col("at") == x for x in often), F.lit(False))
+    hot = functools.reduce(operator.or_, (F.col("at") == x for x in sorted(often)), F.lit(False))
     many = min(max(1, -(-missing // RANGE_ROWS)), MAX_RANGES)
     dealt = F.when(F.col("at").isNull(), by_hash(many) - many).when(hot, F.col("k") * wide + by_hash(wide // 2)).otherwise(F.col("k") * wide + wide // 2 + share)
     return docs.withColumn("k", k).withColumn("range", dealt.cast("bigint")).drop("k", "at")
