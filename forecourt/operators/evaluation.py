@@ -152,12 +152,69 @@ def order_statistics(df: DataFrame, group: str, value: str, shares: dict[str, fl
     return found.unionByName(alone).groupBy(group).pivot("name", list(shares)).agg(F.first("value"))
 
 
+def latency_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Per group samples, avg, max, p95, p99 and the two middle values, as they are."""
+    base = df.groupBy(group).agg(F.count(value).alias("samples"), F.avg(value).alias("avg"), F.max(value).alias("max"))
+    ranks = order_statistics(df, group, value, {"p95": 0.95, "p99": 0.99, "upper_median": 0.5, "lower_median": lambda n: F.floor((n - 1) / 2)})
+    return base.join(ranks, group, "left")
+
+
 def latency_report(df: DataFrame, group: str, value: str) -> DataFrame:
     """n, avg, p50 (mean of the middle two), p95, p99 and max, to two digits."""
-    base = df.groupBy(group).agg(F.count(value).alias("samples"), F.avg(value).alias("a"), F.max(value).alias("m"))
-    ranks = order_statistics(df, group, value, {"p95": 0.95, "p99": 0.99, "upper_median": 0.5, "lower_median": lambda n: F.floor((n - 1) / 2)})
     two = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 2)
-    return base.join(ranks, group, "left").select(group, "samples", two(F.col("a")).alias("avg_ms"), two((F.col("lower_median") + F.col("upper_median")) / 2).alias("p50_ms"), two(F.col("p95")).alias("p95_ms"), two(F.col("p99")).alias("p99_ms"), two(F.col("upper_median")).alias("upper_median_ms"), two(F.col("m")).alias("max_ms"))
+    values = {"avg_ms": F.col("avg"), "p50_ms": (F.col("lower_median") + F.col("upper_median")) / 2} | {f"{c}_ms": F.col(c) for c in ("p95", "p99", "upper_median", "max")}
+    return latency_statistics(df, group, value).select(group, "samples", *(two(c).alias(n) for n, c in values.items()))
+
+
+# Targets of the KPI report. Scores must reach theirs, latencies (in ms) stay below.
+F1_TARGETS = {"profile": 0.90, "needs": 0.85, "reservation": 0.90}
+STAGE_TARGET = 1.0
+LATENCY_TARGETS = {"avg": 10.0, "p95": 50.0}
+
+
+def _kpis(df: DataFrame, section: str, name: Column, values: dict[str, Column], target: Column, below: bool = False) -> DataFrame:
+    """A row (section, name, metric, value, target, met) for each of the named values; target may look at the column metric."""
+    entries = F.array(*(F.struct(F.lit(m).alias("metric"), c.cast("double").alias("value")) for m, c in values.items()))
+    rows = df.select(F.lit(section).alias("section"), name.alias("name"), F.explode(entries).alias("_e")).select("section", "name", "_e.metric", "_e.value")
+    rows = rows.withColumn("target", target.cast("double"))
+    return rows.withColumn("met", F.col("value") < F.col("target") if below else F.col("value") >= F.col("target"))
+
+
+def kpi_report(extracted: DataFrame, turns: DataFrame, latencies: DataFrame, f1_targets: dict[str, float] = F1_TARGETS) -> DataFrame:
+    """Rows (section, name, metric, value, target, met) of the report's three measured sections.
+
+    extracted holds extractor and the maps expected and extracted, turns the stages expected and actual, latencies ms.
+    Precision, recall and F1 come from the summed counts of each extractor; stage accuracy with how many turns are
+    right and how many there are; latencies with the values at an index of the sorted ones, as `order_statistics` gives them.
+    A value without a target has no verdict. No turns give a value of null, no answers or latencies no rows.
+    """
+    targets = lambda by, own: F.try_element_at(F.create_map(*(F.lit(x) for e in own.items() for x in e)), by) if own else F.lit(None)
+    scores = extraction_report(extracted, "expected", "extracted", F.col("extractor"))
+    of_f1 = F.when(F.col("metric") == "f1", targets(F.col("name"), f1_targets))
+    extraction = _kpis(scores, "extraction", F.col("group"), {c: F.col(c) for c in ("precision", "recall", "f1")}, of_f1)
+    counted = turns.agg(F.count("*").alias("turns"), F.count_if(F.col("expected") == F.col("actual")).alias("right"))
+    accuracy = {"accuracy": F.col("right") / F.nullif(F.col("turns"), F.lit(0)), "right": F.col("right"), "turns": F.col("turns")}
+    stages = _kpis(counted, "stages", F.lit("all"), accuracy, F.when(F.col("metric") == "accuracy", STAGE_TARGET))
+    found = latency_statistics(latencies.select(F.lit("all").alias("all"), "ms"), "all", "ms")
+    times = {"avg": F.col("avg"), "p50": F.col("upper_median"), "p95": F.col("p95"), "max": F.col("max"), "samples": F.col("samples")}
+    return extraction.unionByName(stages).unionByName(_kpis(found, "latency", F.col("all"), times, targets(F.col("metric"), LATENCY_TARGETS), below=True))
+
+
+SECTIONS = {"extraction": "Extraction accuracy", "stages": "Stage transitions", "latency": "Latency"}
+
+
+def kpi_text(rows: DataFrame, stamp: str, title: str = "KPI report") -> str:
+    """The rows of `kpi_report` (three for each extractor and eight more) as Markdown, a table for each section."""
+    found = sorted(rows.collect(), key=lambda r: (list(SECTIONS).index(r["section"]), r["name"]))
+    number = lambda x: "" if x is None else f"{x:.2f}".rstrip("0").rstrip(".")
+    lines = [f"# {title}", "", f"Generated: {stamp}"]
+    for place, (section, heading) in enumerate(SECTIONS.items(), 1):
+        lines += ["", f"## {place}. {heading}", "", "| name | metric | value | target | met |", "|---|---|---|---|---|"]
+        sign = "< " if section == "latency" else ">= "
+        for r in (r for r in found if r["section"] == section):
+            met = "" if r["met"] is None else "yes" if r["met"] else "no"
+            lines.append(f"| {r['name']} | {r['metric']} | {number(r['value'])} | {'' if r['target'] is None else sign + number(r['target'])} | {met} |")
+    return "\n".join(lines) + "\n"
 
 
 def health(agent: Column, index: Column) -> Column:

@@ -65,6 +65,56 @@ def extract_reservation(spark, sf_dir):
     return _extracted(spark, sf_dir, agent.extract_reservation, RESERVATION_FIELDS)
 
 
+#: Field j of customer k is empty, true, a number, a padded text or null by (k + j) % 5; what isn't filled (the number 0 too) stays old.
+def _every(fields: list[str]):
+    k = F.col("c_custkey")
+    value = lambda j: F.when((k + j) % 5 == 0, '""').when((k + j) % 5 == 1, "true").when((k + j) % 5 == 2, k.cast("string")).when((k + j) % 5 == 3, F.concat(F.lit('" v'), k.cast("string"), F.lit(f'_{j} "'))).otherwise("null")
+    return F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{f}": '), value(j)) for j, f in enumerate(fields))), F.lit("}"))
+
+
+def _every_sql(fields: list[str], heard: str = "TRUE") -> str:
+    one = "CASE WHEN NOT ({heard}) THEN 'old' WHEN (c_custkey + {j}) % 5 = 1 THEN 'True' WHEN (c_custkey + {j}) % 5 = 2 AND c_custkey <> 0 THEN CAST(c_custkey AS VARCHAR) WHEN (c_custkey + {j}) % 5 = 3 THEN 'v' || c_custkey || '_{j}' ELSE 'old' END AS \"{f}\""
+    return ", ".join(one.format(heard=heard, j=j, f=f) for j, f in enumerate(fields))
+
+
+def _extract_every(spark, sf_dir, extractor, fields):
+    """All fields of an extractor; the first attempt is broken for a third of the rows, whose second one is fenced."""
+    k, body = F.col("c_custkey"), _every(fields)
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 3 == 0, "{broken").otherwise(body).alias("_one"), F.when(k % 3 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).otherwise("not asked").alias("_two"), *(F.lit("old").alias(f) for f in fields))
+    return extractor(rows, ["_one", "_two"]).select("c_custkey", *fields)
+
+
+@query(f"SELECT c_custkey, {_every_sql(PROFILE_FIELDS)} FROM customer")
+def profile_fields(spark, sf_dir):
+    return _extract_every(spark, sf_dir, agent.extract_profile, PROFILE_FIELDS)
+
+
+@query(f"SELECT c_custkey, {_every_sql(EXPLICIT_FIELDS)} FROM customer")
+def explicit_needs_fields(spark, sf_dir):
+    return _extract_every(spark, sf_dir, agent.extract_explicit, EXPLICIT_FIELDS)
+
+
+@query(f"SELECT c_custkey, {_every_sql(IMPLICIT_FIELDS)} FROM customer")
+def implicit_needs_fields(spark, sf_dir):
+    return _extract_every(spark, sf_dir, agent.extract_implicit, IMPLICIT_FIELDS)
+
+
+@query(f"SELECT c_custkey, {_every_sql(RESERVATION_FIELDS)} FROM customer")
+def reservation_fields(spark, sf_dir):
+    return _extract_every(spark, sf_dir, agent.extract_reservation, RESERVATION_FIELDS)
+
+
+@query(f"SELECT c_custkey, {_every_sql(EXPLICIT_FIELDS, 'c_custkey % 4 < 2')}, {_every_sql(IMPLICIT_FIELDS, 'c_custkey % 4 = 0')} FROM customer")
+def combined_needs_fields(spark, sf_dir):
+    """All 36 fields from one answer: both parts, explicit needs only, a part that is no object, a broken one."""
+    k, part = F.col("c_custkey") % 4, lambda name, fields: F.concat(F.lit(f'"{name}": '), _every(fields))
+    explicit, implicit = part("explicit", EXPLICIT_FIELDS), part("implicit", IMPLICIT_FIELDS)
+    whole = lambda *parts: F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
+    answer = F.when(k == 0, whole(explicit, implicit)).when(k == 1, whole(explicit)).when(k == 2, whole(explicit, F.lit('"implicit": [1]'))).otherwise("{")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", answer.alias("_answer"), *(F.lit("old").alias(f) for f in EXPLICIT_FIELDS + IMPLICIT_FIELDS))
+    return agent.extract_needs(rows, "_answer").select("c_custkey", *EXPLICIT_FIELDS, *IMPLICIT_FIELDS)
+
+
 @query(
     """SELECT c_custkey, CASE WHEN c_custkey % 4 < 2 THEN c_mktsegment ELSE 'old' END AS brand, CASE WHEN c_custkey % 4 = 0 THEN 'High' ELSE 'old' END AS safety FROM customer"""
 )
@@ -126,13 +176,16 @@ r AS (SELECT *, CASE WHEN extracted = 0 THEN 1.0 ELSE correct / extracted END::D
 SELECT "group", CAST(correct AS BIGINT) AS correct, CAST(extracted AS BIGINT) AS extracted, CAST(expected AS BIGINT) AS expected, round(p, 6) AS precision, round(q, 6) AS recall, round(CASE WHEN p + q = 0 THEN 0 ELSE 2 * p * q / (p + q) END, 6) AS f1 FROM r"""
 
 
-def _fields(spark, sf_dir, group):
+def _answered(customers, group):
     """Expected and extracted maps: a name in another case, a segment that is wrong for a third, a nation that is missing, one that isn't expected."""
     k = F.col("c_custkey")
-    c = table(spark, sf_dir, "customer")
     expected = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"), F.lit("nation"), F.col("c_nationkey").cast("string"), F.lit("blank"), F.lit(""))
     extracted = F.create_map(F.lit("name"), F.when(k % 5 != 0, F.concat(F.lit(" "), F.upper("c_name"), F.lit(" "))).otherwise(""), F.lit("segment"), F.when(k % 3 == 0, "wrong").otherwise(F.lower("c_mktsegment")), F.lit("blank"), F.lit("x"), F.lit("other"), F.lit("y"))
-    found = evaluation.extraction_report(c.select(group.alias("g"), expected.alias("expected"), extracted.alias("extracted")), "expected", "extracted", F.col("g"))
+    return customers.select(group, expected.alias("expected"), extracted.alias("extracted"))
+
+
+def _fields(spark, sf_dir, group):
+    found = evaluation.extraction_report(_answered(table(spark, sf_dir, "customer"), group.alias("g")), "expected", "extracted", F.col("g"))
     return found.withColumns({x: F.round(x, 6) for x in ("precision", "recall", "f1")})
 
 
@@ -171,10 +224,11 @@ def _dialogues(spark, sf_dir):
     )
 
 
-@query(
-    f"""SELECT CAST(count(*) AS BIGINT) AS dialogues, CAST(sum(turns) AS BIGINT) AS turns, round(avg(overall), 1) AS avg_overall, round(avg(stage_accuracy * 100), 1) AS avg_stage_accuracy, round(avg(relevance), 1) AS avg_relevance,
+DIALOGUES_WRITTEN_SQL = f"""SELECT CAST(count(*) AS BIGINT) AS dialogues, CAST(sum(turns) AS BIGINT) AS turns, round(avg(overall), 1) AS avg_overall, round(avg(stage_accuracy * 100), 1) AS avg_stage_accuracy, round(avg(relevance), 1) AS avg_relevance,
     round(avg(task_completion), 1) AS avg_task_completion, round(avg(conversion), 1) AS avg_conversion, round(avg(professionalism), 1) AS avg_professionalism, round(avg(language), 1) AS avg_language FROM ({DIALOGUES_SQL})"""
-)
+
+
+@query(DIALOGUES_WRITTEN_SQL)
 def report_totals(spark, sf_dir):
     return evaluation.report_totals(_dialogues(spark, sf_dir))
 
@@ -186,6 +240,39 @@ def report_written(spark, sf_dir):
     return spark.read.schema("dialogues bigint").json(path).agg(F.count("*").alias("n_reports"), F.max("dialogues").alias("dialogues"))
 
 
+EXTRACTOR_SQL = "CASE c_custkey % 3 WHEN 0 THEN 'profile' WHEN 1 THEN 'needs' ELSE 'reservation' END"
+KPI_SQL = f"""WITH x AS ({FIELDS_SQL.format(group=EXTRACTOR_SQL)}),
+t AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER ({EVENT_STAGE_SQL} = {STAGE_LIST}[event_id % 5 + 1]) AS DOUBLE) AS k FROM events),
+l AS (SELECT list(value ORDER BY value) AS a FROM events),
+r AS (SELECT 'extraction' AS section, "group" AS name, unnest(['precision', 'recall', 'f1']) AS metric, unnest([precision, recall, f1]) AS value FROM x
+UNION ALL SELECT 'stages', 'all', unnest(['accuracy', 'right', 'turns']), unnest([k / n, k, n]) FROM t
+UNION ALL SELECT 'latency', 'all', unnest(['avg', 'p50', 'p95', 'max', 'samples']), unnest([list_avg(a), a[len(a) // 2 + 1], a[floor(len(a) * 0.95::DOUBLE)::INT + 1], list_max(a), len(a)::DOUBLE]) FROM l),
+g AS (SELECT *, CASE WHEN metric = 'f1' THEN CASE name WHEN 'needs' THEN 0.85 ELSE 0.9 END WHEN metric = 'accuracy' THEN 1.0 WHEN metric = 'avg' THEN 10.0 WHEN metric = 'p95' THEN 50.0 END::DOUBLE AS target FROM r)
+SELECT section, name, metric, round(value, 6) AS value, target, coalesce(CAST(CASE WHEN section = 'latency' THEN value < target ELSE value >= target END AS VARCHAR), 'no target') AS met FROM g"""
+
+
+def _kpi_inputs(spark, sf_dir):
+    """Answers of three extractors over the customers, expected and actual stages and latencies of the events."""
+    k = F.col("c_custkey")
+    extractor = F.when(k % 3 == 0, "profile").when(k % 3 == 1, "needs").otherwise("reservation")
+    turns = table(spark, sf_dir, "events").select(event_stage().alias("actual"), F.get(F.array(*map(F.lit, STAGES)), (F.col("event_id") % 5).cast("int")).alias("expected"))
+    return _answered(table(spark, sf_dir, "customer"), extractor.alias("extractor")), turns, table(spark, sf_dir, "events").select(F.col("value").alias("ms"))
+
+
+@query(KPI_SQL)
+def kpi_report(spark, sf_dir):
+    rows = evaluation.kpi_report(*_kpi_inputs(spark, sf_dir))
+    return rows.withColumns({"value": F.round("value", 6), "met": F.coalesce(F.col("met").cast("string"), F.lit("no target"))})
+
+
+@query(DIALOGUES_WRITTEN_SQL)
+def report_columns_written(spark, sf_dir):
+    """All columns of the written report, read back."""
+    totals = evaluation.report_totals(_dialogues(spark, sf_dir))
+    path = record_store.write_report(totals, f"{record_store.shared_folder(spark)}/reports-{uuid.uuid4().hex}", "20240101_000000")
+    return spark.read.schema(totals.schema).json(path)
+
+
 # ---- messages, prompts, voice ---------------------------------------------------------------------------------
 
 

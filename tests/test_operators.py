@@ -338,3 +338,23 @@ def test_a_stream_can_poll(spark, tmp_path):
     finally:
         running.stop()
     assert spark.read.parquet(str(tmp_path / "out" / "out" / "*")).count() == 8
+
+
+def test_kpi_report_of_few_and_of_no_rows(spark):
+    maps = "extractor string, expected map<string,string>, extracted map<string,string>"
+    extracted = spark.createDataFrame([("profile", {"a": "1", "b": "2"}, {"a": " 1 "}), ("needs", {"a": "x"}, {"a": "X"}), ("other", {"a": "x"}, {})], maps)
+    turns = spark.createDataFrame([("welcome", "welcome"), ("farewell", "welcome"), ("farewell", None), ("welcome", "welcome")], "expected string, actual string")
+    latencies = spark.createDataFrame([(float(x),) for x in range(100)] + [(None,)], "ms double")
+    rows = evaluation.kpi_report(extracted, turns, latencies)
+    found = {(r["section"], r["name"], r["metric"]): (r["value"], r["target"], r["met"]) for r in rows.collect()}
+    assert len(found) == 3 * 3 + 3 + 5
+    assert found["extraction", "profile", "precision"] == (1.0, None, None) and found["extraction", "profile", "recall"] == (0.5, None, None)
+    assert found["extraction", "profile", "f1"] == (pytest.approx(2 / 3), 0.9, False) and found["extraction", "needs", "f1"] == (1.0, 0.85, True)
+    assert found["extraction", "other", "f1"][1:] == (None, None)
+    assert found["stages", "all", "accuracy"] == (0.5, 1.0, False) and found["stages", "all", "turns"][0] == 4
+    assert found["latency", "all", "p50"] == (50.0, None, None) and found["latency", "all", "p95"] == (95.0, 50.0, False)
+    assert found["latency", "all", "avg"] == (49.5, 10.0, False) and found["latency", "all", "samples"][0] == 100
+    text = evaluation.kpi_text(rows, "2024-01-01")
+    assert "## 1. Extraction accuracy" in text and "| needs | f1 | 1 | >= 0.85 | yes |" in text and "| all | p95 | 95 | < 50 | no |" in text
+    none = evaluation.kpi_report(extracted.limit(0), turns.limit(0), latencies.limit(0)).collect()
+    assert {(r["section"], r["metric"]): r["value"] for r in none} == {("stages", "accuracy"): None, ("stages", "right"): 0.0, ("stages", "turns"): 0.0}
