@@ -18,8 +18,10 @@ Work on Spark:
    Links become components by repeated minimum labels and pointer jumps, on written tables. A text then meets one
    more of its hubs in each other component;
 4. members of buckets that still span several components are compared by an exact join: a text's words in order of
-   rarity, of which the rarest fifth and one more must hold a word in common for two texts to reach 0.8. So no link
-   of a bucket is lost, no bucket is compared as a whole, and no task holds one.
+   rarity, of which the rarest fifth and one more must hold a word in common for two texts to reach 0.8. Signatures
+   of all words bound what two texts can share, so that most of those that can't reach 0.8 never become a pair, and
+   texts of one component never meet. So no link of a bucket is lost, no bucket is compared as a whole, and no task
+   holds one.
 
 Two shingles a sketch and 40 sketches: texts of 0.8 share about 0.38 of their shingles, and of three at once too little is
 shared. A test measures by length and similarity that 0.9 or more of the pairs meet.
@@ -39,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forecourt.llm.common import BATCH_ROWS, discard, map_batches, materialize, own_columns, table
@@ -50,6 +52,8 @@ ELL, SKETCHES = 2, 40
 SHORT = 17
 #: Slots of the hash by which the rarity of words is counted.
 LOADS = 1 << 17
+#: Bits of a text's signature of words (a multiple of 64 and a power of two), and how many earlier shared words a row carries.
+BITS, BEFORE = 1024, 4
 #: Characters tokenized at once, to the end of a word.
 BLOCK = 1 << 18
 
@@ -336,6 +340,20 @@ def rare_words(seqs: DataFrame, loads: np.ndarray) -> DataFrame:
     return map_batches(seqs.select("node", "seq"), run, "node binary, n int, i int, token bigint")
 
 
+def signatures(seqs: DataFrame) -> DataFrame:
+    """node, sig: BITS bits, each the parity of how many words (with how often each has occurred before) of the text fall to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = []
+            for x in batch.column(1).to_pylist():
+                at = mix(with_occurrences(np.frombuffer(x, "<u4")).view(np.uint64) ^ GOLDEN) >> np.uint64(64 - BITS.bit_length() + 1)
+                sigs.append(np.packbits((np.bincount(at.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.list_(pa.int64()))], names=["node", "sig"])
+
+    return map_batches(seqs.select("node", "seq"), run, "node binary, sig array<bigint>")
+
+
 def across_components(places: DataFrame, parts: DataFrame, seqs: DataFrame) -> DataFrame:
     """Written links (a, b) between different components, of nodes that share a bucket which spans several of them.
 
@@ -344,6 +362,11 @@ def across_components(places: DataFrame, parts: DataFrame, seqs: DataFrame) -> D
     in common, and behind the first such word enough are left in both to make up m. Words (each with how often it
     has occurred before) are ordered by how few of these texts' words share their slot of a hash, so that those of
     passages or phrases that many texts share come last and hardly ever make a pair.
+
+    Each bit in which two signatures differ stands for a word at least that only one of the texts has, so that texts
+    that differ in more bits than n1 + n2 - 2 m can't be linked. Of a word's rows those of its largest component
+    are on one side only, so that a large component isn't joined with itself. A pair is dropped at a word if
+    both rows know of an earlier one that the texts share: it has been there, or was ruled out there by its place.
     """
     placed = with_classes(places.select("key", "node"), parts, "node", "class")
     split = placed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("key", "low")
@@ -351,16 +374,31 @@ def across_components(places: DataFrame, parts: DataFrame, seqs: DataFrame) -> D
     # Components that such buckets connect are a group; only within groups can there be a pair.
     groups = components(placed.where("class != low").select(F.col("low").alias("a"), F.col("class").alias("b")).distinct())
     groups = groups.select(F.col("node").alias("class"), F.col("class").alias("group"))
-    members = materialize(placed.select("node", "class").distinct().hint("merge").join(groups, "class"), "members")
+    members = materialize(placed.select("node", "class").distinct(), "members")
+    sizes = members.groupBy("class").agg(F.count("*").alias("size"))
+    before, members = members, materialize(members.hint("merge").join(groups.join(sizes, "class"), "class"), "members")
+    discard(before)
     own = materialize(seqs.hint("merge").join(members.select("node"), "node", "left_semi"), "split_words")
     rare = materialize(members.hint("merge").join(rare_words(own, word_loads(own)), "node"), "rare_words")
-    shared = rare.groupBy("group", "token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low != high").select("group", "token")
-    kept = materialize(rare.hint("merge").join(shared, ["group", "token"], "left_semi"), "shared_words")
-    other = kept.select("group", "token", F.col("node").alias("b"), F.col("class").alias("class_b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"))
-    enough = F.least(F.col("n") - F.col("i"), F.col("n_b") - F.col("i_b")) * (1 + SIMILARITY) >= SIMILARITY * (F.col("n") + F.col("n_b")) - 1e-6
-    pairs = kept.hint("merge").join(other, ["group", "token"]).where((F.col("class") < F.col("class_b")) & enough).select(F.col("node").alias("a"), "b").distinct()
+    sums = [F.count("*").alias("rows"), F.sum("n").alias("sum_n"), F.sum("i").alias("sum_i"), F.min("n").alias("least_n"), F.max(F.col("n") - F.col("i") * (1 + SIMILARITY)).alias("reach")]
+    shared = rare.groupBy("group", "token").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.struct("size", "class"))["class"].alias("main"), *sums).where("low != high").drop("low", "high")
+    enough = lambda n, i, n_b, i_b: F.least(n - i, n_b - i_b) * (1 + SIMILARITY) >= SIMILARITY * (n + n_b) - 1e-6
+    n, i = F.col("n"), F.col("i")
+    # Whether any of the word's rows can be this one's partner: of two rows it is the other one, of more a bound over all.
+    some = F.when(F.col("rows") == 2, enough(n, i, F.col("sum_n") - n, F.col("sum_i") - i))
+    some = some.otherwise((n - i * (1 + SIMILARITY) >= SIMILARITY * F.col("least_n") - 1e-6) & (F.col("reach") >= SIMILARITY * n - 1e-6))
+    kept = materialize(rare.hint("merge").join(shared, ["group", "token"]).where(some).select("group", "token", "node", "class", "n", "i", "main"), "shared_words")
+    before = F.collect_list("token").over(Window.partitionBy("node").orderBy("i").rowsBetween(-BEFORE, -1))
+    signed = materialize(kept.hint("merge").join(signatures(own), "node").withColumn("before", before), "signed_words")
+    other = signed.select("group", "token", *(F.col(c).alias(f"{c}_b") for c in ("node", "class", "n", "i", "sig", "before")))
+    apart = (F.col("class") != F.col("class_b")) & ((F.col("class_b") == F.col("main")) | (F.col("class") < F.col("class_b")))
+    differing = F.aggregate(F.zip_with("sig", "sig_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    alike = (F.col("n") + F.col("n_b") - differing) * (1 + SIMILARITY) >= 2 * SIMILARITY * (F.col("n") + F.col("n_b")) - 1e-6
+    first = ~F.arrays_overlap("before", "before_b")
+    met = signed.where("class != main").hint("merge").join(other, ["group", "token"]).where(apart & enough(n, i, F.col("n_b"), F.col("i_b")) & first & alike)
+    pairs = met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
     found = verified(pairs, own)
-    discard(placed, members, own, rare, kept)
+    discard(placed, members, own, rare, kept, signed)
     return found
 
 
