@@ -253,9 +253,10 @@ def verified(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
         return pd.Series([aligned_similarity(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(a, b, strict=True)], dtype="float64")
 
     similar.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
+    once = F.pandas_udf(similar, "double").asNondeterministic()  # else the filter aligns the pairs and the column aligns the similar ones again
     # The same joins at every size: whether candidates could be broadcast depends on the size of the input.
     by = pairs.hint("merge").join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("seq_b")), "b").hint("merge").join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("seq_a")), "a")
-    return materialize(by.select("a", "b", F.pandas_udf(similar, "double")("seq_a", "seq_b").alias("similarity")).where(F.col("similarity") >= SIMILARITY), "links")
+    return materialize(by.select("a", "b", once("seq_a", "seq_b").alias("similarity")).where(F.col("similarity") >= SIMILARITY), "links")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -60,3 +60,20 @@ def test_signatures_bound_what_two_texts_share(spark):
     for i, j in itertools.combinations(range(len(texts)), 2):
         differing = int(np.unpackbits(sigs[i] ^ sigs[j]).sum())
         assert len(np.intersect1d(own[i], own[j])) <= (len(own[i]) + len(own[j]) - differing) / 2
+
+
+def test_pairs_are_aligned_once(spark):
+    rows = spark.createDataFrame([(_node(i), bytearray(_seq(["a", "b", "c"]).tobytes())) for i in range(4)], "node binary, seq binary")
+    pairs = spark.createDataFrame([(_node(i), _node(j)) for i, j in itertools.combinations(range(4), 2)], "a binary, b binary")
+    seen, real = [], near_dup.materialize
+
+    def kept(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    near_dup.materialize = kept
+    try:
+        assert near_dup.verified(pairs, rows).count() == 6
+    finally:
+        near_dup.materialize = real
+    assert seen[0].count("ArrowEvalPython") == 1
