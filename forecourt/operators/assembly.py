@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forecourt.functions.semantics import filled
@@ -38,13 +38,11 @@ def line_order() -> list[Column]:
     return [F.col("section_ord"), F.desc("added"), F.col("ord")]
 
 
-def template_text(lines: DataFrame, file: str, label: str = "label", section: str = "section") -> DataFrame:
-    """(file, text): the lines of each file (section, line, label, value) as a template, with a head before each section."""
-    one = F.struct("line", section, label, "value")
-    rows = lines.groupBy(file).agg(F.array_sort(F.collect_list(one)).alias("rows"))  # a template's own lines
-    head = lambda x, i: F.when((i == 0) | (F.get("rows", i - 1)[section] != x[section]), F.concat(F.lit("["), x[section], F.lit("]\n"))).otherwise("")
-    text = F.array_join(F.transform("rows", lambda x, i: F.concat(head(x, i), x[label], F.lit(' = "'), F.coalesce(x["value"], F.lit("")), F.lit('"'))), "\n")
-    return rows.select(file, text.alias("text"))
+def template_rows(lines: DataFrame, file: str, order: list[str], label: str = "label", section: str = "section") -> DataFrame:
+    """(file, value): the lines (section, label, value) of each file in order as a template's text, a section's first one with the head before it; lines without a section come before all heads."""
+    before = F.lag(section).over(Window.partitionBy(file).orderBy(*order, section, label, "value"))
+    head = F.when(F.col(section).isNotNull() & ~before.eqNullSafe(F.col(section)), F.concat(F.lit("["), section, F.lit("]\n"))).otherwise("")
+    return lines.select(file, F.concat(head, label, F.lit(' = "'), F.coalesce("value", F.lit("")), F.lit('"')).alias("value"))
 
 
 def comments_inserted(content: DataFrame, comments: DataFrame, label: str, order: str, suffix: str = "_comments") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from forecourt.functions.semantics import truthy
+from forecourt.functions.semantics import let, truthy
 from forecourt.functions.vocabulary import COMBUSTION_LABELS, COMBUSTION_TYPES, ELECTRIC_LABELS, ELECTRIC_TYPE, FILTER_FIELDS, NONE_TEXT
 
 SECTIONS = ["PriciseLabels", "AmbiguousLabels"]
@@ -76,15 +76,40 @@ def overlaps(a: Column, lo: Column, hi: Column) -> Column:
     return F.coalesce((a["lo"] <= hi) & (a["hi"] >= lo), F.lit(False))
 
 
-def template_lines(text: Column) -> Column:
-    """array<struct<section, label, value>> of a template's lines; comment lines are skipped."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
-    start = F.struct(F.lit("").alias("section"), F.expr("cast(array() as array<struct<section: string, label: string, value: string>>)").alias("rows"))
+HEAD, LINE = r"^\[([^\]]+)\]$", r'^([A-Za-z0-9_]+)\s*=\s*"?(.*?)"?$'
+
 
-    def step(s: Column, line: Column) -> Column:
-        head = F.regexp_extract(line, r"^\[([^\]]+)\]$", 1)
-        label = F.regexp_extract(line, r'^([A-Za-z0-9_]+)\s*=\s*"?(.*?)"?$', 1)
-        row = F.struct(s["section"].alias("section"), label.alias("label"), F.regexp_extract(line, r'^([A-Za-z0-9_]+)\s*=\s*"?(.*?)"?$', 2).alias("value"))
-        return F.struct(F.when(head != "", head).otherwise(s["section"]).alias("section"), F.when((label != "") & ~line.startswith("#"), F.concat(s["rows"], F.array(row))).otherwise(s["rows"]).alias("rows"))
+def template_line(line: Column) -> Column:
+    """struct<head, label, value> of a template's line: head in a section's first line, else null; label is empty without one."""
+    found = F.regexp_extract(line, HEAD, 1)
+    return F.struct(F.when(found != "", found).alias("head"), F.regexp_extract(line, LINE, 1).alias("label"), F.regexp_extract(line, LINE, 2).alias("value"))
 
-    return F.aggregate(lines, start, step, lambda s: s["rows"])
+
+def template_lines(text: Column) -> Column:
+    """array<struct<section, label, value>> of a template's lines; comment lines are skipped. Work grows with the lines."""
+    row = lambda section: lambda x: F.struct(section.alias("section"), x["label"].alias("label"), x["value"].alias("value"))
+    own = lambda lines, section, first, end: F.transform(F.filter(F.slice(lines, first + 1, end - first), lambda x: x["label"] != ""), row(section))
+
+    def sections(lines: Column, heads: Column) -> Column:
+        """The lines before the first head, and those from each head to the next."""
+        end = lambda i: F.coalesce(F.get(heads, i), F.size(lines))
+        return F.flatten(F.concat(F.array(own(lines, F.lit(""), F.lit(0), end(F.lit(0)))), F.transform(heads, lambda h, i: own(lines, F.get(lines, h)["head"], h, end(i + 1)))))
+
+    at = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(x["head"].isNotNull(), i)), lambda i: i.isNotNull())
+    return let(F.transform(F.split(text, "\n"), lambda x: template_line(F.trim(x))), lambda lines: let(at(lines), lambda heads: sections(lines, heads)))
+
+
+def read_template_lines(spark: SparkSession, folder: str, file: str) -> DataFrame:
+    """(file, section, label, value): the lines of the templates below folder (file=name/...) as template_lines finds them.
+
+    A file is read in blocks, which carry their last section on to the next, so that no file is held whole.
+    """
+    text = spark.read.schema(f"value string, {file} string").option("lineSep", "\n").text(folder)
+    places = F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")  # rows of a block are in its order
+    lines = text.select(file, *places, template_line(F.trim("value")).alias("_line")).select(file, "_path", "_block", "_at", "_line.*")
+    last = lines.groupBy("_path", "_block").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("_at"))).alias("_last"))
+    earlier = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_path", "_block", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    own = F.last("head", ignorenulls=True).over(Window.partitionBy("_path", "_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    rows = lines.withColumn("_own", own).where("label <> ''").join(carried, ["_path", "_block"])
+    return rows.select(file, F.coalesce("_own", "_before", F.lit("")).alias("section"), "label", "value")

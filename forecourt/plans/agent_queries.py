@@ -391,16 +391,12 @@ def model_lists(spark, sf_dir):
 )
 def template_files(spark, sf_dir):
     """Templates written as a file a brand, their sections in order, and parsed again."""
-    from pyspark.sql import Window
-
     p = table(spark, sf_dir, "part")
     lines = p.select("p_brand", F.concat(F.lit("s"), F.floor(F.col("p_size") / 20).cast("string")).alias("section"), F.concat(F.lit("l"), F.col("p_partkey").cast("string")).alias("label"), F.col("p_type").alias("value"), "p_partkey")
-    lines = lines.withColumn("line", F.row_number().over(Window.partitionBy("p_brand").orderBy("section", "p_partkey")))  # the lines of one file
     folder = f"{record_store.shared_folder(spark)}/templates-{uuid.uuid4().hex}"
-    text = assembly.template_text(lines, "p_brand")
-    text.withColumnRenamed("text", "value").write.partitionBy("p_brand").option("lineSep", "\x00").text(folder)
-    rows = spark.read.text(folder, wholetext=True)
-    return rows.select("p_brand", F.explode(catalogue.template_lines(F.replace("value", F.lit("\x00"), F.lit("")))).alias("r")).select("p_brand", "r.*")
+    text = assembly.template_rows(lines, "p_brand", ["section", "p_partkey"])
+    text.write.partitionBy("p_brand").option("maxRecordsPerFile", 0).text(folder)  # a brand is in one task, so in one file
+    return catalogue.read_template_lines(spark, folder, "p_brand").withColumn("section", F.nullif("section", F.lit("")))
 
 
 @query("SELECT conv_id, turn, left(coalesce(text, ''), 200) AS text, left('to ' || coalesce(text, ''), 200) AS response, round(length(coalesce(text, '')) / 7, 2) AS total_ms FROM conversations")
