@@ -1,30 +1,42 @@
 """Catalogue files as the format "toml" of spark.read and df.write, after register(spark).
 
-Reading: files below the path in tasks of bounded bytes and files; filters on source_file skip files before they are
-opened. Writing: rows (name, car) as files that appear when the whole job commits.
+Reading: files below the path in tasks of bounded bytes and files, listed one after the other into packed runs of paths;
+filters on source_file skip files before they are opened. Writing: rows (name, car) as files that appear when the whole job commits.
 """
 
 from __future__ import annotations
 
 import posixpath
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage
 
-from forecourt.sources.toml_source import SCHEMA, TEMPLATE, dumps, file_system, parse, rows_batch
+from forecourt.sources.toml_source import SCHEMA, dumps, file_system, files_below, parsed
 
-#: Bytes and files of one task at most; a file of more bytes is a task of its own. Rows of one batch.
-TASK_BYTES, TASK_FILES, BATCH = 32 << 20, 4096, 256
+#: Bytes and files of one task at most; a file of more bytes is a task of its own. Found paths that are put in order together.
+TASK_BYTES, TASK_FILES, ORDERED = 32 << 20, 4096, 65_536
 
 
 @dataclass
 class Files(InputPartition):
-    paths: list[str]
+    """Paths in order, deflated: a few bytes each, since the driver holds them all."""
+
+    packed: bytes
+
+    @classmethod
+    def of(cls, paths: list[str]) -> Files:
+        return cls(zlib.compress("\0".join(paths).encode()))
+
+    @property
+    def paths(self) -> list[str]:
+        return [p for p in zlib.decompress(self.packed).decode().split("\0") if p]
 
 
 @dataclass
@@ -32,16 +44,28 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
+def runs(files: Iterable[tuple[str, int]], task_bytes: int, task_files: int) -> Iterator[list[str]]:
+    """Paths as they come, in runs within both bounds."""
+    run, size = [], 0
+    for path, own in files:
+        if run and (size + own > task_bytes or len(run) >= task_files):
+            yield run
+            run, size = [], 0
+        run.append(path)
+        size += own
+    if run:
+        yield run
+
+
 def packed(files: list[tuple[str, int]], task_bytes: int, task_files: int) -> list[list[str]]:
     """Paths in their order, in runs within both bounds."""
-    runs, size = [], 0
-    for path, own in sorted(files):
-        if not runs or size + own > task_bytes or len(runs[-1]) >= task_files:
-            runs.append([])
-            size = 0
-        runs[-1].append(path)
-        size += own
-    return runs
+    return list(runs(sorted(files), task_bytes, task_files))
+
+
+def in_order(files: Iterator[tuple[str, int]]) -> Iterator[tuple[str, int]]:
+    """Files in their order within stretches of bounded length."""
+    while some := sorted(islice(files, ORDERED)):
+        yield from some
 
 
 def holds(path: str, f: Filter) -> bool:
@@ -72,19 +96,14 @@ class TomlReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         files, root = file_system(self.folder)
-        found = files.get_file_info(pafs.FileSelector(root, recursive=True, allow_not_found=True))
-        wanted = [(i.path, i.size or 0) for i in found if i.is_file and i.path.endswith(".toml") and i.base_name != TEMPLATE]
-        kept = [(p, n) for p, n in wanted if all(holds(p, f) for f in self.filters)]
-        return [Files(paths) for paths in packed(kept, self.task_bytes, self.task_files)] or [Files([])]
+        if files.get_file_info(root).type == pafs.FileType.NotFound:
+            return [Files.of([])]
+        kept = ((p, n) for p, n in files_below(files, root) if all(holds(p, f) for f in self.filters))
+        return [Files.of(paths) for paths in runs(in_order(kept), self.task_bytes, self.task_files)] or [Files.of([])]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
         files, _ = file_system(self.folder)
-        for at in range(0, len(partition.paths), BATCH):
-            rows = []
-            for path in partition.paths[at : at + BATCH]:
-                with files.open_input_stream(path) as f:
-                    rows.append(parse(path, f.read()))
-            yield rows_batch(rows)
+        return parsed(files, ((p, p) for p in partition.paths))
 
 
 class TomlWriter(DataSourceWriter):

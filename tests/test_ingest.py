@@ -1,5 +1,6 @@
 """Chunks, audio files and the TOML data source against plain versions."""
 
+import pickle
 import random
 import re
 import wave
@@ -167,3 +168,21 @@ def test_index_handles_are_opened_once_until_reloaded(spark, tmp_path):
     with pytest.raises(ValueError, match="empty"):
         handles.get(f"{folder}-empty")
     assert f"{folder}-empty" not in handles.opened
+
+
+def test_toml_format_plans_few_bytes_a_file(tmp_path, monkeypatch):
+    for i in range(3000):
+        (tmp_path / f"some-longer-folder-{i % 7}").mkdir(exist_ok=True)
+        (tmp_path / f"some-longer-folder-{i % 7}" / f"a-name-of-some-length-{i:06d}.toml").write_text('car_model = "M"\n')
+    (tmp_path / ".job-1").mkdir()
+    (tmp_path / ".job-1" / "uncommitted.toml").write_text('car_model = "M"\n')
+    expected = sorted(str(p) for p in tmp_path.glob("some*/*.toml"))
+    for files, bound in ((4096, 4096), (500, 4096), (1, 4096), (500, 10)):
+        monkeypatch.setattr(toml_data_source, "ORDERED", bound)
+        reader = toml_data_source.TomlReader({"path": str(tmp_path), "taskfiles": str(files)})
+        planned = reader.partitions()
+        assert len(planned) == -(-3000 // files) and sorted(p for x in planned for p in x.paths) == expected
+        if files > 1 and bound > 10:
+            assert len(pickle.dumps(planned)) < 20 * 3000  # before, above 90 bytes a file
+    monkeypatch.undo()
+    assert sum(b.num_rows for x in planned for b in reader.read(x)) == 3000
